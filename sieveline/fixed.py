@@ -63,6 +63,7 @@ KEPT_LETTERS = "ñÑüÜ"
 REPEATABLE_PUNCTUATION = "!?.,"
 
 # --- fixed values: the default rule table ----------------------------------------------------
+# "starts" is optional: the characters that a match of the pattern can begin with.
 DEFAULT_RULES = [
     {
         "category": "Hate Speech and Slurs", "type": "lexicon", "boundary": True,
@@ -81,14 +82,17 @@ DEFAULT_RULES = [
     {
         "category": "Obfuscated Profanity", "type": "regex",
         "pattern": r"f[u\*\@\!]+ck|sh[i\*\@\!]+t|b[i\*\@\!]+tch",
+        "starts": "fsb",
     },
     {
         "category": "PII Leak - US Social Security Number", "type": "regex",
         "pattern": r"\b(?!000|666)[0-8][0-9]{2}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\b",
+        "starts": "0-8",
     },
     {
         "category": "PII Leak - Credit Card (PCI-DSS)", "type": "regex",
         "pattern": r"\b(?:\d{4}[\s-]?){3}\d{4}\b",
+        "starts": r"\d",
     },
 ]
 

@@ -18,11 +18,12 @@ class Rule:
     boundary: bool = True
     words: tuple[str, ...] = ()
     pattern: str | None = None
+    starts: str | None = None
 
     @property
     def java_pattern(self) -> str:
         if self.type == "regex":
-            return patterns.to_java(self.pattern)
+            return patterns.to_java(self.pattern, self.starts)
         if self.boundary:
             return patterns.whole_words(self.words)
         return f"(?:{patterns.literal_alternation(self.words)})"
@@ -42,6 +43,7 @@ def make_rules(entries) -> list[Rule]:
                 boundary=bool(entry.get("boundary", True)),
                 words=tuple(w.lower() for w in entry.get("words") or ()),
                 pattern=entry.get("pattern"),
+                starts=entry.get("starts"),
             )
         )
     return rules
@@ -51,17 +53,40 @@ def lexicons(rules: list[Rule]) -> list[Rule]:
     return [r for r in rules if r.type == "lexicon" and r.words]
 
 
+def _one_word_per_place(lex: list[Rule]) -> bool:
+    """Whole words only, and no phrase that continues a word of another lexicon: then at most one
+    word can match at a place, and rule order matters only for words listed twice."""
+    if not all(r.boundary for r in lex):
+        return False
+    owners = [(w, r.ord) for r in lex for w in r.words]
+    return not any(
+        longer != word and longer.startswith(word) and a != b and not (longer[len(word)].isalnum() or longer[len(word)] == "_")
+        for word, a in owners
+        for longer, b in owners
+    )
+
+
 def lexicon_pattern(rules: list[Rule]) -> str | None:
     """One pattern over all lexicons. The engine takes the leftmost match, then rule order."""
     lex = lexicons(rules)
     if not lex:
         return None
-    if all(r.boundary for r in lex):
-        body = "|".join(f"({patterns.literal_alternation(r.words)})" for r in lex)
-        return f"{patterns.BEFORE_WORD}(?:{body}){patterns.AFTER_WORD}"
+    if _one_word_per_place(lex):
+        return patterns.whole_words(w for r in lex for w in r.words)
     return "|".join(f"({r.java_pattern})" for r in lex)
 
 
+def _lexicon_category(c: Column, trigger: Column, rules: list[Rule], pattern: str) -> Column:
+    lex = lexicons(rules)
+    if _one_word_per_place(lex):
+        owned = [F.when(trigger.isin(*r.words), F.lit(r.category)) for r in lex]
+    else:
+        owned = [
+            F.when(F.regexp_extract(c, pattern, i) != "", F.lit(r.category)) for i, r in enumerate(lex, start=1)
+        ]
+    return F.coalesce(*owned)
+
+
 def rule_match(c: Column, rule: Rule) -> Column:
     return F.coalesce(F.rlike(c, F.lit(rule.java_pattern)), F.lit(False))
 
@@ -79,14 +104,9 @@ def _first_hit(c: Column, rules: list[Rule], pattern: str | None) -> Column:
             F.rlike(c, F.lit(rule.java_pattern)), F.array(F.lit(rule.category), hit[0])
         ).otherwise(verdict)
     if pattern is not None:
-        category = F.coalesce(
-            *[
-                F.when(F.regexp_extract(c, pattern, i) != "", F.lit(r.category))
-                for i, r in enumerate(lexicons(rules), start=1)
-            ]
-        )
+        word = F.regexp_extract(c, pattern, 0)
         verdict = F.when(
-            F.rlike(c, F.lit(pattern)), F.array(category, F.regexp_extract(c, pattern, 0))
+            F.rlike(c, F.lit(pattern)), F.array(_lexicon_category(c, word, rules, pattern), word)
         ).otherwise(verdict)
     return verdict
 

@@ -47,16 +47,20 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 # ---------------------------------------------------------------- Arrow batch functions
 
 
-@lru_cache(maxsize=2)
-def _marks(by_class: bool = False) -> re.Pattern:
-    """All nonspacing marks (or all characters with a combining class), as runs of code points."""
+@lru_cache(maxsize=4)
+def _marks(by_class: bool, high: bool) -> re.Pattern:
+    """All nonspacing marks (or all characters with a combining class), as runs of code points.
+
+    The basic plane and the rest are apart: the first then compiles to a table lookup.
+    """
 
     def is_mark(char: str) -> bool:
         return unicodedata.combining(char) != 0 if by_class else unicodedata.category(char) == "Mn"
 
+    low, top = (0x10000, sys.maxunicode) if high else (0, 0xFFFF)
     runs, start = [], None
-    for code in range(sys.maxunicode + 2):
-        mark = code <= sys.maxunicode and is_mark(chr(code))
+    for code in range(low, top + 2):
+        mark = code <= top and is_mark(chr(code))
         if mark and start is None:
             start = code
         elif not mark and start is not None:
@@ -69,7 +73,8 @@ _KEPT = re.compile(f"([{fixed.KEPT_LETTERS}])")
 
 
 def _fold_all(text: str, by_class: bool = False) -> str:
-    return _marks(by_class).sub("", unicodedata.normalize("NFKD", text))
+    text = _marks(by_class, False).sub("", unicodedata.normalize("NFKD", text))
+    return _marks(by_class, True).sub("", text) if text and max(text) > "\uffff" else text
 
 
 def fold_string(text: str) -> str:
@@ -217,6 +222,12 @@ def strip_non_alnum(c: Column) -> Column:
     return F.regexp_replace(c, patterns.NOT_ALPHANUMERIC, " ")
 
 
+def keep_alnum_words(c: Column) -> Column:
+    """What ``collapse_punct``, ``strip_non_alnum`` and ``squeeze_whitespace`` make together: every
+    run of anything else becomes one blank. One pass instead of three."""
+    return F.btrim(F.regexp_replace(c, patterns.NOT_ALPHANUMERIC_RUN, " "))
+
+
 def squeeze_whitespace(c: Column) -> Column:
     return trim_blanks(F.regexp_replace(c, patterns.BLANK_RUN, " "))
 
@@ -239,15 +250,18 @@ def normalize_message(c: Column) -> Column:
 
 def body_steps(config: CleanConfig) -> list[Callable[[Column], Column]]:
     """The steps between caps detection and the caps prefix, in order."""
+    ending = (
+        [(True, keep_alnum_words)]
+        if config.strip_non_alnum
+        else [(config.collapse_punct, collapse_punct), (True, squeeze_whitespace)]
+    )
     switched = [
         (config.strip_wiki, strip_wiki),
         (config.strip_urls, strip_urls_ips),
         (True, F.lower),
         (config.expand_contractions, expand_contractions),
         (config.deobfuscate, deobfuscate_profanity),
-        (config.collapse_punct, collapse_punct),
-        (config.strip_non_alnum, strip_non_alnum),
-        (True, squeeze_whitespace),
+        *ending,
     ]
     return [step for on, step in switched if on] + list(config.custom_steps)
 

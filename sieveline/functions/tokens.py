@@ -36,7 +36,7 @@ def word_ngrams(tokens: Column, low: int, high: int) -> Column:
 
 def blank_separated_words(c: Column) -> Column:
     return F.filter(
-        F.split(F.lower(c), patterns.BLANK_RUN), lambda w: w != ""
+        F.split(F.lower(c), patterns.WORD_GAP), lambda w: w != ""
     )
 
 

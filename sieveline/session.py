@@ -51,6 +51,16 @@ def materialize(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df):
+    """Give a small input as many partitions as there are cores.
+
+    One row group is one task, and text work is bound by CPU. A table that already has a partition
+    per core, as any large one has, is left alone: no shuffle is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, wherever the driver was started.
 
