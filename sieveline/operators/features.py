@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -174,6 +175,14 @@ def sparse_rows(features: DataFrame) -> DataFrame:
     )
 
 
+def compact(rows: DataFrame, target_bytes: int = 32 << 20) -> DataFrame:
+    """Fewer partitions if the rows are small. An iterative fit starts one task per partition and
+    step, so tiny partitions cost more than they compute; large tables keep the ones they have."""
+    entries = rows.agg(F.sum(F.size("indices"))).first()[0] or 0
+    wanted = max(1, -(-entries * 12 // target_bytes))
+    return rows.coalesce(wanted)
+
+
 def to_vector(indices: Column, values: Column, size: int) -> Column:
     """A sparse ML vector from its parts. Spark's JSON functions know the vector type, and keep the
     conversion inside the JVM."""
@@ -191,9 +200,13 @@ def fit_svd(rows: DataFrame, size: int, k: int) -> tuple[np.ndarray, np.ndarray]
     The matrix stays distributed; only the factors, bounded by ``size * k``, come to the driver.
     """
     vectors = rows.select(to_vector(F.col("indices"), F.col("values"), size).alias("v"))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v"), numCols=size)
-    result = matrix.computeSVD(k)
-    return result.V.toArray(), np.asarray(result.s.toArray())
+    # the solver goes over the rows once per step; a lost executor's share is read again from `rows`
+    vectors = MLUtils.convertVectorColumnsFromML(vectors, "v").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        result = RowMatrix(vectors, numCols=size).computeSVD(k)
+        return result.V.toArray(), np.asarray(result.s.toArray())
+    finally:
+        vectors.unpersist()
 
 
 def svd_project(rows: DataFrame, components: np.ndarray) -> DataFrame:

@@ -6,13 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sieveline import fixed
-from sieveline.functions import tokens
 from sieveline.operators import features as X
 from sieveline.operators import model as L
 from sieveline.plans import fixtures as fx
 from sieveline.plans import sql as S
 from sieveline.plans.registry import query, table
-from sieveline.session import materialize, scratch_path, spread
+from sieveline.session import materialize, scratch_path
 from sieveline.streaming import jobs
 
 # ------------------------------------------------------------------ SQL twins of the vectorisers
@@ -74,10 +73,6 @@ def by_term(weights):
     )
 
 
-def documents(spark, sf):
-    return spread(fx.documents(spark, sf))
-
-
 @query(
     "word_ngrams",
     f"WITH {S.DOCS}, tk AS (SELECT id, list_filter({TOKENS}, lambda x: x NOT IN {S.ql(fixed.STOP_WORDS)}) AS tok FROM docs) "
@@ -85,7 +80,7 @@ def documents(spark, sf):
 )
 def word_ngrams(spark, sf):
     """Every n-gram in order, as a count and a digest per message."""
-    return documents(spark, sf).select("id", X.word_terms(X.WORD_SPEC, "comment_text").alias("t")).select(
+    return fx.documents(spark, sf).select("id", X.word_terms(X.WORD_SPEC, "comment_text").alias("t")).select(
         "id", F.size("t").cast("long").alias("terms"), F.md5(F.array_join("t", "|")).alias("digest")
     )
 
@@ -95,7 +90,7 @@ def word_ngrams(spark, sf):
     f"WITH {CHAR_GRAMS} SELECT length(term) AS n, count(DISTINCT term) AS distinct_terms, count(*) AS pairs, CAST(sum(tf) AS BIGINT) AS occurrences FROM grams GROUP BY 1",
 )
 def char_ngrams(spark, sf):
-    counts = X.term_counts(documents(spark, sf), X.CHAR_SPEC)
+    counts = X.term_counts(fx.documents(spark, sf), X.CHAR_SPEC)
     per_term = counts.groupBy("term").agg(F.count("*").alias("p"), F.sum("tf").alias("o"))
     return per_term.groupBy(F.char_length("term").cast("long").alias("n")).agg(
         F.count("*").alias("distinct_terms"), F.sum("p").alias("pairs"), F.sum("o").alias("occurrences")
@@ -104,27 +99,27 @@ def char_ngrams(spark, sf):
 
 @query("select_vocabulary", f"WITH {WORDS_SQL} SELECT term, idx, df, round(idf, 6) AS idf FROM vocabulary")
 def select_vocabulary(spark, sf):
-    return X.fit_vocabulary(documents(spark, sf), X.WORD_SPEC).withColumn("idf", F.round("idf", 6))
+    return X.fit_vocabulary(fx.documents(spark, sf), X.WORD_SPEC).withColumn("idf", F.round("idf", 6))
 
 
 @query("select_vocabulary_char", f"WITH {CHARS_SQL} SELECT term, idx, df, round(idf, 6) AS idf FROM vocabulary")
 def select_vocabulary_char(spark, sf):
-    return X.fit_vocabulary(documents(spark, sf), X.CHAR_SPEC).withColumn("idf", F.round("idf", 6))
+    return X.fit_vocabulary(fx.documents(spark, sf), X.CHAR_SPEC).withColumn("idf", F.round("idf", 6))
 
 
 @query("tfidf_word", f"WITH {WORDS_SQL} SELECT id, term, idx, round(weight, 6) AS weight FROM weights")
 def tfidf_word(spark, sf):
-    return X.tfidf(documents(spark, sf), X.WORD_SPEC).withColumn("weight", F.round("weight", 6))
+    return X.tfidf(fx.documents(spark, sf), X.WORD_SPEC).withColumn("weight", F.round("weight", 6))
 
 
 @query("tfidf_char", f"WITH {CHARS_SQL} {BY_TERM}")
 def tfidf_char(spark, sf):
-    return by_term(X.tfidf(documents(spark, sf), X.CHAR_SPEC))
+    return by_term(X.tfidf(fx.documents(spark, sf), X.CHAR_SPEC))
 
 
 @query("tfidf_sublinear", f"WITH {SUBLINEAR_SQL} {BY_TERM}")
 def tfidf_sublinear(spark, sf):
-    return by_term(X.tfidf(documents(spark, sf), X.SUBLINEAR_SPEC))
+    return by_term(X.tfidf(fx.documents(spark, sf), X.SUBLINEAR_SPEC))
 
 
 def _renamed(sql: str, suffix: str) -> str:
@@ -140,7 +135,7 @@ def _renamed(sql: str, suffix: str) -> str:
 )
 def feature_union(spark, sf):
     """Word block next to character block; the second starts behind the first's fitted width."""
-    df = documents(spark, sf)
+    df = fx.documents(spark, sf)
     blocks = []
     for spec in (X.WORD_SPEC, X.CHAR_SPEC):
         vocabulary = materialize(X.fit_vocabulary(df, spec), "vocabulary")
@@ -156,11 +151,11 @@ def feature_union(spark, sf):
 def svd_project(spark, sf):
     """Per component: singular value, distance from orthonormal, and the energy of the projection,
     which must equal the squared singular value."""
-    df = documents(spark, sf)
+    df = fx.documents(spark, sf)
     spec = X.TfidfSpec("word", 1, 1, 2_000, min_df=2, stop_words=X.STOP)
     vocabulary = materialize(X.fit_vocabulary(df, spec), "vocabulary")
     width, k = vocabulary.count(), 20
-    rows = materialize(X.sparse_rows(X.tfidf(df, spec, vocabulary=vocabulary)), "rows")
+    rows = X.compact(materialize(X.sparse_rows(X.tfidf(df, spec, vocabulary=vocabulary)), "rows"))
     components, sigma = X.fit_svd(rows, width, k)
     gap = np.abs(components.T @ components - np.eye(components.shape[1])).max(axis=0)
     dense = X.svd_project(rows, components).select(F.posexplode("dense").alias("component", "x"))
@@ -187,7 +182,7 @@ _SIGN = "CASE WHEN substring(md5(w), 9, 1) IN ('0', '1', '2', '3', '4', '5', '6'
 )
 def embed_batch(spark, sf):
     """The built-in encoder's vectors, as their entries that are not zero."""
-    vectors = X.embed_batch(documents(spark, sf)).select("id", F.posexplode("embedding").alias("slot", "x"))
+    vectors = X.embed_batch(fx.documents(spark, sf)).select("id", F.posexplode("embedding").alias("slot", "x"))
     return vectors.filter("x <> 0").select(
         "id", F.col("slot").cast("long").alias("slot"), F.round(F.col("x").cast("double"), 6).alias("value")
     )
@@ -210,7 +205,9 @@ SMALL_CHARS = X.TfidfSpec("char", 3, 5, 3_000)
 
 
 def training_rows(spark, sf):
-    return spread(fx.labelled(spark, sf).select("id", "comment_text", F.col("toxic").alias("y")))
+    """The labelled messages, joined once: a fit reads them several times."""
+    rows = fx.labelled(spark, sf).select("id", "comment_text", F.col("toxic").alias("y"))
+    return materialize(rows, "training")
 
 
 def _facts(spark, rows):
@@ -222,15 +219,16 @@ def fit_logreg(spark, sf):
     """A model with all text blocks and the SVD: converged, better than the base rate, and its
     scores rank the classes."""
     df = training_rows(spark, sf)
-    spec = L.ModelSpec(blocks=(SMALL_WORDS, SMALL_CHARS), svd=20, max_iter=300)
+    spec = L.ModelSpec(blocks=(SMALL_WORDS, SMALL_CHARS), svd=10, max_iter=300)
     model = L.fit_triage_model(df, spec)
     scored = model.score_rows(df).join(df.select("id", "y"), "id")
-    means = {r["y"]: r["m"] for r in scored.groupBy("y").agg(F.avg("y_prob").alias("m")).collect()}
+    by_class = scored.groupBy("y").agg(F.avg("y_prob").alias("m"), F.count("*").alias("n")).collect()
+    means = {r["y"]: r["m"] for r in by_class}
     return _facts(spark, [
         ("stopped before the iteration limit", model.iterations < spec.max_iter),
         ("loss fell", model.objective[-1] < model.objective[0]),
         ("scores separate the classes", means[1] > means[0] + 0.2),
-        ("all rows scored", scored.count() == df.count()),
+        ("all rows scored", sum(r["n"] for r in by_class) == df.count()),
     ])
 
 
@@ -246,7 +244,7 @@ def model_store(spark, sf):
 
 @query("oof_predictions")
 def oof_predictions(spark, sf):
-    spec = L.ModelSpec(blocks=(SMALL_WORDS, SMALL_CHARS), svd=10, max_iter=50)
+    spec = L.ModelSpec(blocks=(SMALL_WORDS,), svd=5, max_iter=50)
     out = L.oof_predictions(training_rows(spark, sf), spec)
     return out.select("id", "fold", "y_true", "y_pred", F.round("y_prob", 4).alias("y_prob"))
 
@@ -256,7 +254,7 @@ def stacked_score_feature(spark, sf):
     """A model with another model's probability and a stored embedding as further features."""
     embeddings = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     scores = fx.documents(spark, sf).select("id", fx.second_score().alias("score"))
-    df = spread(L.attach_score(training_rows(spark, sf).join(embeddings, "id"), scores))
+    df = materialize(L.attach_score(training_rows(spark, sf).join(embeddings, "id"), scores), "stacked")
     spec = L.ModelSpec(
         blocks=(SMALL_WORDS,), svd=None, embedding_dim=64, score=True, max_iter=50,
         scheme=tuple(fixed.DEPLOYED_CLASS_WEIGHTS.items()),
@@ -294,6 +292,3 @@ def resumable_embedding(spark, sf):
         F.lit(counted[0]["rows"]).cast("long").alias("rows"), F.lit(counted[0]["ids"]).cast("long").alias("ids"),
         "rows_after_rerun", F.lit(counted[0]["dim"]).cast("long").alias("dim"),
     )
-
-
-__all__ = ["tokens"]

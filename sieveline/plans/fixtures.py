@@ -14,6 +14,7 @@ from sieveline import fixed
 from sieveline.functions import patterns, scores, text
 from sieveline.functions import rules as R
 from sieveline.plans.registry import table
+from sieveline.session import spread
 from sieveline.sources.rules import demo_rules
 
 PHRASES = [
@@ -41,7 +42,8 @@ SCORE_WEIGHTS = [1.9, 3.0, 2.4, 0.7, 0.02]
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    return spread(texts)
 
 
 def spiked(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sieveline import fixed
-from sieveline.functions import rules as R
 from sieveline.functions import scores as C
-from sieveline.functions import text
 from sieveline.operators import evaluate as E
 from sieveline.operators import joins as J
 from sieveline.operators import routing as G
@@ -474,6 +472,3 @@ def flagship(spark, sf):
     """Documents per decision and rule category."""
     ship_package(spark)
     return decision_distribution(spark, sf)
-
-
-__all__ = ["flagship", "R", "text"]
