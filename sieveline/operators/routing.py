@@ -18,34 +18,39 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def hybrid_fallback(
     df: DataFrame,
-    second: Scorer,
+    second: Scorer | Callable[[Column], Column],
     prob: str = "lr_prob",
     safe: float = fixed.HYBRID_SAFE,
     toxic: float = fixed.HYBRID_TOXIC,
     second_toxic: float = fixed.HYBRID_SECOND,
+    as_column: bool = True,
 ) -> DataFrame:
     """Clear rows decided by the first model, the rest by ``second``.
 
-    ``second`` adds ``bert_prob`` and is applied to the middle band alone: that band is filtered,
-    scored and stacked back, since a batch function inside a condition would run on every row.
+    As a column, ``second`` is a function of the condition under which it is needed, and everything
+    is one pass: a JVM expression is skipped elsewhere, and a batch function should take
+    ``when(needed, text)``, so that other rows reach it as nulls. A model that is a job of its own
+    (``as_column=False``) gets the middle band alone as a table and adds ``bert_prob``; the first
+    probability should then be a stored column, since both bands read it.
     """
     p = F.col(prob)
     is_safe, is_toxic = p < safe, p > toxic
-    clear = df.filter(is_safe | is_toxic).select(
-        "*",
-        F.lit(None).cast("double").alias("bert_prob"),
-        is_toxic.cast("int").alias("y_pred"),
-        p.alias("y_prob"),
-        F.when(is_safe, F.lit("lr_safe")).otherwise(F.lit("lr_toxic")).alias("decision_source"),
-    )
-    middle = second(df.filter(~(is_safe | is_toxic))).withColumn("bert_prob", F.col("bert_prob").cast("double"))
-    fallback = middle.select(
-        "*",
-        (F.col("bert_prob") > second_toxic).cast("int").alias("y_pred"),
-        F.col("bert_prob").alias("y_prob"),
-        F.lit("bert_fallback").alias("decision_source"),
-    )
-    return clear.unionByName(fallback)
+    middle = ~(is_safe | is_toxic)
+
+    def decided(rows: DataFrame) -> DataFrame:
+        fallback = F.col("bert_prob") > second_toxic
+        return rows.select(
+            "*",
+            F.when(is_safe, F.lit(0)).when(is_toxic, F.lit(1)).otherwise(fallback.cast("int")).alias("y_pred"),
+            F.when(middle, F.col("bert_prob")).otherwise(p).alias("y_prob"),
+            F.when(is_safe, F.lit("lr_safe")).when(is_toxic, F.lit("lr_toxic")).otherwise(F.lit("bert_fallback")).alias("decision_source"),
+        )
+
+    if as_column:
+        return decided(df.withColumn("bert_prob", F.when(middle, second(middle)).cast("double")))
+    scored = second(df.filter(middle)).withColumn("bert_prob", F.col("bert_prob").cast("double"))
+    clear = df.filter(~middle).withColumn("bert_prob", F.lit(None).cast("double"))
+    return decided(clear.unionByName(scored))
 
 
 def hybrid_breakdown(hybrid: DataFrame) -> DataFrame:

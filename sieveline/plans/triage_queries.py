@@ -13,7 +13,7 @@ from sieveline.operators import sampling as M
 from sieveline.plans import fixtures as fx
 from sieveline.plans import sql as S
 from sieveline.plans.registry import query, table
-from sieveline.session import scratch_path, ship_package
+from sieveline.session import materialize, scratch_path, ship_package
 from sieveline.sources.rules import demo_rules
 from sieveline.streaming import jobs
 
@@ -94,10 +94,6 @@ def route_bands(spark, sf):
     )
 
 
-def second_model(df):
-    return df.withColumn("bert_prob", fx.second_score())
-
-
 _HYBRID = (
     f"{S.LABELLED}, s AS (SELECT id, toxic AS y_true, {DOC_SCORE} AS lr_prob FROM labelled), "
     "k AS (SELECT *, CASE WHEN lr_prob < 0.3 THEN 'lr_safe' WHEN lr_prob > 0.9 THEN 'lr_toxic' ELSE 'bert_fallback' END AS decision_source FROM s), "
@@ -109,7 +105,7 @@ _HYBRID = (
 
 def hybrid(spark, sf):
     first = fx.labelled(spark, sf).select("id", F.col("toxic").alias("y_true"), fx.doc_score().alias("lr_prob"))
-    return G.hybrid_fallback(first, second_model)
+    return G.hybrid_fallback(first, lambda needed: fx.second_score())
 
 
 @query("hybrid_fallback", f"WITH {_HYBRID} SELECT * FROM hybrid")
@@ -117,6 +113,17 @@ def hybrid_fallback(spark, sf):
     return hybrid(spark, sf)
 
 
+@query("hybrid_fallback_by_scorer", f"WITH {_HYBRID} SELECT * FROM hybrid")
+def hybrid_fallback_by_scorer(spark, sf):
+    """The second model as a table function: it gets the middle band alone."""
+    first = fx.labelled(spark, sf).select("id", F.col("toxic").alias("y_true"), fx.doc_score().alias("lr_prob"))
+
+    def second(middle):
+        return middle.withColumn("bert_prob", fx.second_score())
+
+    return G.hybrid_fallback(materialize(first, "first"), second, as_column=False)
+
+
 @query(
     "hybrid_breakdown",
     f"WITH {_HYBRID}, c AS (SELECT count(*) AS n, count(*) FILTER (decision_source = 'lr_safe') AS a, "

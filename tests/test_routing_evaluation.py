@@ -53,11 +53,13 @@ def test_hybrid_scores_the_middle_band_only(spark):
         seen.extend(r["id"] for r in middle.collect())
         return middle.withColumn("bert_prob", F.when(F.col("id") == 3, 0.81).otherwise(0.8))
 
-    out = {r["id"]: r for r in G.hybrid_fallback(df, second).collect()}
+    out = {r["id"]: r for r in G.hybrid_fallback(df, second, as_column=False).collect()}
     assert sorted(seen) == [2, 3, 4]
     assert [out[i]["y_pred"] for i in range(1, 6)] == [0, 0, 1, 0, 1]
     assert out[1]["bert_prob"] is None and out[2]["y_prob"] == 0.8
-    assert {r["decision_source"]: r["percent"] for r in G.hybrid_breakdown(G.hybrid_fallback(df, second)).collect()} == {
+    column = G.hybrid_fallback(df, lambda needed: F.when(F.col("id") == 3, 0.81).otherwise(0.8))
+    assert {r["id"]: r for r in column.collect()} == out
+    assert {r["decision_source"]: r["percent"] for r in G.hybrid_breakdown(G.hybrid_fallback(df, second, as_column=False)).collect()} == {
         "lr_safe": 20.0, "lr_toxic": 20.0, "bert_fallback": 60.0
     }
 
