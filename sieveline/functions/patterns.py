@@ -26,8 +26,8 @@ def to_java(pattern: str, starts: str | None = None) -> str:
     ``starts`` is a class of the characters that a match can begin with. It changes no result; it
     lets the engine pass over most positions with one comparison.
     """
-    guard = f"(?=[{starts}])" if starts else ""
-    return "(?U)" + guard + pattern.replace(r"\b", EDGE)
+    body = pattern.replace(r"\b", EDGE)
+    return f"(?U)(?=[{starts}])(?:{body})" if starts else "(?U)" + body
 
 
 def escape(word: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sieveline.functions import patterns
+from sieveline.functions.text import bind
 
 
 @dataclass(frozen=True)
@@ -91,11 +92,16 @@ def rule_match(c: Column, rule: Rule) -> Column:
     return F.coalesce(F.rlike(c, F.lit(rule.java_pattern)), F.lit(False))
 
 
-def _first_hit(c: Column, rules: list[Rule], pattern: str | None) -> Column:
-    """``array(category, trigger)`` of the verdict, or null if nothing hits.
+def _first_hit(c: Column, rules: list[Rule]) -> Column:
+    """``array(category, trigger)`` of the verdict, or null if nothing hits. The text itself, which
+    may be a long expression, is evaluated once.
 
     The later branches and the category lookup run only for the rows that reach them.
     """
+    return bind(F.coalesce(c, F.lit("")), lambda text: _verdict(text, rules, lexicon_pattern(rules)))
+
+
+def _verdict(c: Column, rules: list[Rule], pattern: str | None) -> Column:
     verdict = F.lit(None).cast("array<string>")
     regexes = [r for r in rules if r.type == "regex"]
     for rule in reversed(regexes):
@@ -116,10 +122,8 @@ def tier1_inspect(c: Column, rules: list[Rule]) -> Column:
 
     The text is expected in lower case.
     """
-    from sieveline.functions.text import bind
-
     return bind(
-        _first_hit(F.coalesce(c, F.lit("")), rules, lexicon_pattern(rules)),
+        _first_hit(c, rules),
         lambda hit: F.struct(
             F.when(hit.isNull(), F.lit("PASS")).otherwise(F.lit("FLAGGED")).alias("status"),
             hit[0].alias("reason"),
@@ -130,23 +134,18 @@ def tier1_inspect(c: Column, rules: list[Rule]) -> Column:
 
 def tier1_inspect_ruleorder(c: Column, rules: list[Rule]) -> Column:
     """The other verdict rule: the first rule in list order that matches anywhere, any case."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    reason = F.coalesce(
-        *[
-            F.when(F.rlike(text, F.lit("(?iU)" + r.java_pattern)), F.lit(r.category))
-            for r in rules
-        ],
-        F.lit(None).cast("string"),
-    )
-    return reason
+
+    def first(text: Column) -> Column:
+        hits = [F.when(F.rlike(text, F.lit("(?iU)" + r.java_pattern)), F.lit(r.category)) for r in rules]
+        return F.coalesce(*hits, F.lit(None).cast("string"))
+
+    return bind(F.lower(F.coalesce(c, F.lit(""))), first)
 
 
 def tier1_predict(c: Column, rules: list[Rule]) -> Column:
     """``struct(pred, category)`` with 1 and the category for a hit, 0 and an empty string otherwise."""
-    from sieveline.functions.text import bind
-
     return bind(
-        _first_hit(F.coalesce(c, F.lit("")), rules, lexicon_pattern(rules)),
+        _first_hit(c, rules),
         lambda hit: F.struct(
             hit.isNotNull().cast("int").alias("pred"),
             F.coalesce(hit[0], F.lit("")).alias("category"),
