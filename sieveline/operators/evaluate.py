@@ -207,7 +207,9 @@ def prob_stats(errors: DataFrame, prob: str = "tier2_toxic_prob", kind: str = "t
         total.alias("n"), mean.alias("mean"), F.percentile("_v", F.lit(0.5), n).alias("median"),
         F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum(v * v * n).alias("s2"), F.sum(v * n).alias("s1"),
     )
-    spread = F.sqrt(F.greatest(F.try_divide(F.col("s2") - F.col("s1") * F.col("mean"), F.col("n") - 1), F.lit(0.0)))
+    variance = F.try_divide(F.col("s2") - F.col("s1") * F.col("mean"), F.col("n") - 1)
+    # rounding may leave a tiny negative number; a single value has no spread
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
     return first.select(
         "scope", "n", *[F.round(m, 4).alias(m) for m in ("mean", "median")], F.round(spread, 4).alias("std"),
         *[F.round(m, 4).alias(m) for m in ("min", "max")],

@@ -22,7 +22,7 @@ def test_csv_round_trip_and_nulls(spark, tmp_path):
         1: (rows[0][1], 0), 2: (None, 1), 3: (None, None), 4: (None, 1), 5: ("  kept blanks ", 0), 6: ("back\\slash", 0),
         7: (None, 1), 8: (" NA", 0),
     }
-    assert [r["id"] for r in src.read_messages_csv(spark, str(tmp_path / "out"), SCHEMA, nrows=2).collect()] == [1, 2]
+    assert [r["id"] for r in src.read_messages_csv(spark, str(tmp_path / "out"), "id bigint, comment_text string, toxic int", nrows=2).collect()] == [1, 2]
     src.write_table(df, str(tmp_path / "out.parquet"))
     assert spark.read.parquet(str(tmp_path / "out.parquet")).count() == 8
 
