@@ -201,7 +201,6 @@ def near_duplicates(
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub <> other").select("key", "hub")
     members = keep_table(banded.join(hubs, "key").filter("id <> hub"), "neardup-members")
 
-    near = (F.col("n_shingles") * 100 >= F.col("n_hub") * percent) & (F.col("n_hub") * 100 >= F.col("n_shingles") * percent)
     first = members.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     seen = keep_table(verify(first, docs, size), "neardup-verified")
     edges = seen.filter(linked(percent)).select("a", "b")

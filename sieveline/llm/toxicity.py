@@ -1,7 +1,7 @@
 """Toxicity of documents: votes of the nearest labelled examples by exact TF-IDF cosine.
 
 *Fit.* Examples are a bounded sample of the labelled rows outside the held-out fold (``max_examples``, half of each
-class where there are enough, in hash order of the id). A term is a word or the start of one (4, 5 or 6 characters),
+class where there are enough, in hash order of the id). A term is a word or the start of one (3 to 8 characters),
 which catches inflected forms. ``max_terms`` terms are kept, those most associated with the labels of the examples
 (chi-square). Their document frequencies are counted over all documents. Votes are calibrated by a logistic curve over
 the examples' own votes, each taken without itself, weighted back to the class shares of all labelled rows.
@@ -33,7 +33,7 @@ from sieveline.llm.common import hash_order, held_out, keep_table, ship_package,
 
 BLOCK = 64
 PRIOR_WEIGHT = 0.25
-STARTS = (4, 5, 6)
+STARTS = (3, 4, 5, 6, 7, 8)
 MEMO = 500_000
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))  # others part words
 
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, k
     chosen = (
         sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(distinct_terms, "term string, label int")
         .groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        .withColumn("chi", F.coalesce(chi, F.lit(0.0))).filter(F.col("chi") >= max(12.0, 0.012 * (n1 + n0)))
+        .withColumn("chi", F.coalesce(chi, F.lit(0.0))).filter(F.col("chi") >= max(12.0, 0.006 * (n1 + n0)))
         .orderBy(F.desc("chi"), "term").limit(max_terms)
     )
     terms = [r["term"] for r in chosen.collect()]  # at most max_terms rows
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, k
 
 
 def toxicity_scores(
-    df: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 128, k: int = 15, cut: float = 0.5,
+    df: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 256, k: int = 15, cut: float = 0.5,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", with_evidence: bool = False,
 ) -> DataFrame:
     """``id_col, held_out, score, predicted`` of every row; with ``with_evidence`` also the neighbours (id, cosine, label)."""
