@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import neardup, piece_codec, quality_crf, token_counts, toxicity
+from sieveline.llm import chat, neardup, piece_codec, quality_crf, sharding, token_counts, toxicity
 from sieveline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 TOKEN_LIMIT = 1024
+SHARDS = [f"shard-{n:02d}" for n in range(64)]
+SLOTS = 4099
 
 
 def query(name: str, sql: str | None = None):
@@ -55,3 +57,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_sharding", sharding.shard_sql(SHARDS, SLOTS))
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(read_table(spark, sf_dir, "documents").select("doc_id"), SHARDS, SLOTS)
+
+
+@query("op9_chat_formatting", chat.CONVERSATIONS_SQL)
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_paths(chat.threads(turns)))
