@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import chat, neardup, piece_codec, quality_crf, sharding, token_counts, toxicity
+from sieveline.llm import chat, knn_join, neardup, piece_codec, quality_crf, sharding, token_counts, toxicity
 from sieveline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+KNN_SQL = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+  FROM vectors q JOIN vectors d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+@query("op2_knn_join", KNN_SQL)
+def op2_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k_join(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
 @query("op3_quality_crf")
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
