@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, decontaminate, knn_join, neardup, piece_codec, quality_crf, sharding, token_counts, toxicity
+from sieveline.llm import chat, decontaminate, knn_join, license_scan, neardup, piece_codec, quality_crf, sharding, token_counts, toxicity
 from sieveline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], "conv_id long, turn long, role string, text string")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.read_back(chat.format_paths(chat.threads(turns)))
+
+
+@query("op6_license_scan", license_scan.licence_sql())
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", license_scan.repository_path().alias("path"), "text")
+    return license_scan.scan_licences(docs)
