@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, texts
+from sieveline.llm.common import carried, hash_order, held_out, keep_table, ship_package, texts
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -200,9 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int) -> dict:
 
 def quality_scores(
     df: DataFrame, labels: DataFrame, max_examples: int = 2000, cut: float = 0.3,
-    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", with_lines: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", with_lines: bool = False, carry: bool = False,
 ) -> DataFrame:
-    """``id_col, held_out, score, predicted`` of every row; with ``with_lines`` also each line's probability of being good."""
+    """``id_col, held_out, score, predicted`` of every row; with ``with_lines`` also each line's probability of being good.
+
+    With ``carry`` the other columns of ``df`` come along, except those named like a new one.
+    """
     spark = df.sparkSession
     ship_package(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -213,7 +216,7 @@ def quality_scores(
         w = model.get("weights")
         for batch in batches:
             scores, lines = [], []
-            for text in texts(batch):
+            for text in texts(batch, "_text"):
                 if w is None:
                     lines.append([model["share"]] * (text.count("\n") + 1))
                     scores.append(model["share"])
@@ -224,10 +227,11 @@ def quality_scores(
                 score = sum(map(float.__mul__, good, map(float, lengths))) / total if total else sum(good) / len(good)
                 scores.append(min(1.0, max(0.0, score)))
                 lines.append(good)
-            columns = {"id": batch.column("id"), "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= cut) for s in scores], pa.int32())}
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "_text"} | {"score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= cut) for s in scores], pa.int32())}
             if with_lines:
                 columns["lines"] = pa.array(lines, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    out = docs.mapInArrow(run, "id long, score double, predicted int" + (", lines array<double>" if with_lines else ""))
-    return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", "predicted", *(["lines"] if with_lines else []))
+    rows, schema = carried(df, id_col, text_col, carry, {"held_out", "score", "predicted", "lines"})
+    out = rows.mapInArrow(run, f"{schema}, score double, predicted int" + (", lines array<double>" if with_lines else ""))
+    return out.select(*rows.columns[:-1], held_out(id_col).alias("held_out"), "score", "predicted", *(["lines"] if with_lines else []))

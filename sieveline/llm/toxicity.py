@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, texts
+from sieveline.llm.common import carried, hash_order, held_out, keep_table, ship_package, texts
 
 BLOCK = 64
 PRIOR_WEIGHT = 0.25
@@ -204,9 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, k
 
 def toxicity_scores(
     df: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 256, k: int = 15, cut: float = 0.5,
-    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", with_evidence: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", with_evidence: bool = False, carry: bool = False,
 ) -> DataFrame:
-    """``id_col, held_out, score, predicted`` of every row; with ``with_evidence`` also the neighbours (id, cosine, label)."""
+    """``id_col, held_out, score, predicted`` of every row; with ``with_evidence`` also the neighbours (id, cosine, label).
+
+    With ``carry`` the other columns of ``df`` come along, except those named like a new one.
+    """
     spark = df.sparkSession
     ship_package(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -221,17 +224,18 @@ def toxicity_scores(
         vocabulary = Vocabulary(m.get("terms", []))
         for batch in batches:
             scores, near = [], []
-            for text in texts(batch):
+            for text in texts(batch, "_text"):
                 found = index.nearest(weights(vocabulary.counts(text), m["idf"]), m["k"]) if index else []
                 near.append(found)
                 scores.append(1 / (1 + math.exp(-(m["slope"] * (vote(found, m["labels"], m["prior"]) - 0.5) + m["offset"]))) if index else m["share"])
-            columns = {
-                "id": batch.column("id"), "score": pa.array(scores, pa.float64()),
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "_text"} | {
+                "score": pa.array(scores, pa.float64()),
                 "predicted": pa.array([int(s >= cut) for s in scores], pa.int32()),
             }
             if with_evidence:
                 columns["evidence"] = pa.array([[{"id": m["ids"][n], "cosine": -s, "label": m["labels"][n]} for s, n in f] for f in near], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))
             yield pa.RecordBatch.from_pydict(columns)
 
-    out = docs.mapInArrow(run, f"id long, score double, predicted int{evidence}")
-    return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", "predicted", *(["evidence"] if with_evidence else []))
+    rows, schema = carried(df, id_col, text_col, carry, {"held_out", "score", "predicted", "evidence"})
+    out = rows.mapInArrow(run, f"{schema}, score double, predicted int{evidence}")
+    return out.select(*rows.columns[:-1], held_out(id_col).alias("held_out"), "score", "predicted", *(["evidence"] if with_evidence else []))
