@@ -68,7 +68,14 @@ RUNTIME_BANDS = Bands(0.35, 0.65, True, True, fixed.RUNTIME_ACTIONS)
 SEMANTIC_BANDS = Bands(0.20, 0.80, False, False, fixed.SEMANTIC_ACTIONS)
 
 
+def no_nan(prob: Column) -> Column:
+    """Null in place of NaN, which Spark puts above every number."""
+    return F.nanvl(prob.cast("double"), F.lit(None).cast("double"))
+
+
 def band_decision(prob: Column, bands: Bands) -> Column:
+    """A score that is null or not a number lies in no clear band and so in the middle one."""
+    prob = no_nan(prob)
     flagged = prob >= bands.toxic if bands.inclusive else prob > bands.toxic
     return (
         F.when(prob < bands.safe, F.lit("OK")).when(flagged, F.lit("FLAGGED")).otherwise(F.lit("AMBIGUOUS"))

@@ -91,13 +91,15 @@ def _passed_cutoffs(prob: Column, low: int, high: int) -> Column:
     """The largest ``i`` in ``low..high`` with ``prob > i / 100``; ``low - 1`` if none.
 
     A first guess by rounding, then put right by the very comparison that defines the sweep, so
-    that scores lying on a cut-off fall on the correct side.
+    that scores lying on a cut-off fall on the correct side. A score that is null or not a number passes no cut-off.
     """
+    prob = S.no_nan(prob)
     guess = F.ceil(prob * 100) - 1
     up = F.when(prob > (guess + 1) / F.lit(100.0), guess + 1)
     down = F.when(prob > guess / F.lit(100.0), guess)
     exact = F.coalesce(up, down, guess - 1)
-    return F.greatest(F.least(exact, F.lit(high)), F.lit(low - 1)).cast("int")
+    within = F.greatest(F.least(exact, F.lit(high)), F.lit(low - 1)).cast("int")
+    return F.when(prob.isNull(), F.lit(low - 1)).otherwise(within)
 
 
 def threshold_sweep(
@@ -195,25 +197,37 @@ def error_resolution(
 def prob_stats(errors: DataFrame, prob: str = "tier2_toxic_prob", kind: str = "tier1_error_type") -> DataFrame:
     """Mean, median, spread and range, overall and per kind of error.
 
-    Probabilities have six digits, so counting per value leaves at most a million rows per kind; the
-    exact median and all moments come from that histogram.
+    Moments and range come from the values as they are. For the exact median, a histogram over the values' first six
+    digits (at most a million cells per kind) tells in which cells the middle lies, and only the values of those cells,
+    counted per value, are put in order. Scores that are null or not a number are left out of everything but ``n``.
     """
-    histogram = errors.groupBy(F.col(kind).alias("_k"), F.round(prob, 6).alias("_v")).agg(F.count("*").alias("_n"))
-    scopes = F.explode(F.array(F.lit("overall"), F.col("_k"))).alias("scope")
-    v, n = F.col("_v"), F.col("_n")
-    total, mean = F.sum("_n"), F.try_divide(F.sum(v * n), F.sum("_n"))
-    rows = histogram.select(scopes, "_v", "_n")
-    first = rows.groupBy("scope").agg(
-        total.alias("n"), mean.alias("mean"), F.percentile("_v", F.lit(0.5), n).alias("median"),
-        F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum(v * v * n).alias("s2"), F.sum(v * n).alias("s1"),
-    )
-    variance = F.try_divide(F.col("s2") - F.col("s1") * F.col("mean"), F.col("n") - 1)
-    # rounding may leave a tiny negative number; a single value has no spread
-    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
-    return first.select(
-        "scope", "n", *[F.round(m, 4).alias(m) for m in ("mean", "median")], F.round(spread, 4).alias("std"),
-        *[F.round(m, 4).alias(m) for m in ("min", "max")],
+    scopes = F.explode(F.array(F.lit("overall"), F.col(kind))).alias("scope")
+    rows = errors.select(scopes, S.no_nan(F.col(prob)).alias("_v"))
+    moments = rows.groupBy("scope").agg(
+        F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")
     )
+    values = rows.filter("_v is not null").groupBy("scope", F.round("_v", 6).alias("_c"), "_v").agg(F.count("*").alias("_n"))
+    cells = values.groupBy("scope", "_c").agg(F.sum("_n").alias("_m"))
+    up_to = W.partitionBy("scope").orderBy("_c")
+    placed = cells.select(
+        "scope", "_c", F.sum("_m").over(up_to).alias("_to"), (F.sum("_m").over(up_to) - F.col("_m")).alias("_from"),
+        F.sum("_m").over(W.partitionBy("scope")).alias("_all"),
+    )
+    # of `_all` values in order, those numbered `_one` and `_two` from 0 are the middle
+    one, two = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = placed.withColumn("_one", one).withColumn("_two", two).filter(
+        ((F.col("_from") <= F.col("_one")) & (F.col("_one") < F.col("_to"))) | ((F.col("_from") <= F.col("_two")) & (F.col("_two") < F.col("_to")))
+    )
+    inside = W.partitionBy("scope", "_c").orderBy("_v")
+    ordered = values.join(middle, ["scope", "_c"]).select(
+        "scope", "_v", "_one", "_two", (F.col("_from") + F.sum("_n").over(inside)).alias("_end"), (F.col("_from") + F.sum("_n").over(inside) - F.col("_n")).alias("_start")
+    )
+
+    def at(place: str) -> Column:
+        return F.max(F.when((F.col("_start") <= F.col(place)) & (F.col(place) < F.col("_end")), F.col("_v")))
+
+    medians = ordered.groupBy("scope").agg(((at("_one") + at("_two")) / 2).alias("median"))
+    return moments.join(medians, "scope", "left").select("scope", "n", *[F.round(m, 4).alias(m) for m in ("mean", "median", "std", "min", "max")])
 
 
 def decision_distribution(df: DataFrame, *by: str) -> DataFrame:

@@ -257,14 +257,6 @@ def sparse_rows(features: DataFrame) -> DataFrame:
     )
 
 
-def compact(rows: DataFrame, target_bytes: int = 32 << 20) -> DataFrame:
-    """Fewer partitions if the rows are small. An iterative fit starts one task per partition and
-    step, so tiny partitions cost more than they compute; large tables keep the ones they have."""
-    entries = rows.agg(F.sum(F.size("indices"))).first()[0] or 0
-    wanted = max(1, -(-entries * 12 // target_bytes))
-    return rows.coalesce(wanted)
-
-
 def to_vector(indices: Column, values: Column, size: int) -> Column:
     """A sparse ML vector from its parts. Spark's JSON functions know the vector type, and keep the
     conversion inside the JVM."""

@@ -20,7 +20,8 @@ def integrity_check(
     """One row: row counts, missing columns, differing values per column, and the verdict.
 
     Rows are matched by key. Both tables are stacked and grouped by id, with each side reduced to
-    fixed-size values before the shuffle, so repeated ids are counted and never multiplied. Null
+    fixed-size values before the shuffle, so repeated ids are counted and never multiplied; the rows of a repeated id are
+    compared as a bag of values per column. Null
     against null counts as different. Missing columns or unequal row counts end the comparison:
     the mismatch columns are then 0.
     """
@@ -41,6 +42,11 @@ def integrity_check(
     def pick(mark: int, name: str):
         return F.min(F.when(F.col("_side") == mark, F.col(name)))
 
+    def bag(name: str):
+        # 0 if both sides hold the same values equally often; rows of one side count with the other sign
+        sign = F.when(F.col("_side") == 0, F.lit(1)).otherwise(F.lit(-1))
+        return F.sum(sign * F.pmod(F.xxhash64(F.col(name), F.col(name).isNull()), F.lit(1 << 40)))
+
     per_id = (
         left.unionByName(right)
         .groupBy("_id")
@@ -49,6 +55,7 @@ def integrity_check(
             F.count_if(F.col("_side") == 1).alias("_n1"),
             *[pick(0, c).alias(f"_a_{c}") for c in shared],
             *[pick(1, c).alias(f"_b_{c}") for c in shared],
+            *[bag(c).alias(f"_d_{c}") for c in shared],
         )
     )
     both = (F.col("_n0") > 0) & (F.col("_n1") > 0)
@@ -58,7 +65,9 @@ def integrity_check(
         F.coalesce(F.sum(F.greatest(F.col("_n0"), F.col("_n1"), F.lit(1)) - 1), F.lit(0)).alias("duplicate_rows"),
         F.count_if(F.col("_n0") != F.col("_n1")).alias(f"mismatch_{id_col}"),
         *[
-            F.count_if(both & ~F.coalesce(F.col(f"_a_{c}") == F.col(f"_b_{c}"), F.lit(False))).alias(f"mismatch_{c}")
+            F.count_if(
+                both & ((F.col(f"_d_{c}") != 0) & (F.col("_n0") == F.col("_n1")) | ~F.coalesce(F.col(f"_a_{c}") == F.col(f"_b_{c}"), F.lit(False)))
+            ).alias(f"mismatch_{c}")
             for c in shared
         ],
     )

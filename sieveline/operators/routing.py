@@ -33,8 +33,9 @@ def hybrid_fallback(
     (``as_column=False``) gets the middle band alone as a table and adds ``bert_prob``; the first
     probability should then be a stored column, since both bands read it.
     """
-    p = F.col(prob)
-    is_safe, is_toxic = p < safe, p > toxic
+    p = S.no_nan(F.col(prob))
+    # a first score that is null or not a number decides nothing
+    is_safe, is_toxic = F.coalesce(p < safe, F.lit(False)), F.coalesce(p > toxic, F.lit(False))
     middle = ~(is_safe | is_toxic)
 
     def decided(rows: DataFrame) -> DataFrame:
@@ -66,14 +67,16 @@ def hybrid_breakdown(hybrid: DataFrame) -> DataFrame:
 
 
 def reason_is_valid(reply: Column) -> Column:
-    """Exactly the three keys, all strings, and both enumerations respected."""
-    keys = F.json_object_keys(reply)
-    fields = F.from_json(reply, "reason_summary string, risk_type string, recommended_action string")
+    """One JSON object and nothing after it: exactly the three keys, all texts, and both enumerations respected."""
+    keys, parsed = F.json_object_keys(reply), F.try_parse_json(reply)
+    fields = {k: F.try_variant_get(parsed, f"$.{k}", "string") for k in fixed.REASON_KEYS}
+    texts = [F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")) == "STRING" for k in fixed.REASON_KEYS]
+    alone = F.json_array_length(F.concat(F.lit("["), reply, F.lit("]"))) == 1
     wanted = F.array(*[F.lit(k) for k in fixed.REASON_KEYS])
     return F.coalesce(
         (F.size(keys) == len(fixed.REASON_KEYS))
         & (F.size(F.array_except(wanted, keys)) == 0)
-        & fields["reason_summary"].isNotNull()
+        & alone & texts[0] & texts[1] & texts[2]
         & fields["risk_type"].isin(*fixed.RISK_TYPES)
         & fields["recommended_action"].isin(*fixed.REASON_ACTIONS),
         F.lit(False),
@@ -204,11 +207,12 @@ def simulation_compare(
 ) -> DataFrame:
     """Expected against actual route and decision, flattened to 19 columns.
 
-    The expected route matches if it is contained in the actual one, so a blank always matches.
+    The expected route matches if it is contained in the actual one, so a blank always matches. A missing one (null)
+    never does.
     """
 
     def expected(name: str) -> Column:
-        return F.upper(text.trim_blanks(F.coalesce(F.col(name), F.lit(""))))
+        return F.upper(text.trim_blanks(F.col(name)))
 
     flat = flat_result(
         triaged.withColumn("_er", expected("expected_route")).withColumn("_ed", expected("expected_decision")),
@@ -224,8 +228,8 @@ def simulation_compare(
         F.col(id_col).alias("id"), F.col(text_col).alias("comment_text"),
         F.col("_er").alias("expected_route"), "actual_route", F.col("decided_by").alias("actual_route_raw"),
         F.col("_ed").alias("expected_decision"), F.col("final_decision").alias("actual_decision"),
-        F.contains(F.col("actual_route"), F.col("_er")).cast("int").alias("route_match"),
-        (F.col("_ed") == F.col("final_decision")).cast("int").alias("decision_match"),
+        F.coalesce(F.contains(F.col("actual_route"), F.col("_er")), F.lit(False)).cast("int").alias("route_match"),
+        F.coalesce(F.col("_ed") == F.col("final_decision"), F.lit(False)).cast("int").alias("decision_match"),
         "tier1_status", "tier1_reason", "tier1_trigger", "tier2_decision", "tier2_prob", "tier2_confidence_pct",
         "tier2_action", "reason_summary", "risk_type", "recommended_action",
     )

@@ -155,7 +155,7 @@ def svd_project(spark, sf):
     spec = X.TfidfSpec("word", 1, 1, 2_000, min_df=2, stop_words=X.STOP)
     vocabulary = materialize(X.fit_vocabulary(df, spec), "vocabulary")
     width, k = vocabulary.count(), 20
-    rows = X.compact(materialize(X.sparse_rows(X.tfidf(df, spec, vocabulary=vocabulary)), "rows"))
+    rows = materialize(X.sparse_rows(X.tfidf(df, spec, vocabulary=vocabulary)), "rows")
     components, sigma = X.fit_svd(rows, width, k)
     gap = np.abs(components.T @ components - np.eye(components.shape[1])).max(axis=0)
     dense = X.svd_project(rows, components).select(F.posexplode("dense").alias("component", "x"))
@@ -280,9 +280,7 @@ def resumable_embedding(spark, sf):
     base = scratch_path(spark, "embedding")
 
     def run():
-        return jobs.stream_project(
-            spark, sf, DOCUMENT_SCHEMA, _embed, f"{base}/out", f"{base}/state", max_files=1, glob="documents.parquet"
-        )
+        return jobs.stream_project(spark, f"{sf}/documents.parquet", DOCUMENT_SCHEMA, _embed, f"{base}/out", f"{base}/state", max_files=1)
 
     table(spark, sf, "documents")
     first = run().agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.max(F.size("embedding")).cast("long").alias("dim"))

@@ -439,11 +439,11 @@ def hard_example_report(spark, sf):
 @query(
     "balanced_cascade_report",
     f"WITH {_CAUGHT}, r AS (SELECT *, row_number() OVER (PARTITION BY true_label ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) AS rn FROM caught), "
-    f"c AS (SELECT {S.confusion('true_label', 'prediction')} FROM r WHERE rn <= 40) SELECT tn, fp, fn, tp, {S.metrics(6)} FROM c",
+    f"c AS (SELECT {S.confusion('true_label', 'prediction')} FROM r WHERE rn <= 500) SELECT tn, fp, fn, tp, {S.metrics(6)} FROM c",
 )
 def balanced_cascade_report(spark, sf):
     """The comparison run: a balanced sample through the two-way cascade, measured."""
-    sample = M.balanced_sample(fx.labelled(spark, sf), "toxic", 40)
+    sample = M.balanced_sample(fx.labelled(spark, sf), "toxic", 500)
     judged = G.cascade_flagged_variant(sample, RULEORDER, fx.doc_score())
     return E.binary_metrics(judged, "toxic", "prediction", digits=6)
 
@@ -464,9 +464,7 @@ _LIVE = "live AS (SELECT conv_id * 1000 + turn AS id, text AS comment_text FROM
 def stream_triage(spark, sf):
     """The cascade over conversations arriving as files, drained to a table."""
     base = scratch_path(spark, "stream")
-    return jobs.stream_project(
-        spark, sf, CONVERSATION_SCHEMA, _live, f"{base}/out", f"{base}/state", glob="conversations.parquet"
-    )
+    return jobs.stream_project(spark, f"{sf}/conversations.parquet", CONVERSATION_SCHEMA, _live, f"{base}/out", f"{base}/state")
 
 
 @query("stream_triage_batch", f"WITH {_LIVE}, {_cascade_sql('live', 'comment_text', 'id', None)} SELECT * FROM cascade")

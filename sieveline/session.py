@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+SPREAD = "spark.sieveline.spread"
+
 
 def local_session(app: str = "sieveline", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and single-node benches; on a cluster the submitter makes the session."""
@@ -16,7 +18,8 @@ def local_session(app: str = "sieveline", cores: int | str = "*", shuffle_partit
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "10g")
+        .config(SPREAD, "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -52,13 +55,13 @@ def materialize(df, name: str):
 
 
 def spread(df):
-    """Give a small input as many partitions as there are cores.
+    """Deal a table out to all cores, if the session asks for it.
 
-    One row group is one task, and text work is bound by CPU. A table that already has a partition
-    per core, as any large one has, is left alone: no shuffle is added there.
+    A file of one row group is one task, and text work is bound by CPU; on one machine with such files a shuffle pays.
+    ``local_session`` asks for it. A cluster leaves the setting unset, and the table is read as it is split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get(SPREAD, "false") == "true" else df
 
 
 def ship_package(spark: SparkSession) -> None:

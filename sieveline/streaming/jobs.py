@@ -12,9 +12,20 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def message_stream(
-    spark: SparkSession, path: str, schema: T.StructType | str, max_files: int | None = None, glob: str | None = None
-) -> DataFrame:
+def _source(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """The folder to watch and the file name to look for: a table is a folder of files, or one file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(target).isDirectory():
+        return path, None
+    return target.getParent().toString(), "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in target.getName())
+
+
+def message_stream(spark: SparkSession, path: str, schema: T.StructType | str, max_files: int | None = None) -> DataFrame:
+    """Files of the table at ``path`` (a folder, or one file) as they arrive. A table that is not there is an error."""
+    path, glob = _source(spark, path)
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -45,11 +56,10 @@ def stream_project(
     out: str,
     checkpoint: str,
     max_files: int | None = None,
-    glob: str | None = None,
 ) -> DataFrame:
     """Apply a narrow projection, the same one as in batch, to files as they arrive.
 
     Started again with the same checkpoint after a stop or a lost executor, it goes on behind the
     last committed batch: nothing is done twice and nothing is left out.
     """
-    return drain(project(message_stream(spark, path, schema, max_files, glob)), out, checkpoint)
+    return drain(project(message_stream(spark, path, schema, max_files)), out, checkpoint)
