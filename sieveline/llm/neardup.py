@@ -12,9 +12,11 @@
 4. *Estimate.* Two bits of every coordinate go with the id. Pairs that differ in more coordinates than a pair at 0.8
    does with a probability of 4e-11 (6.5 standard deviations) are left out inside the join, before any row is made;
    documents that only share a passage fall away here.
-5. *Verification* on the full sets, in two steps. First every member of a bucket against its smallest member, the hub.
-   Links make components. What is left are pairs of one bucket in different components; the members outside the hub's
-   component are compared with all others of the bucket. Pairs of one component need no comparison.
+5. *Verification* on the full sets. First every member of a bucket against its hub, the member that shares most buckets
+   with most others: the text that the others were made from, if there is one. Links make components; in buckets that
+   still hold several, the best known member outside the main component is the next hub. What is left after
+   ``HUB_ROUNDS`` are pairs of one bucket in different components, and all of these are compared, so nothing depends on
+   the choice of hubs. Pairs of one component need no comparison.
 6. *Components* by alternating large-star and small-star steps, a logarithmic number of rounds, checkpointed.
 
 Texts move only for documents that have a candidate. A bucket, a class or a hub may be of any size: groups are reduced
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import keep_table, ship_package, words
 
 BANDS, ROWS = 50, 5
+HUB_ROUNDS = 2
 MEMO = 400_000  # hashes of words that a worker remembers
 _HASHES: dict[bytes, int] = {}
 U = np.uint64
@@ -232,8 +235,10 @@ def near_duplicates(
     odd = odd.withColumn("first", F.row_number().over(Window.partitionBy("id").orderBy("class_key"))).filter("first = 1")
     reps = plain.select("id", "n_shingles", "keys", "bits").union(odd.select("id", "n_shingles", "keys", "bits"))
     banded = reps.select("id", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub <> other").select("key", "hub")
-    members = keep_table(banded.join(hubs, "key"), "neardup-members")  # the hub itself included
+    shared = banded.groupBy("key").agg(F.count("*").alias("others")).filter("others > 1")
+    members = keep_table(banded.join(shared, "key"), "neardup-members")
+    known = members.groupBy("id").agg(F.sum("others").alias("known"))
+    members = keep_table(members.select("key", "id").join(known, "id"), "neardup-members")
 
     def side(name: str) -> DataFrame:
         return reps.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
@@ -242,24 +247,39 @@ def near_duplicates(
         (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
         & close(F.col("bits_a"), F.col("bits_b"), bands * rows, percent)
     )
-    first = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    first = first.join(side("b"), "b").join(side("a"), "a").filter(possible).select("a", "b")
-    edges = verify(keep_table(first, "neardup-pairs"), docs, size).filter(linked(percent)).select("a", "b")
-    parts = keep_table(components(edges), "neardup-components")
-
-    hub_part = parts.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    placed = members.join(parts, "id", "left").join(hub_part, "hub", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component")
-    )
-    outside = keep_table(placed.filter("component <> hub_component"), "neardup-outside")
-    if not outside.isEmpty():
-        x = outside.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), "hub_component").join(side("a"), "a")
-        y = placed.join(outside.select("key").distinct(), "key", "left_semi").select("key", F.col("id").alias("b"), F.col("component").alias("c_b")).join(side("b"), "b")
-        apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("hub_component")) | (F.col("a") > F.col("b")))
+    parts = None
+    for _ in range(HUB_ROUNDS):
+        placed = members if parts is None else members.join(parts, "id", "left")
+        placed = placed.select("key", "id", "known", F.col("id").alias("component") if parts is None else F.coalesce("component", "id").alias("component"))
+        best = F.max(F.struct("known", (-F.col("id")).alias("minus"), "component"))
+        if parts is not None:  # buckets of one component are done; in the others the best known member outside the largest hub's component is next
+            top = placed.groupBy("key").agg(best.alias("h"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+            open_rows = placed.join(top.select("key", F.col("h.component").alias("main")), "key")
+            open_rows = keep_table(open_rows, "neardup-open")
+            hubs = open_rows.filter("component <> main").groupBy("key").agg(best.alias("h"))
+            placed = open_rows
+        else:
+            hubs = placed.groupBy("key").agg(best.alias("h"))
+        hubs = hubs.select("key", (-F.col("h.minus")).alias("hub"), F.col("h.component").alias("hub_component"))
+        pairs = placed.join(hubs, "key").filter("component <> hub_component").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+        pairs = keep_table(pairs.join(side("b"), "b").join(side("a"), "a").filter(possible).select("a", "b"), "neardup-pairs")
+        edges = verify(pairs, docs, size).filter(linked(percent)).select("a", "b")
+        if parts is not None:  # the components found so far stand for all links inside them
+            edges = edges.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        parts = keep_table(components(edges), "neardup-components")
+
+    placed = members.join(parts, "id", "left").select("key", "id", "known", F.coalesce("component", "id").alias("component"))
+    top = placed.groupBy("key").agg(
+        F.max(F.struct("known", (-F.col("id")).alias("minus"), "component"))["component"].alias("main"), F.min("component").alias("least"), F.max("component").alias("most")
+    ).filter("least <> most").select("key", "main")
+    placed = keep_table(placed.join(top, "key").select("key", "id", "component", "main"), "neardup-open")
+    if not placed.isEmpty():
+        x = placed.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), "main").join(side("a"), "a")
+        y = placed.select("key", F.col("id").alias("b"), F.col("component").alias("c_b")).join(side("b"), "b")
+        apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") > F.col("b")))
         rest = x.join(y, (x.key == y.key) & apart & possible).select("a", "b").distinct()
         more = keep_table(verify(keep_table(rest, "neardup-pairs"), docs, size).filter(linked(percent)).select("a", "b"), "neardup-links")
         if not more.isEmpty():
-            # the components found so far stand for all links inside them
             parts = keep_table(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "neardup-components")
 
     placed_classes = classes.join(parts, classes.rep == parts.id, "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
