@@ -9,11 +9,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.linalg import VectorUDT
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -268,19 +266,60 @@ def to_vector(indices: Column, values: Column, size: int) -> Column:
     return F.from_json(F.to_json(parts), T.StructType([T.StructField("v", VectorUDT())]))["v"]
 
 
-def fit_svd(rows: DataFrame, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+BLOCK = 1024  # rows of a partial product that travel together
+FAN_IN = 64  # partial products that are added up at once
+
+
+def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """``A^T (A q)`` in one pass. Tasks add up their own rows; the partial products are summed in a tree of two levels."""
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+    width = q.shape[1]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, z = shared.value, None
+        for batch in batches:
+            for indices, values in zip(batch.column("indices"), batch.column("values")):
+                at, x = np.asarray(indices.values), np.asarray(values.values)
+                if len(at):
+                    z = np.zeros_like(q) if z is None else z
+                    z[at] += x[:, None] * (x @ q[at])
+        for block in range(0, 0 if z is None else len(z), BLOCK):
+            part = z[block : block + BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "z": pa.array([part.tobytes()], pa.binary())})
+
+    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(z) for z in parts["z"]], axis=0)
+        return pd.DataFrame({"block": [key[0]], "z": [total.tobytes()]})
+
+    parts = rows.select("indices", "values").mapInArrow(partial, "block int, z binary")
+    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).groupBy("block", "part").applyInPandas(add, "block int, z binary")
+    out = np.zeros_like(q)
+    for r in some.groupBy("block").applyInPandas(add, "block int, z binary").collect():  # as large as q
+        out[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["z"]).reshape(-1, width)
+    shared.destroy()
+    return out
+
+
+def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: int = 6, tol: float = 1e-6, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (size x k) and singular values of the uncentred feature matrix.
 
-    The matrix stays distributed; only the factors, bounded by ``size * k``, come to the driver.
+    A randomised range finder: ``k + oversample`` random directions are multiplied by ``A^T A`` and made orthogonal again,
+    at most ``passes`` times, one pass over the rows each; fewer if the values have settled. The number of jobs does not
+    depend on ``k``. The matrix stays distributed; only factors, bounded by ``size * (k + oversample)``, are broadcast.
     """
-    vectors = rows.select(to_vector(F.col("indices"), F.col("values"), size).alias("v"))
-    # the solver goes over the rows once per step; a lost executor's share is read again from `rows`
-    vectors = MLUtils.convertVectorColumnsFromML(vectors, "v").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        result = RowMatrix(vectors, numCols=size).computeSVD(k)
-        return result.V.toArray(), np.asarray(result.s.toArray())
-    finally:
-        vectors.unpersist()
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + oversample))))[0]
+    before = None
+    for _ in range(passes):
+        z = _gram_times(rows, q)
+        energy, turn = np.linalg.eigh(q.T @ z)
+        order = np.argsort(-energy)[:k]
+        values = np.sqrt(np.maximum(energy[order], 0.0))
+        vectors = q @ turn[:, order]
+        if before is not None and np.abs(values - before).max() <= tol * max(values[0], 1e-12):
+            break
+        before, q = values, np.linalg.qr(z)[0]
+    return vectors, values
 
 
 def svd_project(rows: DataFrame, components: np.ndarray) -> DataFrame:
@@ -290,7 +329,16 @@ def svd_project(rows: DataFrame, components: np.ndarray) -> DataFrame:
     @F.pandas_udf("array<double>")
     def project(indices: pd.Series, values: pd.Series) -> pd.Series:
         v = shared.value
-        return pd.Series([np.asarray(x) @ v[np.asarray(i, dtype=int)] for i, x in zip(indices, values)])
+        sizes = np.array([len(i) for i in indices])
+        if not sizes.any():
+            return pd.Series([np.zeros(v.shape[1])] * len(sizes))
+        owner, out = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), v.shape[1]))
+        at, x = np.concatenate(list(indices)).astype(int), np.concatenate(list(values))
+        for start in range(0, len(at), 4096):  # long batches in pieces, so that no large product is made
+            part = slice(start, start + 4096)
+            rows_here, first = np.unique(owner[part], return_index=True)
+            out[rows_here] += np.add.reduceat(x[part, None] * v[at[part]], first, axis=0)
+        return pd.Series(list(out))
 
     return rows.withColumn("dense", project("indices", "values"))
 
