@@ -70,5 +70,5 @@ def test_tables(spark):
     assert {(r["ids_sha256"], r["decoded_sha256"]) for r in out if r["doc_id"] in (2, 3)} == {(empty, empty)}
     assert {r["decoded"] for r in out if r["doc_id"] == 1} == {"one two"}
     counted = {r["doc_id"]: r for r in token_counts.count_tokens(df, BYTES, 1, with_prefixes=True).collect()}
-    assert counted[1]["n_tokens"] == 2 and counted[1]["over_limit"] and counted[1]["cut_at"] == 4 and counted[2]["n_bytes"] == 0
+    assert counted[1]["n_tokens"] == 2 and counted[1]["over_limit"] and counted[1]["cut_at"] == 3 and counted[2]["n_bytes"] == 0
     assert piece_codec.encode_documents(df.limit(0), PIECES).count() == 0 and token_counts.count_tokens(df.limit(0), BYTES, 9).count() == 0
