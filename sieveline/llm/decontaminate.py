@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 1. Every run of ``n`` words of a test item is a possible seed. One pass over all documents counts in how many of them
-   each occurs; an item keeps its rarer half (ties included), where rarity is the number of documents times the number
+   each occurs; an item keeps the rarer three quarters (ties included), where rarity is the number of documents times the number
    of items that hold the run. Common phrases so fall away, but an item copied into any number of documents keeps seeds.
 2. A second pass finds the seeds in the documents. Each hit opens a window as long as the longest item on either side;
    windows that overlap are one passage.
@@ -124,12 +124,12 @@ def seed_counts(docs: DataFrame, seeds: DataFrame, n: int, max_seeds: int) -> Da
     return out.groupBy("seed").agg(F.sum("documents").alias("documents"))
 
 
-def rare_seeds(seeds: DataFrame, counts: DataFrame) -> DataFrame:
-    """``item, seed``: of every item the rarer half of its seeds, ties included."""
+def rare_seeds(seeds: DataFrame, counts: DataFrame, share: float) -> DataFrame:
+    """``item, seed``: of every item the rarer ``share`` of its seeds, ties included."""
     spread = seeds.groupBy("seed").agg(F.count("*").alias("items"))
     rated = seeds.join(spread, "seed").join(counts, "seed", "left").withColumn("common", F.coalesce("documents", F.lit(0)) * F.col("items"))
     order, all_of = Window.partitionBy("item").orderBy("common"), Window.partitionBy("item")
-    return rated.withColumn("place", F.rank().over(order)).withColumn("n", F.count("*").over(all_of)).filter(F.col("place") <= F.ceil(F.col("n") / 2)).select("item", "seed")
+    return rated.withColumn("place", F.rank().over(order)).withColumn("n", F.count("*").over(all_of)).filter(F.col("place") <= F.ceil(F.col("n") * share)).select("item", "seed")
 
 
 def passages(docs: DataFrame, seeds: DataFrame, n: int, reach: int, max_seeds: int) -> DataFrame:
@@ -167,7 +167,7 @@ def passages(docs: DataFrame, seeds: DataFrame, n: int, reach: int, max_seeds: i
 
 
 def contaminated(
-    df: DataFrame, benchmark: DataFrame, n: int = 3, min_similarity: float = 0.5, max_seeds: int = 4_000_000,
+    df: DataFrame, benchmark: DataFrame, n: int = 3, min_similarity: float = 0.5, max_seeds: int = 4_000_000, rare_share: float = 0.75,
     id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
 ) -> DataFrame:
     """``id_col, item_col, similarity, first_word, last_word`` of every document that holds (most of) an item.
@@ -178,7 +178,7 @@ def contaminated(
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null")
     seeds = keep_table(item_seeds(items, n), "leak-seeds")
-    rare = keep_table(rare_seeds(seeds, seed_counts(docs, seeds, n, max_seeds)), "leak-rare")
+    rare = keep_table(rare_seeds(seeds, seed_counts(docs, seeds, n, max_seeds), rare_share), "leak-rare")
 
     def item_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
