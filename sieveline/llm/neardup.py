@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import keep_table, ship_package, words
 
 BANDS, ROWS = 50, 5
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 MEMO = 400_000  # hashes of words that a worker remembers
 _HASHES: dict[bytes, int] = {}
 U = np.uint64
@@ -240,11 +240,11 @@ def near_duplicates(
     known = members.groupBy("id").agg(F.sum("others").alias("known"))
     members = keep_table(members.select("key", "id").join(known, "id"), "neardup-members")
 
-    def side(name: str) -> DataFrame:
-        return reps.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    def side(name: str, *more: str) -> DataFrame:
+        return reps.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n_shingles", "bits", *more)])
 
     possible = (
-        (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+        (F.col("n_shingles_a") * 100 >= F.col("n_shingles_b") * percent) & (F.col("n_shingles_b") * 100 >= F.col("n_shingles_a") * percent)
         & close(F.col("bits_a"), F.col("bits_b"), bands * rows, percent)
     )
     parts = None
@@ -274,10 +274,12 @@ def near_duplicates(
     ).filter("least <> most").select("key", "main")
     placed = keep_table(placed.join(top, "key").select("key", "id", "component", "main"), "neardup-open")
     if not placed.isEmpty():
-        x = placed.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), "main").join(side("a"), "a")
-        y = placed.select("key", F.col("id").alias("b"), F.col("component").alias("c_b")).join(side("b"), "b")
+        x = placed.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), "main").join(side("a", "keys"), "a")
+        y = placed.select("key", F.col("id").alias("b"), F.col("component").alias("c_b")).join(side("b", "keys"), "b")
         apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") > F.col("b")))
-        rest = x.join(y, (x.key == y.key) & apart & possible).select("a", "b").distinct()
+        # a pair that shares several buckets is made once, in the bucket of the smallest key
+        once = x.key == F.array_min(F.array_intersect("keys_a", "keys_b"))
+        rest = x.join(y, (x.key == y.key) & apart & possible & once).select("a", "b").distinct()
         more = keep_table(verify(keep_table(rest, "neardup-pairs"), docs, size).filter(linked(percent)).select("a", "b"), "neardup-links")
         if not more.isEmpty():
             parts = keep_table(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "neardup-components")
