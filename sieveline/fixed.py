@@ -37,20 +37,20 @@ CONTRACTIONS = {
 }
 
 # --- fixed values: disguised profanity -------------------------------------------------------
-# stem -> the endings that collapse onto it; characters allowed between the letters. The two
-# halves of a doubled letter are listed apart because separators may stand between them.
+# stem -> the endings that collapse onto it; characters allowed between the letters.
 PROFANITY_SEPARATORS = r"[*@#.\-]"
 PROFANITY_STEMS = {
-    "fuck": ("f u c k", "(?:ing|er|ed|s)?"),
-    "shit": ("s h i t", "(?:ting|ty|s)?"),
-    "bitch": ("b i t c h", "(?:es)?"),
-    "asshole": ("a s s h o l e", ""),
-    "cunt": ("c u n t", "(?:s)?"),
-    "damn": ("d a m n", "(?:ed|it)?"),
-    # the last three letters of this stem are endings, so a separator may close the match
-    "nigger": ("n i g g", PROFANITY_SEPARATORS + "*(?:er|a|az|ers)?"),
-    "bastard": ("b a s t a r d", "(?:s)?"),
+    "fuck": "(?:ing|er|ed|s)?",
+    "shit": "(?:ting|ty|s)?",
+    "bitch": "(?:es)?",
+    "asshole": "",
+    "cunt": "(?:s)?",
+    "damn": "(?:ed|it)?",
+    # the last two letters of this stem are endings, so a separator may close the match
+    "nigger": PROFANITY_SEPARATORS + "*(?:er|a|az|ers)?",
+    "bastard": "(?:s)?",
 }
+SHORT_STEMS = {"nigger": "nigg"}  # stems of which only the beginning is looked for
 
 # --- fixed values: wiki marks, addresses, tokens ---------------------------------------------
 MONTHS = [

@@ -75,15 +75,15 @@ def whole_words(words, then: str = "") -> str:
 
 
 def _stem_tail(letters: str, ending: str) -> str:
-    first, *rest = letters.split()
+    first, *rest = letters
     gap = fixed.PROFANITY_SEPARATORS + "*"
     return f"{first}*" + "".join(f"{gap}{letter}+" for letter in rest) + ending
 
 
 def _stems() -> str:
     tails: dict[str, list[str]] = {}
-    for stem, parts in fixed.PROFANITY_STEMS.items():
-        tails.setdefault(stem[0], []).append(_stem_tail(*parts))
+    for stem, ending in fixed.PROFANITY_STEMS.items():
+        tails.setdefault(stem[0], []).append(_stem_tail(fixed.SHORT_STEMS.get(stem, stem), ending))
     return _from_word_start({h: f"(?:{'|'.join(t)})" for h, t in tails.items()}) + EDGE
 
 

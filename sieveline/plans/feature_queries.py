@@ -241,6 +241,24 @@ def fit_logreg(spark, sf):
     )
 
 
+_FIXED_COEFFICIENT = "((CAST(('0x' || substring(md5(term), 1, 8)) AS BIGINT) % 2001) - 1000) / 250.0"
+
+
+@query(
+    "score_sparse",
+    f"WITH {WORDS_SQL}, logits AS (SELECT id, sum(weight * {_FIXED_COEFFICIENT}) AS s FROM weights GROUP BY id), "
+    "p AS (SELECT d.id, 1.0 / (1.0 + exp(-(coalesce(s, 0.0) + 0.5))) AS p FROM docs d LEFT JOIN logits l ON l.id = d.id) "
+    f"SELECT id, round(p, 6) AS y_prob, CAST(p > {fixed.TRAINING_CUTOFF} AS INTEGER) AS y_pred FROM p",
+)
+def score_sparse(spark, sf):
+    """The model's own scorer over the full word vocabulary, with a coefficient for each term from its digest."""
+    df = fx.documents(spark, sf)
+    part = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % 2001
+    vocabulary = X.fit_vocabulary(df, X.WORD_SPEC).withColumn("coef", (part - 1000) / F.lit(250.0))
+    model = L.TriageModel(L.ModelSpec(blocks=(X.WORD_SPEC,), svd=None), [materialize(vocabulary, "vocabulary")], 0.5, [], 0.0)
+    return model.score_rows(df).select("id", F.round("y_prob", 6).alias("y_prob"), (F.col("y_prob") > fixed.TRAINING_CUTOFF).cast("int").alias("y_pred"))
+
+
 @query("model_store", f"WITH {S.LABELLED} SELECT id, true AS equal FROM labelled")
 def model_store(spark, sf):
     """Scores of the full text model and of its saved and reloaded copy."""

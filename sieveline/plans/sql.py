@@ -153,9 +153,8 @@ def expand(c: str) -> str:
 
 
 def stem_pattern(stem: str) -> str:
-    letters, ending = fixed.PROFANITY_STEMS[stem]
     gap = fixed.PROFANITY_SEPARATORS + "*"
-    return r"\b" + gap.join(f"{letter}+" for letter in letters.split()) + ending + r"\b"
+    return r"\b" + gap.join(f"{letter}+" for letter in fixed.SHORT_STEMS.get(stem, stem)) + fixed.PROFANITY_STEMS[stem] + r"\b"
 
 
 def deobfuscate(c: str) -> str:

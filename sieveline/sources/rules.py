@@ -24,18 +24,23 @@ def demo_rules() -> list[Rule]:
     return make_rules(fixed.DEFAULT_RULES + fixed.DEMO_RULES)
 
 
-def load_rules(path: str) -> list[Rule]:
-    """Rules from a ``rules:`` list in a YAML or JSON file."""
-    with open(path, encoding="utf-8") as file:
-        if path.endswith(".json"):
-            config = json.load(file)
-        else:
-            try:
-                import yaml
-            except ImportError as error:
-                raise ImportError("reading YAML rules needs the yaml package; use JSON instead") from error
-            config = yaml.safe_load(file)
-    return make_rules(config["rules"])
+def load_rules(path: str, spark: SparkSession | None = None) -> list[Rule]:
+    """Rules from a ``rules:`` list in a YAML or JSON file.
+
+    With a session the file is read by Spark, so it may lie in any store that Spark reads; else by the driver.
+    """
+    if spark is not None:
+        content = spark.read.text(path, wholetext=True).first()["value"]  # a rule file is small
+    else:
+        with open(path, encoding="utf-8") as file:
+            content = file.read()
+    if path.endswith(".json"):
+        return make_rules(json.loads(content)["rules"])
+    try:
+        import yaml
+    except ImportError as error:
+        raise ImportError("reading YAML rules needs the yaml package; use JSON instead") from error
+    return make_rules(yaml.safe_load(content)["rules"])
 
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:

@@ -72,3 +72,9 @@ def test_rules_from_files(spark, tmp_path):
     assert load_rules(str(tmp_path / "rules.yaml"))[0].pattern == "a+"
     with pytest.raises(ValueError):
         R.make_rules([{"category": "K", "type": "other"}])
+
+
+def test_rules_from_any_store(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text('{"rules": [{"category": "A", "type": "regex", "pattern": "a+"}]}')
+    assert load_rules(f"file://{path}", spark)[0].pattern == load_rules(str(path))[0].pattern
