@@ -301,7 +301,7 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: int = 6, tol: float = 1e-6, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: int = 6, tol: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (size x k) and singular values of the uncentred feature matrix.
 
     A randomised range finder: ``k + oversample`` random directions are multiplied by ``A^T A`` and made orthogonal again,
