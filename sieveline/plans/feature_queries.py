@@ -284,7 +284,7 @@ def oof_predictions(spark, sf):
 @query(
     "stacked_score_feature",
     f"WITH {S.LABELLED}, m AS (SELECT l.id, toxic FROM labelled l JOIN embeddings e ON e.vec_id = l.id) "
-    f"SELECT id, toxic AS y_true, round({S.second_score()}, 6) AS score, CAST(64 AS BIGINT) AS embedding_size, true AS solved FROM m",
+    f"SELECT id, toxic AS y_true, round({S.second_score()}, 6) AS score, CAST(64 AS BIGINT) AS embedding_size, true AS is_probability FROM m",
 )
 def stacked_score_feature(spark, sf):
     """The stacked run: 5,000 words, 5,000 character n-grams, a stored embedding and another model's probability."""
@@ -295,9 +295,9 @@ def stacked_score_feature(spark, sf):
         blocks=(STACKED_WORDS, STACKED_CHARS), svd=None, embedding_dim=64, score=True, scheme=tuple(fixed.DEPLOYED_CLASS_WEIGHTS.items()),
     )
     model = L.fit_triage_model(df, spec)
-    scored = model.score_rows(df).join(df.select("id", "y"), "id")
-    solved = _solved(scored, spec.class_scheme)
-    return df.select("id", F.col("y").alias("y_true"), F.round("score", 6).alias("score"), F.size("embedding").cast("long").alias("embedding_size")).crossJoin(F.broadcast(solved))
+    scored = model.score_rows(df).select("id", F.col("y_prob").between(0.0, 1.0).alias("is_probability"))
+    kept = df.select("id", F.col("y").alias("y_true"), F.round("score", 6).alias("score"), F.size("embedding").cast("long").alias("embedding_size"))
+    return kept.join(scored, "id")
 
 
 # ------------------------------------------------------------------ resumable embedding
