@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: spaced word seeds, bounds, then local alignment.
 
-1. Every run of ``n`` words of a test item is a possible seed. One pass over all documents counts in how many of them
-   each occurs; an item keeps the rarer three quarters (ties included), where rarity is the number of documents times the number
-   of items that hold the run. Common phrases so fall away, but an item copied into any number of documents keeps seeds.
-2. A second pass finds the seeds in the documents. Each hit opens a window as long as the longest item on either side;
-   windows that overlap are one passage.
-3. Passages join items by seed, and each (passage, item) is scored once by Smith-Waterman alignment over words (match
-   2, mismatch and gap -1), as a share of the score of a full copy. Edited and shortened copies keep most of it.
+1. A test item's seeds are its ordered word triples that stand close together, with up to two words left out between
+   them. In any alignment that reaches ``min_similarity``, some three words matched in a row lie that close both in the item and
+   in the document (``seed_shape`` counts this for each item length; where triples do not suffice, as for very short items,
+   pairs or single words are taken). So no such pair is lost, however common its seeds are: none is dropped.
+2. One pass over the documents looks the seeds up. For every item hit, a bound comes first: with 2 for each document word
+   that the item has and -1 for every other, no stretch of words can align better than its sum.
+3. What the bound leaves is scored by Smith-Waterman alignment over words (match 2, mismatch and gap -1), as a share of the score of
+   a full copy, in windows around the hits that are as wide as an alignment of ``min_similarity`` can be. Edited
+   and shortened copies keep most of it.
 
-The seed hashes (8 bytes each) go to the tasks in parts of at most ``max_seeds``; a larger benchmark takes more passes,
-with the same result. Counts are combined per task before the shuffle, and only passages with a hit leave the scan; the
-text of other documents never moves. A seed in a third of all documents is a skewed key of one ordinary join.
+Items go to the tasks in parts of at most about ``max_seeds`` seeds (8 bytes each, besides the items' words); a larger benchmark takes
+more passes, with the same result. All is done inside the scan: only (document, item) pairs that are reported are shuffled.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Items of fewer than ``n`` words are too short
 to be told from chance and are never reported; null and empty texts have no words. Repeated items and documents of one id
@@ -22,17 +23,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import keep_table, ship_package, texts
-from sieveline.llm.neardup import U, _HASHES, _hash_of, mix
+from sieveline.llm.common import ship_package, texts
+from sieveline.llm.neardup import U, _HASHES, _hash_of
 
 TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MATCH, MISS, GAP = 2, -1, 1
+PER_WORD = 6  # seeds of an item of the usual shape, per word
 
 
 def item_words(text: str) -> list[bytes]:
@@ -44,18 +47,6 @@ def hashes_of(found: list[bytes]) -> np.ndarray:
     return np.array([get(w) or _hash_of(w) for w in found], U)
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """A signed 64-bit hash of every run of ``n`` words."""
-    count = len(h) - n + 1
-    if count <= 0:
-        return np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        out = np.full(count, n, U)
-        for k in range(n):
-            out = mix(out + h[k : k + count] + U(0x9E3779B97F4A7C15))
-    return out.view(np.int64)
-
-
 def found_in(runs: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Which of ``runs`` are among the sorted ``seeds``: their places, or -1."""
     at = np.searchsorted(seeds, runs)
@@ -77,137 +68,141 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def item_seeds(items: DataFrame, n: int) -> DataFrame:
-    """``item, seed``: the distinct runs of every item."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(grams(hashes_of(item_words(t)), n)) for t in texts(batch)]
-            yield pa.RecordBatch.from_pydict({
-                "item": pa.array(np.repeat(np.asarray(batch.column("item"), np.int64), [len(f) for f in found]), pa.int64()),
-                "seed": pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64()),
-            })
-
-    return items.mapInArrow(run, "item long, seed long").distinct()
-
-
-def in_parts(seeds: DataFrame, max_seeds: int) -> Iterator[np.ndarray]:
-    """Distinct seeds as sorted arrays of at most about ``max_seeds`` each, one after the other."""
-    parts = max(1, math.ceil(seeds.select("seed").distinct().count() / max_seeds))
-    mine = F.pmod(F.xxhash64("seed"), F.lit(parts))
+def seed_shape(length: int, least: int) -> tuple[int, int]:
+    """``size, slack`` of seeds without loss: an alignment of a score of ``least`` has ``size`` matches in a row with at most
+    ``slack`` unmatched words between them. ``m`` matches leave ``2 m - least`` for unmatched words, in ``m - 1`` places."""
+    counts = range(max(1, math.ceil(least / MATCH)), length + 1)
+    for size in (3, 2):
+        for slack in range(3):
+            if all((m - 1) // (size - 1) * (slack + 1) > MATCH * m - least for m in counts):
+                return size, slack
+    return 1, 0
+
+
+def spaced(ids: np.ndarray, size: int, slack: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of all ``size`` known words (``ids`` from 0 to ``words``, -1 is unknown) with at most ``slack`` others between them."""
+    keys, places = [], []
+    known = np.flatnonzero(ids >= 0)
+    for steps in product(range(1, slack + 2), repeat=size - 1):
+        if sum(steps) - len(steps) > slack:
+            continue
+        at, key = known[known < len(ids) - sum(steps)], 0
+        for reach in np.cumsum([0, *steps]).tolist():
+            word = ids[at + reach]
+            at, key = at[word >= 0], (key * words + word)[word >= 0]
+        keys.append(key)
+        places.append(at)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+class ItemIndex:
+    """Items by their seeds, and what a document's words can score with each."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], min_similarity: float):
+        self.min_similarity, self.names = min_similarity, [name for name, _ in items]
+        self.words: dict[bytes, int] = {}
+        self.ids = [np.array([self.words.setdefault(w, len(self.words)) for w in found], np.int64) for _, found in items]
+        self.base = len(self.words)
+        shapes: dict[tuple[int, int], list[int]] = {}
+        for k, ids in enumerate(self.ids):
+            shapes.setdefault(seed_shape(len(ids), math.ceil(MATCH * len(ids) * min_similarity - 1e-9)), []).append(k)
+        self.seeds = []
+        for shape, members in sorted(shapes.items()):
+            keys = [np.unique(spaced(self.ids[k], *shape, self.base)[0]) for k in members]
+            owner, key = np.repeat(members, [len(x) for x in keys]), np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            distinct, first = np.unique(key[order], return_index=True)
+            self.seeds.append((shape, distinct, np.append(first, len(key)), owner[order]))
+
+    def hits(self, ids: np.ndarray) -> dict[int, list[int]]:
+        """Item numbers and the places of their seeds."""
+        out: dict[int, list[int]] = {}
+        for shape, distinct, first, owner in self.seeds:
+            keys, places = spaced(ids, *shape, self.base)
+            if not len(keys) or not len(distinct):
+                continue
+            at = found_in(keys, distinct)
+            for seed, place in zip(at[at >= 0].tolist(), places[at >= 0].tolist()):
+                for k in owner[first[seed] : first[seed + 1]].tolist():
+                    out.setdefault(k, []).append(place)
+        return out
+
+    def leaks(self, found: list[bytes]) -> Iterator[tuple[int, float, int, int]]:
+        """``item, similarity, first word, last word`` of every item that reaches the similarity, and in each window where it does."""
+        get = self.words.get
+        ids = np.array([get(w, -1) for w in found], np.int64)
+        own = np.zeros(self.base + 1, bool)
+        for k, places in self.hits(ids).items():
+            item = self.ids[k]
+            least = MATCH * len(item) * self.min_similarity
+            own[item] = True
+            gain = np.where(own[ids], MATCH, MISS)
+            own[item] = False
+            if most(gain) < least:
+                continue
+            # m matches and g others score 2 m - g, so an alignment covers m + g words at most
+            reach = math.ceil(len(item) * max(1, 3 - 2 * self.min_similarity))
+            hits = np.unique(places)
+            for group in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1):
+                start, stop = max(0, int(group[0]) - reach), min(len(ids), int(group[-1]) + reach)
+                if most(gain[start:stop]) < least:
+                    continue
+                passage = ids[start:stop]
+                best, end = align(item, passage)
+                if best >= least:
+                    length = align(item[::-1], passage[:end][::-1])[1]
+                    yield self.names[k], best / (MATCH * len(item)), start + end - length, start + end - 1
+
+
+def most(gain: np.ndarray) -> int:
+    """The largest sum of consecutive values."""
+    total = np.concatenate([[0], np.cumsum(gain)])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
+def in_parts(items: DataFrame, n: int, max_seeds: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Distinct items of at least ``n`` words, about ``max_seeds`` seeds' worth at a time."""
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(total / 4 * PER_WORD / max_seeds))  # few words are shorter than three letters and a blank
+    mine = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
     for k in range(parts):
-        rows = seeds.select("seed").distinct().filter(mine == k).toPandas()
-        yield np.sort(rows["seed"].to_numpy(np.int64))
-
-
-def seed_counts(docs: DataFrame, seeds: DataFrame, n: int, max_seeds: int) -> DataFrame:
-    """``seed, documents``: in how many documents each seed occurs; seeds that never occur are left out."""
-    spark, out = docs.sparkSession, None
-    for part in in_parts(seeds, max_seeds):
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            counts = np.zeros(len(table), np.int64)
-            for batch in batches:
-                for text in texts(batch):
-                    at = found_in(grams(hashes_of(item_words(text)), n), table)
-                    counts[np.unique(at[at >= 0])] += 1
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"seed": pa.array(table[some], pa.int64()), "documents": pa.array(counts[some], pa.int64())})
-
-        if len(part):
-            counted = docs.select("text").mapInArrow(run, "seed long, documents long")
-            out = counted if out is None else out.union(counted)
-    if out is None:
-        return spark.createDataFrame([], "seed long, documents long")
-    return out.groupBy("seed").agg(F.sum("documents").alias("documents"))
-
-
-def rare_seeds(seeds: DataFrame, counts: DataFrame, share: float) -> DataFrame:
-    """``item, seed``: of every item the rarer ``share`` of its seeds, ties included."""
-    spread = seeds.groupBy("seed").agg(F.count("*").alias("items"))
-    rated = seeds.join(spread, "seed").join(counts, "seed", "left").withColumn("common", F.coalesce("documents", F.lit(0)) * F.col("items"))
-    order, all_of = Window.partitionBy("item").orderBy("common"), Window.partitionBy("item")
-    return rated.withColumn("place", F.rank().over(order)).withColumn("n", F.count("*").over(all_of)).filter(F.col("place") <= F.ceil(F.col("n") * share)).select("item", "seed")
-
-
-def passages(docs: DataFrame, seeds: DataFrame, n: int, reach: int, max_seeds: int) -> DataFrame:
-    """``doc, start, words, seeds``: the passages around hits, as word hashes, and the distinct seeds in each."""
-    spark, out = docs.sparkSession, None
-    for part in in_parts(seeds, max_seeds):
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for batch in batches:
-                rows: dict[str, list] = {"doc": [], "start": [], "words": [], "seeds": []}
-                for doc, text in zip(batch.column("doc").to_pylist(), texts(batch)):
-                    h = hashes_of(item_words(text))
-                    at = found_in(grams(h, n), table)
-                    hits = np.flatnonzero(at >= 0)
-                    if not len(hits):
-                        continue
-                    for group in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1):
-                        start, end = max(0, int(group[0]) - reach), min(len(h), int(group[-1]) + n + reach)
-                        rows["doc"].append(doc)
-                        rows["start"].append(start)
-                        rows["words"].append(h[start:end].view(np.int64))
-                        rows["seeds"].append(table[np.unique(at[group])])
-                if rows["doc"]:
-                    yield pa.RecordBatch.from_pydict({
-                        "doc": pa.array(rows["doc"], pa.int64()), "start": pa.array(rows["start"], pa.int64()),
-                        "words": pa.array(rows["words"], pa.list_(pa.int64())), "seeds": pa.array(rows["seeds"], pa.list_(pa.int64())),
-                    })
-
-        if len(part):
-            some = docs.mapInArrow(run, "doc long, start long, words array<long>, seeds array<long>")
-            out = some if out is None else out.union(some)
-    return out if out is not None else spark.createDataFrame([], "doc long, start long, words array<long>, seeds array<long>")
+        split = ((r["item"], item_words(r["text"] or "")) for r in items.filter(mine == k).collect())  # a bounded part
+        if some := [(item, found) for item, found in split if len(found) >= max(1, n)]:
+            yield some
 
 
 def contaminated(
-    df: DataFrame, benchmark: DataFrame, n: int = 3, min_similarity: float = 0.5, max_seeds: int = 4_000_000, rare_share: float = 0.75,
+    df: DataFrame, benchmark: DataFrame, n: int = 3, min_similarity: float = 0.5, max_seeds: int = 4_000_000,
     id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
 ) -> DataFrame:
     """``id_col, item_col, similarity, first_word, last_word`` of every document that holds (most of) an item.
 
     ``similarity``: alignment score over that of a full copy. Word numbers count from 0; ``last_word`` is included.
     """
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null")
-    seeds = keep_table(item_seeds(items, n), "leak-seeds")
-    rare = keep_table(rare_seeds(seeds, seed_counts(docs, seeds, n, max_seeds), rare_share), "leak-rare")
-
-    def item_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [hashes_of(item_words(t)).view(np.int64) for t in texts(batch)]
-            yield pa.RecordBatch.from_pydict({"item": batch.column("item"), "item_words": pa.array(found, pa.list_(pa.int64()))})
-
-    hashed = keep_table(items.mapInArrow(item_hashes, "item long, item_words array<long>").distinct(), "leak-items")
-    reach = hashed.agg(F.max(F.size("item_words"))).first()[0] or 1
-    near = keep_table(passages(docs, rare, n, reach, max_seeds).withColumn("passage", F.monotonically_increasing_id()), "leak-passages")
-    pairs = near.select("passage", F.explode("seeds").alias("seed")).join(rare, "seed").select("passage", "item").distinct()
-    both = pairs.join(hashed, "item").join(near.select("passage", "doc", "start", "words"), "passage")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            similarity, first, last = [], [], []
-            for item, words, start in zip(batch.column("item_words"), batch.column("words"), batch.column("start").to_pylist()):
-                a, b = np.asarray(item.values), np.asarray(words.values)
-                best, end = align(a, b)
-                length = len(b[:end]) if best < MATCH * len(a) * min_similarity else align(a[::-1], b[:end][::-1])[1]
-                similarity.append(best / (MATCH * len(a)))
-                first.append(start + end - length)
-                last.append(start + end - 1)
-            yield pa.RecordBatch.from_pydict({
-                "doc": batch.column("doc"), "item": batch.column("item"), "similarity": pa.array(similarity, pa.float64()),
-                "first_word": pa.array(first, pa.int64()), "last_word": pa.array(last, pa.int64()),
-            })
-
-    scored = both.select("doc", "item", "start", "words", "item_words").mapInArrow(score, "doc long, item long, similarity double, first_word long, last_word long")
-    best = scored.filter(F.col("similarity") >= min_similarity).groupBy("doc", "item").agg(
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null").distinct()
+    schema, scored = "doc long, item long, similarity double, first_word long, last_word long", None
+    for part in in_parts(items, n, max_seeds):
+        shared = spark.sparkContext.broadcast(part)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(shared.value, min_similarity)
+            for batch in batches:
+                rows = [(doc, *leak) for doc, text in zip(batch.column("doc").to_pylist(), texts(batch)) for leak in index.leaks(item_words(text))]
+                if rows:
+                    doc, item, similarity, first, last = zip(*rows)
+                    yield pa.RecordBatch.from_pydict({
+                        "doc": pa.array(doc, pa.int64()), "item": pa.array(item, pa.int64()), "similarity": pa.array(similarity, pa.float64()),
+                        "first_word": pa.array(first, pa.int64()), "last_word": pa.array(last, pa.int64()),
+                    })
+
+        some = docs.mapInArrow(score, schema)
+        scored = some if scored is None else scored.union(some)
+    if scored is None:
+        scored = spark.createDataFrame([], schema)
+    best = scored.groupBy("doc", "item").agg(
         F.max(F.struct("similarity", (-F.col("first_word")).alias("a"), (-F.col("last_word")).alias("b"))).alias("m")
     )
     return best.select(

@@ -68,6 +68,46 @@ def test_equals_all_pairs(spark):
         assert full and all(words[r["doc_id"]][r["first_word"] : r["last_word"] + 1] == item[r["item_id"]] for r in full)
 
 
+def test_edited_copies_whose_rare_runs_are_gone(spark):
+    """Copies with every third or fourth word edited: the runs that survive are common or fewer than a quarter."""
+    r = random.Random(11)
+    items, docs = [], []
+    for i in range(40):
+        item = [f"i{i}w{k}" for k in range(12)]
+        items.append((i, " ".join(item)))
+        for times in range(i % 3):  # the verbatim item elsewhere makes the surviving runs the common ones
+            docs.append((1000 + 10 * i + times, f"p{i} " + " ".join(item), 0))
+        for k in r.sample(range(12), 3 + i % 2):
+            item[k] = f"edit{i}x{k}"
+        docs.append((i, f"before {i} " + " ".join(item) + " after", 0))
+    for i in range(40, 48):  # no run of three survives the inserted words
+        item = [f"i{i}w{k}" for k in range(20)]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(w for k, x in enumerate(item) for w in (x, f"new{i}x{k}")), 0))
+    want = {}
+    for d, t, _ in docs:
+        for i, x in items:
+            a, b = leak.hashes_of(leak.item_words(x)), leak.hashes_of(leak.item_words(t))
+            best, _ = leak.align(a, b)
+            if best / (2 * len(a)) >= 0.5:
+                want[d, i] = best / (2 * len(a))
+    out = leak.contaminated(spark.createDataFrame(docs, D), spark.createDataFrame(items, I)).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in out} == want and {(i, i) for i in range(40, 48)} <= set(want)
+
+
+def test_equals_all_pairs_at_half(spark):
+    docs, items = case()
+    out = leak.contaminated(spark.createDataFrame(docs, D), spark.createDataFrame(items, I)).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in out}
+    want = {}
+    for d, t, _ in docs:
+        for i, x in items:
+            a, b = leak.hashes_of(leak.item_words(x)), leak.hashes_of(leak.item_words(t))
+            if (best := leak.align(a, b)[0]) >= len(a):
+                want[d, i] = best / (2 * len(a))
+    assert got == want and len(got) >= 95
+
+
 def test_a_leak_in_every_document_is_found(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     docs = spark.createDataFrame([(i, f"x{i} y{i} {item} z{i}", 0) for i in range(200)], D)
