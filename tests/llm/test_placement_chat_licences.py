@@ -1,6 +1,7 @@
 """Sharding, chat formatting and licences on small cases; their queries are compared with SQL in tests/test_queries.py."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,24 @@ def test_licences(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
     assert license_scan.scan_licences(df.limit(0)).count() == 0
+
+
+def test_licences_wrapped_inside_lines_and_in_files(spark):
+    texts = [
+        ("CC-BY-NC-4.0", "some prose\nLicensed under CC BY-NC 4.0.\nmore prose"), ("Apache-2.0", "# Licensed under the\n# Apache License,\n# Version 2.0."),
+        ("CC-BY-NC-4.0", "prose " * 60 + "licensed under CC BY-NC 4.0 " + "words " * 60), ("MIT", "far " * 50 + "Released under the MIT License. " + "away " * 50),
+        ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."), ("GPL-3.0", "x = 1  # SPDX-License-Identifier: GPL-3.0"),
+        ("MIT", "Copyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"),
+        ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007\n Everyone is permitted to copy"), (None, "work of a public version of the program"), (None, None),
+    ]
+    df = spark.createDataFrame([(k, f"d{k}/x.py", t) for k, (_, t) in enumerate(texts)], "doc_id long, path string, text string")
+    assert {r["doc_id"]: r["own_licence"] for r in license_scan.scan_licences(df).collect()} == {k: name for k, (name, _) in enumerate(texts)}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="test tables are not here")
+def test_every_licence_line_of_the_tables_has_a_licence(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", license_scan.repository_path().alias("path"), "text")
+    lines = {r["doc_id"]: r["line"] for r in docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line rlike '(?i)licensed? '").collect()}
+    names = {r["doc_id"]: r["own_licence"] for r in license_scan.scan_licences(docs).collect()}
+    expected = {"CC BY-NC": "CC-BY-NC-4.0", "GNU": "GPL-3.0", "MIT": "MIT", "Apache": "Apache-2.0"}
+    assert lines and all(names[d] == next(v for k, v in expected.items() if k in line) for d, line in lines.items())
