@@ -261,9 +261,9 @@ def score_sparse(spark, sf):
 
 @query("model_store", f"WITH {S.LABELLED} SELECT id, true AS equal FROM labelled")
 def model_store(spark, sf):
-    """Scores of the full text model and of its saved and reloaded copy."""
+    """Scores of the full text model, components included, and of its saved and reloaded copy."""
     df = training_rows(spark, sf)
-    model = L.fit_triage_model(df, L.ModelSpec(svd=None, max_iter=20))
+    model = L.fit_triage_model(df, L.ModelSpec())
     again = L.saved_and_reloaded(model, spark)
     both = model.score_rows(df).join(again.score_rows(df).withColumnRenamed("y_prob", "reloaded"), "id")
     return both.select("id", (F.abs(F.col("y_prob") - F.col("reloaded")) < 1e-12).alias("equal"))
@@ -276,8 +276,8 @@ def model_store(spark, sf):
 )
 def oof_predictions(spark, sf):
     """Out-of-fold scores of the full model: every row once, by the model that did not see its fold.
-    Words and character n-grams at full size; the components are left to `fit_logreg`, to keep three fits affordable."""
-    out = L.oof_predictions(training_rows(spark, sf), L.ModelSpec(svd=None, max_iter=50))
+    Words, character n-grams and components at full size, up to 1,000 steps."""
+    out = L.oof_predictions(training_rows(spark, sf), L.ModelSpec())
     return out.groupBy("id", "fold", "y_true").agg(F.count("*").alias("times"), F.bool_and((F.col("y_prob") >= 0) & (F.col("y_prob") <= 1)).alias("is_probability"))
 
 
