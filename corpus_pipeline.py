@@ -45,8 +45,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return without(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")), "pipeline-leaks")
+    """Documents that hold no benchmark item. Rows with a null id are searched under a digest of their text."""
+    items = read_table(spark, sf_dir, "benchmark")
+    known, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    clean = without(known, decontaminate.contaminated(known, items), "pipeline-leaks")
+    keyed = nameless.withColumn("_key", F.xxhash64("text"))
+    found = decontaminate.contaminated(keyed.select(F.col("_key").alias("doc_id"), "text").distinct(), items)
+    leaks = keep_table(found.select(F.col("doc_id").alias("_key")).distinct(), "pipeline-nameless-leaks")
+    return clean.unionByName(keyed.join(leaks, "_key", "left_anti").select(docs.columns))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

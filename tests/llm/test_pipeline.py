@@ -41,5 +41,12 @@ def test_rows_of_one_id_and_nulls(spark):
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
 
 
+def test_null_ids_are_decontaminated(spark):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").filter("length(text) > 100").first()["text"]
+    rows = [(None, f"before {item} after"), (None, f"before {item} after"), (None, "clean words of no item"), (None, None), (5, f"x {item}"), (6, "clean words of no item")]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, "clean words of no item"), (6, "clean words of no item")]
+
+
 def test_all_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
