@@ -98,14 +98,15 @@ def spaced(ids: np.ndarray, size: int, slack: int, words: int) -> tuple[np.ndarr
 class ItemIndex:
     """Items by their seeds, and what a document's words can score with each."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], min_similarity: float):
-        self.min_similarity, self.names = min_similarity, [name for name, _ in items]
+    def __init__(self, items: list[tuple[int, list[bytes]]], min_similarity: float, min_words: int):
+        self.names = [name for name, _ in items]
         self.words: dict[bytes, int] = {}
         self.ids = [np.array([self.words.setdefault(w, len(self.words)) for w in found], np.int64) for _, found in items]
         self.base = len(self.words)
+        self.least = [math.ceil(MATCH * min(len(ids) * min_similarity, min_words) - 1e-9) for ids in self.ids]
         shapes: dict[tuple[int, int], list[int]] = {}
         for k, ids in enumerate(self.ids):
-            shapes.setdefault(seed_shape(len(ids), math.ceil(MATCH * len(ids) * min_similarity - 1e-9)), []).append(k)
+            shapes.setdefault(seed_shape(len(ids), self.least[k]), []).append(k)
         self.seeds = []
         for shape, members in sorted(shapes.items()):
             keys = [np.unique(spaced(self.ids[k], *shape, self.base)[0]) for k in members]
@@ -133,15 +134,14 @@ class ItemIndex:
         ids = np.array([get(w, -1) for w in found], np.int64)
         own = np.zeros(self.base + 1, bool)
         for k, places in self.hits(ids).items():
-            item = self.ids[k]
-            least = MATCH * len(item) * self.min_similarity
+            item, least = self.ids[k], self.least[k]
             own[item] = True
             gain = np.where(own[ids], MATCH, MISS)
             own[item] = False
             if most(gain) < least:
                 continue
             # m matches and g others score 2 m - g, so an alignment covers m + g words at most
-            reach = math.ceil(len(item) * max(1, 3 - 2 * self.min_similarity))
+            reach = max(len(item), 3 * len(item) - least)
             hits = np.unique(places)
             for group in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1):
                 start, stop = max(0, int(group[0]) - reach), min(len(ids), int(group[-1]) + reach)
@@ -172,12 +172,13 @@ def in_parts(items: DataFrame, n: int, max_seeds: int) -> Iterator[list[tuple[in
 
 
 def contaminated(
-    df: DataFrame, benchmark: DataFrame, n: int = 3, min_similarity: float = 0.5, max_seeds: int = 4_000_000,
+    df: DataFrame, benchmark: DataFrame, n: int = 3, min_similarity: float = 0.5, max_seeds: int = 4_000_000, min_words: int = 50,
     id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
 ) -> DataFrame:
     """``id_col, item_col, similarity, first_word, last_word`` of every document that holds (most of) an item.
 
-    ``similarity``: alignment score over that of a full copy. Word numbers count from 0; ``last_word`` is included.
+    ``similarity``: alignment score over that of a full copy. Below ``min_similarity`` a pair is reported if its score is that of
+    ``min_words`` verbatim words, so that a long passage of a longer item counts. Word numbers count from 0; ``last_word`` is included.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -188,7 +189,7 @@ def contaminated(
         shared = spark.sparkContext.broadcast(part)
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, min_similarity)
+            index = ItemIndex(shared.value, min_similarity, min_words)
             for batch in batches:
                 rows = [(doc, *leak) for doc, text in zip(batch.column("doc").to_pylist(), texts(batch)) for leak in index.leaks(item_words(text))]
                 if rows:

@@ -119,3 +119,10 @@ def test_edges(spark):
     items = spark.createDataFrame([(7, "A, b. c d e f"), (7, "A, b. c d e f"), (8, None), (9, "a b"), (None, "a b c d")], I)
     assert sorted((r["doc_id"], r["item_id"], r["similarity"], r["first_word"], r["last_word"]) for r in leak.contaminated(docs, items).collect()) == [(3, 7, 1.0, 0, 5), (4, 7, 1.0, 30_000, 30_005)]
     assert leak.contaminated(docs.limit(0), items).count() == 0 and leak.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_a_long_passage_of_a_longer_item_is_found(spark):
+    words = [f"w{k}" for k in range(250)]
+    docs = [(1, " ".join(["a", *words[100:200], "z"]), 0), (2, " ".join(words[:49]), 0), (3, " ".join(words[:50]), 0)]
+    out = leak.contaminated(spark.createDataFrame(docs, D), spark.createDataFrame([(1, " ".join(words))], I)).collect()
+    assert sorted((r["doc_id"], r["similarity"], r["first_word"], r["last_word"]) for r in out) == [(1, 0.4, 1, 100), (3, 0.2, 0, 49)]
