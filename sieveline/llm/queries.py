@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, decontaminate, knn_join, license_scan, neardup, piece_codec, quality_crf, sharding, token_counts, toxicity
+from sieveline.llm import chat, decontaminate, knn_join, license_scan, neardup, phrases, piece_codec, quality_crf, sharding, token_counts, toxicity
 from sieveline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,36 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", license_scan.repository_path().alias("path"), "text")
     return license_scan.scan_licences(docs)
+
+
+PHRASE_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (SELECT lang, doc, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+sizes AS (SELECT unnest(range(1, 6)) AS n_words),
+grams AS (SELECT lang, n_words, unnest(list_transform(range(1, len(w) - n_words + 2), lambda i: array_to_string(list_slice(w, i, i + n_words - 1), ' '))) AS phrase
+  FROM split, sizes WHERE len(w) >= n_words),
+counts AS MATERIALIZED (SELECT lang, n_words, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE n_words = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, n_words, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE n_words >= 2 AND f >= 100),
+cuts AS (SELECT *, unnest(range(1, n_words)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, c.k, (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, c.k), ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, c.k + 1, c.n_words), ' ')
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_sizes AS (SELECT lang, w, a AS longer, n_words, unnest(range(2, n_words)) AS m FROM candidates WHERE n_words > 2),
+inside AS (SELECT lang, longer, unnest(list_transform(range(1, n_words - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS phrase FROM inner_sizes),
+most AS (SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, n, score::BIGINT AS score
+FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.phrase = b.phrase WHERE coalesce(100 * m.longer >= 100 * a, false) = false
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrases", PHRASE_SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
