@@ -40,7 +40,7 @@ CAPACITY = 1 << 20  # counters of a summary
 BLOCK_WORDS = 1 << 20  # words that a task looks at together
 VOCABULARY = 1 << 18  # words that a task remembers
 HELD = 1 << 18  # phrases that a task counts before it sends them
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 28, 3
 SEPARATORS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
@@ -131,28 +131,35 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 class Filter:
-    """A set of hashes as bits; may hold others too."""
+    """A set of hashes as bits, ``PROBES`` for each; lets about one in a thousand others pass."""
 
     def __init__(self, size: int, bits: bytes):
         self.size, self.bits = size, np.frombuffer(bits, np.uint8)
 
     @staticmethod
-    def places(hashes: np.ndarray, size: int) -> np.ndarray:
-        return (mix(hashes ^ U(0xA0761D6478BD642F)) & U(size - 1)).astype(np.int64)
+    def places(hashes: np.ndarray, size: int, probe: int) -> np.ndarray:
+        return (mix(hashes ^ U(0xA0761D6478BD642F + probe)) & U(size - 1)).astype(np.int64)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.places(hashes, self.size)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        out = np.ones(len(hashes), bool)
+        left = np.arange(len(hashes))
+        for probe in range(PROBES):
+            at = self.places(hashes[left], self.size, probe)
+            hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            out[left[~hit]] = False
+            left = left[hit]
+        return out
 
 
 def collect_filter(hashes: DataFrame) -> Filter:
-    """The filter of a ``hash`` column, with some 16 bits for each value up to ``MOST_BITS`` in all. Its bytes come to the driver once."""
+    """The filter of a ``hash`` column, with at least 32 bits for each value, up to ``MOST_BITS`` in all. Its bytes come to the driver once."""
     n = hashes.count()
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * n - 1).bit_length())) if n else LEAST_BITS
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(Filter.places(np.asarray(batch.column("hash")).view(U), size))
+            hashes = np.asarray(batch.column("hash")).view(U)
+            at = np.unique(np.concatenate([Filter.places(hashes, size, probe) for probe in range(PROBES)]))
             cell, first = np.unique(at >> 6, return_index=True)
             value = np.bitwise_or.reduceat(np.int64(1) << (at & 63), first) if len(at) else at
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int64()), "value": pa.array(value, pa.int64())})

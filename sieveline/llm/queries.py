@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, decontaminate, knn_join, license_scan, neardup, phrases, piece_codec, quality_crf, sharding, token_counts, toxicity
+from sieveline.llm import chat, decontaminate, knn_join, license_scan, neardup, phrases, piece_codec, quality_crf, sharding, token_alignment, token_counts, toxicity, warc
 from sieveline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,27 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(docs)
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_documents(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+WARC_SQL = """
+WITH pages_of AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+sized AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS last FROM pages_of)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM sized
+"""
+
+
+@query("op12_warc", WARC_SQL)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 PHRASE_SQL = r"""
 WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
