@@ -1,8 +1,9 @@
 """Alignment of two tokenizers over the same texts, and which of their tokens go together in the corpus.
 
-*Encoding.* A reads a blank and the text, B the text (it puts the blank there itself). Both vocabularies begin anew at a
-blank between two characters that are no white space (A's pattern and B's pieces are checked for it), so a text falls into chunks
-that are encoded apart, and a worker remembers frequent ones.
+*Encoding.* A reads a blank and the text, B the text (it puts the blank there itself). Both vocabularies begin anew where white
+space follows something else: A's pattern looks at nothing before, and no piece of B holds a word mark, line end or tab after another
+character (pattern and pieces are checked). So a text falls into chunks, white space and what follows up to the next, that are encoded
+apart, and a worker remembers them for a while.
 
 *Coalescing.* The tokens of both are byte ranges. All are sorted by start; where a start reaches the running maximum of the ends
 before it, a new group begins. Within a group, the overlapping pairs of an A and a B token are expanded; there are fewer than the
@@ -19,6 +20,7 @@ tokens: zeros, an empty digest, and no part in the counts. Rows are kept as they
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,8 +34,9 @@ from sieveline.llm.common import keep_table, ship_package
 from sieveline.llm.piece_codec import load_pieces
 from sieveline.llm.token_counts import byte_letters, load_merges
 
-MEMO, MEMO_CHARS = 100_000, 16_000_000  # chunks that a worker remembers, and their length in all
-SLICE = 1_000_000  # characters that are encoded together
+MEMO, MEMO_CHARS = 250_000, 16_000_000  # chunks that a worker remembers, and their length in all
+SLICE = 1_000_000  # characters that are looked at together
+JOINED = 20_000  # characters of chunks that are encoded in one text
 STATS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -64,68 +67,104 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+        byte_of = {letter: n for n, letter in enumerate(byte_letters())}
         entries = sorted(self.a.get_vocab(with_added_tokens=True).items(), key=lambda e: e[1])
         special = {n for n, t in self.a.get_added_tokens_decoder().items() if t.special}
         self.a_bytes = {n: t.encode() if n in special else bytes([byte_of[c] for c in t]) for t, n in entries}
         b = self.b
+        inner = {c for p in map(b.id_to_piece, range(b.vocab_size())) if len(p) > 1 for c in p} - {"▁"}
+        breaks = " " + "".join(c for c in "\n\t\r" if c not in inner)
+        self.chunks = re.compile(rf"\s*\S+(?:[^\S{breaks}]\s*\S*)*|\s+").findall
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.vocab_size())]
+        self.a_length = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_length = np.array([len(x) for x in self.b_bytes])
+        # what is written for a token: A ids end in a comma, the last of a group in a bar; B ids in a comma, the last of a group in a semicolon
+        n = len(self.a_length)
+        self.bar, self.b_comma, self.semicolon = n, 2 * n, 2 * n + len(self.b_length)
+        self.written = [f"{i}{end}" for ids, ends in ((n, ",|"), (len(self.b_length), ",;")) for end in ends for i in range(ids)]
         self.restart()
 
     def restart(self) -> None:
-        self.number: dict[str, int] = {}  # chunks of one word without the blank, others with one
-        self.names: list[str] = []  # their groups as text
-        self.pairs: list[np.ndarray] = []  # their links, A id in the high half
-        self.stats = np.zeros((0, 1 + len(STATS)), np.int64)  # not given back, then STATS
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []  # the groups of each chunk as text
+        self.pool: list[np.ndarray] = []  # the links of all chunks, A id in the high half
+        self.stats = np.zeros((0, 2 + len(STATS)), np.int64)  # not given back, STATS, end of the links in the pool
         self.chars = 0
 
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of a blank and ``text``; one word stands without its blank."""
-        out, open_end = [], True
-        for n, part in enumerate(text.split(" ")):
-            if n == 0 or not open_end and part and not part[0].isspace():
-                out.append([part])
-            else:
-                out[-1].append(part)
-            open_end = not part or part[-1].isspace()
-        return [c[0] if len(c) == 1 and c[0].strip() and c[0] == c[0].strip() else " " + " ".join(c) for c in out]
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Both tokenizers' ids of texts that start with white space."""
+        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # B puts a blank first, unless nothing follows; where the text has none it is a token of its own and goes again
+        b = self.b.encode([t.removeprefix(" ") for t in texts], num_threads=1)
+        blank = [self.b.piece_to_id("▁")]
+        return a, [np.array(blank if t == " " else x if t.startswith(" ") else x[1:], np.int64) for x, t in zip(b, texts)]
+
+    def given_back(self, a: np.ndarray, b: np.ndarray, text: str) -> bool:
+        raw = text.encode("utf-8", "surrogatepass")
+        return b"".join([self.a_bytes[i] for i in a.tolist()]) == raw == b"".join([self.b_bytes[i] for i in b.tolist()])
 
     def learn(self, keys: list[str]) -> None:
-        """Encode chunks and remember their groups and links."""
-        texts = [k if k.startswith(" ") else " " + k for k in keys]
-        a_ids = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        b_ids = self.b.encode([t[1:] for t in texts], num_threads=1)
-        whole = [t.encode("utf-8", "surrogatepass") for t in texts]
-        good = [b"".join([self.a_bytes[i] for i in a]) == w == b"".join([self.b_bytes[i] for i in b]) for a, b, w in zip(a_ids, b_ids, whole)]
-        a = np.array([i for x, ok in zip(a_ids, good) if ok for i in x], np.int64)
-        b = np.array([i for x, ok in zip(b_ids, good) if ok for i in x], np.int64)
-        a_ends = np.cumsum([len(self.a_bytes[i]) for i in a.tolist()], dtype=np.int64)
-        b_ends = np.cumsum([len(self.b_bytes[i]) for i in b.tolist()], dtype=np.int64)
-        a_starts, b_starts = np.append(0, a_ends)[:-1], np.append(0, b_ends)[:-1]
-        order, group = coalesce(np.concatenate([a_starts, b_starts]), np.concatenate([a_ends, b_ends]))
-        group_of = np.empty(len(order), np.int64)
-        group_of[order] = group
+        """Encode chunks and remember their groups and links.
+
+        Chunks are encoded one behind the other in one text, as they would stand in a document. Where a tokenizer does not give that text
+        back, its chunks are encoded one by one, and those that are not given back are marked.
+        """
+        texts, members, size = [[]], [[]], 0
+        for key in keys:
+            alone = key[-1].isspace()  # only the end of a text may follow it
+            if size + len(key) > JOINED or alone:
+                texts.append([])
+                members.append([])
+                size = 0
+            texts[-1].append(key)
+            size = JOINED if alone else size + len(key)
+        texts = [t for t in texts if t]
+        joined = ["".join(t) for t in texts]
+        a_all, b_all, order = [], [], []
+        for a, b, text, part in zip(*self.encode(joined), joined, texts):
+            if self.given_back(a, b, text):
+                a_all.append(a)
+                b_all.append(b)
+                order += part
+            else:
+                for x, y, key in zip(*self.encode(part), part):
+                    if self.given_back(x, y, key):
+                        a_all.append(x)
+                        b_all.append(y)
+                        order.append(key)
+                    else:
+                        self._remember([key], [""], np.array([[1] + [0] * len(STATS)]), np.zeros(0, np.int64), np.zeros(1, np.int64))
+        if not order:
+            return
+        a, b = np.concatenate(a_all), np.concatenate(b_all)
+        a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        a_starts, b_starts = a_ends - self.a_length[a], b_ends - self.b_length[b]
+        by_start, group = coalesce(np.concatenate([a_starts, b_starts]), np.concatenate([a_ends, b_ends]))
+        group_of = np.empty(len(group), np.int64)
+        group_of[by_start] = group
+        a_group, b_group = group_of[: len(a)], group_of[len(a) :]
+        a_last, b_last = np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)
+        code = np.concatenate([a + self.bar * a_last, b + np.where(b_last, self.semicolon, self.b_comma)])
+        in_turn = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), group_of))  # stable: of each group A, then B
+        written = [self.written[c] for c in code[in_turn].tolist()]
         x, y = overlaps(a_starts, a_ends, b_starts, b_ends)
         linked = a_ends[x] == b_ends[y]
         x, y = x[linked], y[linked]
-        key = a[x] << 32 | b[y]
-        a_group, b_group = group_of[: len(a)], group_of[len(a) :]
-        groups = int(group_of.max(initial=-1)) + 1
-        a_first, b_first = np.searchsorted(a_group, np.arange(groups + 1)).tolist(), np.searchsorted(b_group, np.arange(groups + 1)).tolist()
-        a_text, b_text = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        as_text = [",".join(a_text[a_first[g] : a_first[g + 1]]) + "|" + ",".join(b_text[b_first[g] : b_first[g + 1]]) for g in range(groups)]
-        # groups and links of each chunk: they lie between its bytes
-        bounds = np.cumsum([0] + [len(w) if ok else 0 for w, ok in zip(whole, good)])
-        group_at = np.searchsorted(a_starts[a_first[:-1]] if groups else a_starts, bounds).tolist()
-        link_at = np.searchsorted(a_starts[x], bounds).tolist()
-        rows = []
-        for n, (k, ok) in enumerate(zip(keys, good)):
-            self.number[k] = len(self.names)
-            self.names.append(";".join(as_text[group_at[n] : group_at[n + 1]]))
-            self.pairs.append(key[link_at[n] : link_at[n + 1]])
-            rows.append((0, len(a_ids[n]), len(b_ids[n]), group_at[n + 1] - group_at[n], link_at[n + 1] - link_at[n]) if ok else (1, 0, 0, 0, 0))
-            self.chars += len(k) + len(self.names[-1])
-        self.stats = np.concatenate([self.stats, np.array(rows, np.int64).reshape(-1, 1 + len(STATS))])
+        # every chunk ends where a group ends; its tokens, groups and links lie between its bytes
+        bounds = np.cumsum([0, *(len(k.encode("utf-8", "surrogatepass")) for k in order)])
+        a_at, b_at = np.searchsorted(a_starts, bounds), np.searchsorted(b_starts, bounds)
+        group_at, link_at = np.append(a_group, group.max() + 1)[a_at], np.searchsorted(a_starts[x], bounds)
+        stats = np.column_stack([np.zeros(len(order), np.int64)] + [np.diff(v) for v in (a_at, b_at, group_at, link_at)])
+        cut = (a_at + b_at).tolist()
+        self._remember(order, ["".join(written[i:j]) for i, j in zip(cut, cut[1:])], stats, a[x] << 32 | b[y], link_at[1:])
+
+    def _remember(self, keys: list[str], names: list[str], stats: np.ndarray, links: np.ndarray, ends: np.ndarray) -> None:
+        base = self.stats[-1, -1] if len(self.stats) else 0
+        self.number.update(zip(keys, range(len(self.names), len(self.names) + len(keys))))
+        self.names += names
+        self.pool.append(links)
+        self.stats = np.concatenate([self.stats, np.column_stack([stats, base + ends])])
+        self.chars += sum(map(len, keys)) + sum(map(len, names))
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
         """STATS, groups as text, distinct links and their numbers, of every text."""
@@ -136,24 +175,22 @@ class Aligner:
             while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= SLICE):
                 size += len(texts[stop] or "")
                 stop += 1
-            found, new, number = [], {}, self.number
-            for text in texts[start:stop]:
-                parts = text.split(" ") if text else []
-                if not all(p in number for p in parts):
-                    parts = self.chunks(text)
-                    new.update((p, None) for p in parts if p not in number)
-                found.append(parts)
+            found, number = [self.chunks(" " + text) if text else [] for text in texts[start:stop]], self.number
+            new = set().union(*found).difference(number)
             if new:
-                self.learn(list(new))
+                self.learn(sorted(new))
+            self.pool = [np.concatenate(self.pool)] if self.pool else []
             for parts in found:
-                at = [number[p] for p in parts]
-                total = self.stats[at].sum(axis=0) if at else np.ones(1)
-                if total[0]:
+                at = np.array([number[p] for p in parts], np.int64)
+                total = self.stats[at, :-1].sum(axis=0)
+                if not parts or total[0]:
                     yield none
                 else:
-                    names = self.names
-                    keys, counts = np.unique(np.concatenate([self.pairs[n] for n in at]), return_counts=True)
-                    yield total[1:], ";".join([names[n] for n in at]), keys, counts
+                    names, sizes = self.names, self.stats[at, -2]
+                    first = self.stats[at, -1] - sizes
+                    links = self.pool[0][np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                    keys, counts = np.unique(links, return_counts=True)
+                    yield total[1:], "".join([names[n] for n in at.tolist()])[:-1], keys, counts
             start = stop
             if len(self.names) > MEMO or self.chars > MEMO_CHARS:
                 self.restart()
@@ -172,7 +209,7 @@ def aligner(shared) -> Aligner:
     return _ALIGNERS[key]
 
 
-def spans(groups: str, a_length: dict[int, int], b_length: list[int]) -> list[dict]:
+def spans(groups: str, a_length: list[int]) -> list[dict]:
     """``first_byte, end_byte, a, b`` of groups written as text."""
     out, at = [], 0
     for group in groups.split(";") if groups else []:
@@ -201,7 +238,6 @@ def align_documents(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = aligner(shared)
-        a_length, b_length = {i: len(x) for i, x in one.a_bytes.items()}, [len(x) for x in one.b_bytes]
         for batch in batches:
             found = list(one.align(batch.column("_text").to_pylist()))
             stats = np.array([f[0] for f in found], np.int64).reshape(-1, len(STATS))
@@ -213,7 +249,7 @@ def align_documents(
             }
             if with_groups:
                 item = pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
-                columns["groups"] = pa.array([spans(f[1], a_length, b_length) for f in found], pa.list_(item))
+                columns["groups"] = pa.array([spans(f[1], one.a_length.tolist()) for f in found], pa.list_(item))
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
