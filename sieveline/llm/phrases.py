@@ -11,7 +11,8 @@ ones, each of two passes over the texts:
    partition's mass divided by ``min_count``. So every frequent n-gram survives. (A summary grows rather than break
    this bound, should a partition get more than its share.) Summaries merge: counters and what was taken add up.
 2. *Exact counts.* Survivors become bits of a filter, at most ``MOST_BITS`` (32 MB), which is broadcast. A second pass counts the
-   phrases that pass it by their text, and only those with ``min_count`` occurrences stay. Hashes and filters only let too much
+   phrases that pass it by their text, tasks send their counts to hash partitions as blocks, and only those with ``min_count``
+   occurrences stay. Hashes and filters only let too much
    through, so counts and results are exact whatever collides.
 
 Scores, cuts and the phrases inside longer ones are joins of the tables of counts. Frequent words and phrases are combined in
@@ -37,9 +38,10 @@ from sieveline.llm.neardup import U, mix
 
 MIN_WORDS, MAX_WORDS = 2, 5
 CAPACITY = 1 << 20  # counters of a summary
-BLOCK_WORDS = 1 << 20  # words that a task looks at together
-VOCABULARY = 1 << 18  # words that a task remembers
-HELD = 1 << 18  # phrases that a task counts before it sends them
+BLOCK_WORDS = 1 << 18  # words that a task looks at together
+VOCABULARY = 1 << 17  # words that a task remembers
+HELD = 1 << 17  # phrases that a task counts before it sends them
+PER_PART = 1 << 17  # survivors whose counts one task adds up
 LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 28, 3
 SEPARATORS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
@@ -299,8 +301,8 @@ def count_phrases(docs: DataFrame, min_count: int = 100, capacity: int = CAPACIT
         places = block.starts(known.value)
         yield block.grow(places, block.hash[places], 2)[1]
 
-    hashes, pair_parts = frequent_hashes(docs, pairs, mass, min_count, capacity)
-    known_pairs = spark.sparkContext.broadcast(collect_filter(hashes))
+    pair_hashes, pair_parts = frequent_hashes(docs, pairs, mass, min_count, capacity)
+    known_pairs = spark.sparkContext.broadcast(collect_filter(pair_hashes))
 
     def possible_pairs(block: Block) -> tuple[np.ndarray, np.ndarray]:
         places = block.starts(known.value)
@@ -317,15 +319,22 @@ def count_phrases(docs: DataFrame, min_count: int = 100, capacity: int = CAPACIT
     hashes, parts = frequent_hashes(docs, longer, mass * (MAX_WORDS - 2), min_count, capacity)
     known_longer = spark.sparkContext.broadcast(collect_filter(hashes))
 
+    parts_of_counts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * (pair_hashes.count() + hashes.count()) / PER_PART))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             rows = list(held.items())
             held.clear()
+            part = np.array([xxhash.xxh3_64_intdigest(f"{lang}\0{phrase}".encode("utf-8", "surrogatepass")) % parts_of_counts for (lang, phrase), _ in rows], np.int64)
+            order = np.argsort(part, kind="stable")
+            found, first = np.unique(part[order], return_index=True)
+            offsets = pa.array([*first.tolist(), len(rows)], pa.int32())
+            rows = [rows[k] for k in order.tolist()]
             return pa.RecordBatch.from_pydict({
-                "lang": pa.array([k[0] for k, _ in rows], pa.string()), "phrase": pa.array([k[1] for k, _ in rows], pa.string()),
-                "n_words": pa.array([k[2] for k, _ in rows], pa.int32()), "f": pa.array([n for _, n in rows], pa.int64()),
+                "part": pa.array(found, pa.int32()), "lang": pa.ListArray.from_arrays(offsets, pa.array([k[0] for k, _ in rows], pa.string())),
+                "phrase": pa.ListArray.from_arrays(offsets, pa.array([k[1] for k, _ in rows], pa.string())), "f": pa.ListArray.from_arrays(offsets, pa.array([n for _, n in rows], pa.int64())),
             })
 
         for block in blocks(batches):
@@ -336,14 +345,26 @@ def count_phrases(docs: DataFrame, min_count: int = 100, capacity: int = CAPACIT
                     take = known_longer.value.has(whole_hash(*parts_of(found, parts)))
                     places, found = places[take], found[take]
                 for lang, phrase, n in block.texts_of(places, size):
-                    held[lang, phrase, size] += n
+                    held[lang, phrase] += n
                     if len(held) >= HELD:
                         yield flush()
-        yield flush()
+        if held:
+            yield flush()
 
-    counted = docs.mapInArrow(count, "lang string, phrase string, n_words int, f long")
-    counted = counted.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
-    counted = keep_table(counted, "phrase-counts")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()  # the survivors of some partitions, about PER_PART each
+        for batch in batches:
+            flat = [batch.column(c).flatten() for c in ("lang", "phrase", "f")]
+            for lang, phrase, n in zip(*[c.to_pylist() for c in flat]):
+                total[lang, phrase] += n
+        rows = [(lang, phrase, phrase.count(" ") + 1, n) for (lang, phrase), n in total.items() if n >= min_count]
+        yield pa.RecordBatch.from_pydict({
+            "lang": pa.array([r[0] for r in rows], pa.string()), "phrase": pa.array([r[1] for r in rows], pa.string()),
+            "n_words": pa.array([r[2] for r in rows], pa.int32()), "f": pa.array([r[3] for r in rows], pa.int64()),
+        })
+
+    counted = docs.mapInArrow(count, "part int, lang array<string>, phrase array<string>, f array<long>").repartition(parts_of_counts, "part")
+    counted = keep_table(counted.mapInArrow(add_up, "lang string, phrase string, n_words int, f long"), "phrase-counts")
     for one in (known, known_pairs, known_longer):
         one.destroy()
     return words, counted
