@@ -58,8 +58,8 @@ def word_char_ngrams(word: Column, low: int, high: int) -> Column:
     )
 
 
-def count_terms(terms: Column) -> Column:
-    """``array<struct(term, tf)>`` of the distinct terms of an array."""
+def count_terms(terms: Column, kind: str = "string") -> Column:
+    """``array<struct(term, tf)>`` of the distinct terms of an array of ``kind``."""
 
     def runs(ordered: Column) -> Column:
         starts = F.filter(
@@ -77,5 +77,5 @@ def count_terms(terms: Column) -> Column:
             ),
         )
 
-    empty = F.array().cast("array<struct<term:string,tf:int>>")
+    empty = F.array().cast(f"array<struct<term:{kind},tf:int>>")
     return bind(F.sort_array(terms), lambda a: F.when(F.size(a) > 0, runs(a)).otherwise(empty))

@@ -255,3 +255,17 @@ def hard_example_report(df: DataFrame, source: str, band: tuple[float, float] =
         F.lit(source).alias("source"), "rows_scored", "hard_examples_found",
         F.lit(band[0]).alias("prob_min"), F.lit(band[1]).alias("prob_max"),
     )
+
+
+def ranking_quality(df: DataFrame, prob: str = "y_prob", y: str = "y_true", keys: Sequence[str] = (), bins: int = 10_000) -> DataFrame:
+    """``auc`` by ``keys``: the chance that a positive row has a higher score than a negative one, equal scores counting half.
+
+    Scores are counted in ``bins`` steps of 1 / bins, which combine before the shuffle; scores of one step count as equal.
+    Null without rows of both classes. Rows without score or class are left out.
+    """
+    rows = df.filter(F.col(prob).isNotNull() & ~F.isnan(prob) & F.col(y).isNotNull())
+    step = F.floor(F.col(prob) * bins).alias("_step")
+    counts = rows.groupBy(*keys, step).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) != 1).alias("_n"))
+    below = W.partitionBy(*keys).orderBy("_step").rowsBetween(W.unboundedPreceding, -1)  # at most bins + 1 rows
+    wins = F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2)
+    return counts.withColumn("_wins", wins).groupBy(*keys).agg(F.try_divide(F.sum("_wins"), F.sum("_p") * F.sum("_n")).alias("auc"))

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline import fixed
-from sieveline.functions import text, tokens
+from sieveline.functions import patterns, text, tokens
+from sieveline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -60,106 +63,20 @@ def _grams(spec: TfidfSpec) -> Column:
     return F.explode(tokens.word_char_ngrams(F.col("word"), spec.low, spec.high)).alias("term")
 
 
-def _char_counter(terms: list[str], idf: list[float] | None, spec: TfidfSpec, context):
-    """Arrow function from a message's distinct words and their counts to the positions, counts and
-    L2 norm of the vocabulary's n-grams in it.
+# ---------------------------------------------------------------- vocabularies
 
-    A word's n-grams are looked up once per task and remembered, so the cost per message is one
-    step per distinct word. In the JVM the same is some twenty-five rows per word through a join and
-    an aggregate, many times slower.
-    """
-    index = {t: i for i, t in enumerate(terms)}
-    low, high, sublinear = spec.low, spec.high, spec.sublinear
-    # an n-gram is never more frequent than its beginning, so the most frequent n-grams nearly always
-    # include the beginnings of all their members; a walk along them can then stop at the first miss
-    closed = all(t[:-1] in index for t in terms if len(t) > low)
-    shared = context.broadcast((index, None if idf is None else np.array(idf)))
-    remembered = 200_000
-
-    def positions(word: str, index: dict[str, int]) -> np.ndarray:
-        padded = f" {word} "
-        size, get, found = len(padded), index.get, []
-        if size < low:
-            found.append(get(padded))
-        for start in range(size - low + 1):
-            for end in range(start + low, min(start + high, size) + 1):
-                at = get(padded[start:end])
-                if at is not None:
-                    found.append(at)
-                elif closed:
-                    break
-        return np.array([f for f in found if f is not None], dtype=np.int64)
-
-    @F.pandas_udf(_CHAR_COUNTS)
-    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        index, weights = shared.value
-        memo: dict[str, np.ndarray] = {}
-        for words, numbers in batches:
-            out = []
-            for own, times in zip(words, numbers):
-                hits = []
-                for word in own:
-                    if word not in memo:
-                        if len(memo) >= remembered:
-                            memo.clear()
-                        memo[word] = positions(word, index)
-                    hits.append(memo[word])
-                flat = np.concatenate(hits) if hits else np.array([], dtype=np.int64)
-                tf = np.bincount(flat, np.repeat(times, [len(h) for h in hits]) if len(flat) else None)
-                at = np.flatnonzero(tf)
-                tf = tf[at]
-                norm = 0.0
-                if weights is not None:
-                    w = (np.log(tf) + 1 if sublinear else tf) * weights[at]
-                    norm = float(np.sqrt((w * w).sum()))
-                out.append((at.astype("int32"), tf.astype("int32"), norm))
-            yield pd.DataFrame(out, columns=["pos", "tf", "norm"])
-
-    return count
-
-
-_CHAR_COUNTS = T.StructType(
-    [
-        T.StructField("pos", T.ArrayType(T.IntegerType())),
-        T.StructField("tf", T.ArrayType(T.IntegerType())),
-        T.StructField("norm", T.DoubleType()),
-    ]
-)
-
-
-def term_counts(
-    df: DataFrame, spec: TfidfSpec, text_col: str = "comment_text", id_col: str = "id", vocabulary: DataFrame | None = None
-) -> DataFrame:
-    """``(id, term, tf)``; with a vocabulary, its terms only, with the vocabulary's columns.
 
-    Terms are counted inside the row, without a shuffle. A vocabulary has at most ``max_features``
-    rows: it is broadcast, and for characters it also comes to the driver to be sent to the Python
-    workers. For characters with ``idf`` the message's L2 norm comes along as ``norm``. Without a
-    vocabulary character n-grams come from each message's distinct words and are summed.
-    """
+def term_counts(df: DataFrame, spec: TfidfSpec, text_col: str = "comment_text", id_col: str = "id") -> DataFrame:
+    """``(id, term, tf)`` of all terms. Words are counted inside the row; character n-grams come from each message's
+    distinct words and are summed."""
     if spec.analyzer == "word":
-        counts = df.select(F.col(id_col).alias("id"), F.inline(tokens.count_terms(word_terms(spec, text_col))))
-        return counts if vocabulary is None else counts.join(F.broadcast(vocabulary), "term")
-    if vocabulary is None:
-        words = _distinct_words(df, spec, text_col, id_col)
-        grams = words.select(F.col(id_col).alias("id"), "n", _grams(spec))
-        return grams.groupBy("id", "term").agg(F.sum("n").cast("int").alias("tf"))
-    spark = df.sparkSession
-    rows = vocabulary.collect()
-    has_idf = "idf" in vocabulary.columns
-    count = _char_counter([r["term"] for r in rows], [r["idf"] for r in rows] if has_idf else None, spec, spark.sparkContext)
-    placed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], T.StructType([T.StructField("pos", T.IntegerType()), *vocabulary.schema.fields]))
-    words = tokens.count_terms(tokens.blank_separated_words(_source(spec, text_col)))
-    counted = df.select(F.col(id_col).alias("id"), words.alias("_w")).select(
-        "id", count(F.col("_w")["term"], F.col("_w")["tf"]).alias("_c")
-    )
-    norm = [F.col("_c.norm").alias("norm")] if has_idf else []
-    long = counted.select("id", *norm, F.inline(F.arrays_zip(F.col("_c.pos").alias("pos"), F.col("_c.tf").alias("tf"))))
-    return long.join(F.broadcast(placed), "pos").drop("pos")
+        return df.select(F.col(id_col).alias("id"), F.inline(tokens.count_terms(word_terms(spec, text_col))))
+    grams = _distinct_words(df, spec, text_col, id_col).select(F.col(id_col).alias("id"), "n", _grams(spec))
+    return grams.groupBy("id", "term").agg(F.sum("n").cast("int").alias("tf"))
 
 
 def corpus_counts(df: DataFrame, spec: TfidfSpec, text_col: str = "comment_text", id_col: str = "id") -> DataFrame:
-    """``(term, cf, df)``: occurrences and messages per term."""
+    """``(term, cf, df)``: occurrences and messages of every term."""
     return (
         term_counts(df, spec, text_col, id_col)
         .groupBy("term")
@@ -181,46 +98,287 @@ def doc_count(df: DataFrame) -> Column:
     return df.select(F.count("*").alias("n")).scalar()
 
 
-def fit_vocabulary(
-    df: DataFrame, spec: TfidfSpec, text_col: str = "comment_text", id_col: str = "id"
-) -> DataFrame:
-    """``(term, idx, df, idf)`` of one vectoriser; ``idx`` follows the order of the terms.
+KNOWN_BITS = 1 << 24  # of the filter of possible parts, 2 MB
+
+
+def _known(terms: DataFrame) -> bytes:
+    """The terms as bits by their hash, for `_is_known`. The filter has one size, so that it can be broadcast; it may pass others too."""
+    at = terms.select(F.pmod(F.xxhash64("term"), F.lit(KNOWN_BITS)).alias("at"))
+    cells = at.groupBy(F.shiftright("at", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).collect()  # at most KNOWN_BITS / 64 rows
+    out = np.zeros(KNOWN_BITS // 64, "<i8")
+    out[[r["cell"] for r in cells]] = [r["bits"] for r in cells]
+    return out.tobytes()
+
+
+def _is_known(bits: bytes) -> Callable[[str], bool]:
+    @lru_cache(maxsize=1 << 17)
+    def test(term: str) -> bool:
+        at = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42) % KNOWN_BITS  # as Spark's xxhash64
+        return bool(bits[at >> 3] >> (at & 7) & 1)
+
+    return test
+
+
+def _runs(parts: list[bool], size: int) -> list[int]:
+    """Places where ``size`` parts in a row are known."""
+    out, length = [], 0
+    for place, good in enumerate(parts):
+        length = length + 1 if good else 0
+        if length >= size:
+            out.append(place - size + 1)
+    return out
+
 
-    Without document-frequency limits, character n-grams are ranked from the distinct words of the
-    whole table; document frequencies are then counted for the chosen ones only.
+def _word_level(size: int, known: Callable[[str], bool] | None, unit: list[str]) -> list[str]:
+    """N-grams of ``size`` tokens whose parts, one token shorter, are all known."""
+    if size == 1:
+        return unit
+    shorter = [" ".join(unit[i : i + size - 1]) for i in range(len(unit) - size + 2)]
+    return [f"{shorter[i]} {unit[i + size - 1]}" for i in _runs([known(p) for p in shorter], 2)]
+
+
+def _char_level(sizes: tuple[int, ...], part: int, low: int, known: Callable[[str], bool] | None, word: str) -> list[str]:
+    """N-grams of a word of the given sizes whose parts of ``part`` characters are all known."""
+    padded = f" {word} "
+    if known is None:
+        return [padded[i : i + low] for i in range(len(padded) - low + 1)] or [padded]
+    flags = [known(padded[i : i + part]) for i in range(len(padded) - part + 1)]
+    return [padded[i : i + size] for size in sizes for i in _runs(flags, size - part + 1)]
+
+
+def _sum_of(column: str, groups: Sequence[int]) -> Column:
+    return reduce(Column.__add__, [F.get(column, F.lit(g)) for g in groups])
+
+
+def vocabulary_levels(
+    df: DataFrame, spec: TfidfSpec, n_docs: Sequence[int], views: Sequence[Sequence[int]], text_col: str = "comment_text", group_col: str | None = None
+) -> list[DataFrame]:
+    """Tables ``(term, cf, df)`` that hold every term of any view's vocabulary; ``cf`` and ``df`` have one number per group of rows.
+
+    A view is a set of groups, such as all folds but one. One level after the other, n-grams grow by a token (by a character): an n-gram is no
+    more frequent than its parts, so once ``max_features`` eligible terms are counted, only n-grams are looked at whose
+    parts all reach the last of their counts, in some view. The others are neither built nor shuffled. Terms are
+    combined in the tasks, and known parts are a filter of fixed size. Characters have no document counts (``df`` is null).
     """
-    n = doc_count(df)
-    limited = spec.min_df > 1 or spec.max_df < 1.0
-    if spec.analyzer == "word" or limited:
-        chosen = select_vocabulary(corpus_counts(df, spec, text_col, id_col), n, spec)
+    groups = len(n_docs)
+    group = F.col(group_col) if group_col else F.lit(0)
+    word = spec.analyzer == "word"
+    by_group = lambda name: F.array(*[F.coalesce(F.sum(F.when(F.col("group") == g, F.col(name))), F.lit(0)) for g in range(groups)])
+    if not word and (spec.min_df > 1 or spec.max_df < 1.0):  # document counts of all n-grams decide
+        rows = _distinct_words(df.withColumns({"_row": F.monotonically_increasing_id(), "group": group}), spec, text_col, "_row", "group")
+        in_row = rows.select("_row", "group", "n", _grams(spec)).groupBy("_row", "group", "term").agg(F.sum("n").alias("tf"), F.lit(1).alias("one"))
+        return [materialize(in_row.groupBy("term").agg(by_group("tf").alias("cf"), by_group("one").alias("df")), "term-counts")]
+    if word:
+        units = df.select(group.cast("int").alias("group"), tokens.word_tokens(_source(spec, text_col), spec.stop_words).alias("unit"))
+        levels: list[tuple[int, ...]] = [(n,) for n in range(1, spec.high + 1)]
     else:
-        totals = _distinct_words(df, spec, text_col).groupBy("word").agg(F.sum("n").alias("n"))
-        grams = totals.select("n", _grams(spec)).groupBy("term").agg(F.sum("n").alias("cf"))
-        top = select_vocabulary(grams, n, spec)
-        chosen = (
-            term_counts(df, spec, text_col, id_col, vocabulary=top)
-            .groupBy("term")
-            .agg(F.count("*").alias("df"))
+        counted = tokens.count_terms(tokens.blank_separated_words(_source(spec, text_col)))
+        units = df.select(group.cast("int").alias("group"), F.inline(counted)).groupBy("group", F.col("term").alias("unit")).agg(F.sum("tf").alias("n"))
+        units = materialize(units, "distinct-words")
+        levels = [(spec.low,), (spec.low + 1,), tuple(range(spec.low + 2, spec.high + 1))]
+        levels = [tuple(n for n in sizes if n <= spec.high) for sizes in levels]
+    context, tables, bits = df.sparkSession.sparkContext, [], None
+    levels = [sizes for sizes in levels if sizes]
+    for sizes in levels:
+        shared = context.broadcast(bits) if bits is not None else None
+        part = sizes[0] - 1
+
+        def count(batches: Iterator[pa.RecordBatch], sizes=sizes, shared=shared, part=part) -> Iterator[pa.RecordBatch]:
+            known = _is_known(shared.value) if shared else None
+            for batch in batches:
+                found: dict[tuple[str, int], list[int]] = {}
+                of_group, unit = batch.column("group").to_pylist(), batch.column("unit").to_pylist()
+                times = [1] * len(unit) if word else batch.column("n").to_pylist()
+                for g, one, n in zip(of_group, unit, times):
+                    if one is None or g is None:
+                        continue
+                    terms = _word_level(sizes[0], known, one) if word else _char_level(sizes, part, spec.low, known, one)
+                    for term, tf in Counter(terms).items():
+                        cell = found.setdefault((term, g), [0, 0])
+                        cell[0] += tf * n
+                        cell[1] += 1
+                yield pa.RecordBatch.from_pydict({
+                    "term": pa.array([t for t, _ in found], pa.string()), "group": pa.array([g for _, g in found], pa.int32()),
+                    "cf": pa.array([c for c, _ in found.values()], pa.int64()), "df": pa.array([d for _, d in found.values()], pa.int64()),
+                })
+
+        totals = units.mapInArrow(count, "term string, group int, cf long, df long").groupBy("term").agg(
+            by_group("cf").alias("cf"), (by_group("df") if word else F.lit(None).cast("array<bigint>")).alias("df")
         )
+        tables.append(materialize(totals, "term-counts"))
+        if shared:
+            shared.destroy()
+        if sizes is levels[-1]:
+            break
+        possible = F.lit(False)
+        for view in views:
+            least = view_vocabulary(tables, spec, n_docs, view).agg(F.count("*").alias("n"), F.min("cf").alias("cf")).first()
+            bound = least["cf"] if least["n"] >= spec.max_features else 0
+            reaches = _sum_of("cf", view) >= max(1, bound)
+            possible = possible | (reaches & (_sum_of("df", view) >= spec.min_df) if word else reaches)
+        bits = _known(tables[-1].filter(possible))
+    return tables
+
+
+def view_vocabulary(tables: list[DataFrame], spec: TfidfSpec, n_docs: Sequence[int], view: Sequence[int]) -> DataFrame:
+    """``(term, cf, df)`` of the chosen terms of one view."""
+    counts = reduce(DataFrame.unionByName, tables).select("term", _sum_of("cf", view).alias("cf"), _sum_of("df", view).alias("df"))
+    if spec.analyzer == "word" and spec.low > 1:
+        counts = counts.filter(F.size(F.split("term", " ")) >= spec.low)
+    if spec.analyzer == "word" or spec.min_df > 1 or spec.max_df < 1.0:
+        return select_vocabulary(counts.filter("df > 0"), F.lit(sum(n_docs[g] for g in view)), spec)
+    return select_vocabulary(counts.filter("cf > 0").drop("df"), F.lit(0), spec).withColumn("df", F.lit(None).cast("bigint"))
+
+
+def _ranks_first(spec: TfidfSpec) -> bool:
+    """Whether terms are chosen before their document frequencies are known: character n-grams without limits on these."""
+    return spec.analyzer == "char" and spec.min_df <= 1 and spec.max_df >= 1.0
+
+
+def _chosen(df: DataFrame, spec: TfidfSpec, text_col: str) -> tuple[int, DataFrame]:
+    n = df.count()
+    return n, view_vocabulary(vocabulary_levels(df, spec, [n], [[0]], text_col), spec, [n], [0])
+
+
+def _counted_choice(df: DataFrame, spec: TfidfSpec, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """A vocabulary that is ranked first, and every row's counts of its terms, from which the document frequencies come."""
+    n, chosen = _chosen(df, spec, text_col)
+    terms = sorted((r["term"] for r in chosen.collect()), key=lambda t: t.encode("utf-8", "surrogatepass"))  # at most max_features
+    counted = materialize(counted_rows(df.select(F.col(id_col).alias("id"), text_col), spec, terms, text_col).select("id", "indices", "tf"), "counted")
+    return _with_idf(document_counts(counted, terms), n), counted
+
+
+def fit_vocabulary(df: DataFrame, spec: TfidfSpec, text_col: str = "comment_text", id_col: str = "id") -> DataFrame:
+    """``(term, idx, df, idf)`` of one vectoriser; ``idx`` follows the order of the terms.
+
+    The choice runs while this is called (`vocabulary_levels`). Without document-frequency limits, character n-grams are
+    ranked from the distinct words of the whole table; document frequencies are then counted for the chosen ones only.
+    """
+    if _ranks_first(spec):
+        return _counted_choice(df, spec, text_col, id_col)[0]
+    n, chosen = _chosen(df, spec, text_col)
+    return _with_idf(chosen, n)
+
+
+def _with_idf(chosen: DataFrame, n: int) -> DataFrame:
     # at most max_features rows, so one ordered window is small
     idx = F.row_number().over(W.orderBy("term")) - 1
-    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
+    idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0
     return chosen.select("term", idx.alias("idx"), "df", idf.alias("idf"))
 
 
-def tfidf_weights(counts: DataFrame, spec: TfidfSpec) -> DataFrame:
-    """L2-normalised weights from counts that carry ``idf``.
+def document_counts(counted: DataFrame, terms: list[str]) -> DataFrame:
+    """``(term, df)`` of a vocabulary from the rows' positions in it."""
+    found = counted.select(F.explode("indices").alias("idx")).groupBy("idx").agg(F.count("*").alias("df"))
+    placed = counted.sparkSession.createDataFrame(list(enumerate(terms)), "idx int, term string")
+    return placed.join(found, "idx", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+
+
+# ---------------------------------------------------------------- weights, inside the row
+
+_COUNTS = "struct<indices: array<int>, tf: array<int>, values: array<double>>"
+
+
+def unit(tf: np.ndarray, idf: np.ndarray, sublinear: bool) -> np.ndarray:
+    """L2-normalised weights of one message's counts."""
+    raw = (np.log(tf) + 1 if sublinear else tf) * idf
+    return raw / (np.sqrt((raw * raw).sum()) or 1.0)
+
 
-    Where the norm did not come with the counts, a message's kept terms, bounded by the vocabulary,
-    meet in one shuffle on the id.
+def _char_counter(terms: list[str], idf: Sequence[float] | None, spec: TfidfSpec, context):
+    """Arrow function from a message's distinct words and their counts to the positions, counts and (with ``idf``) weights of the
+    vocabulary's n-grams in it.
+
+    A word's n-grams are looked up once per task and remembered, so the cost per message is one
+    step per distinct word. In the JVM the same is some twenty-five rows per word through a join and
+    an aggregate, many times slower.
     """
-    tf = F.col("tf").cast("double")
-    raw = (F.log(tf) + 1.0 if spec.sublinear else tf) * F.col("idf")
-    if "norm" in counts.columns:
-        norm = F.col("norm")
-    else:
-        norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("id")))
-    return counts.withColumn("_w", raw).withColumn("weight", F.col("_w") / norm).drop("_w", "tf", "idf", "norm")
+    shared = context.broadcast((terms, None if idf is None else np.array(idf)))  # lives as long as the plan that reads it
+    low, high, sublinear, remembered = spec.low, spec.high, spec.sublinear, 100_000
+
+    @F.pandas_udf(_COUNTS)
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        terms, scale = shared.value
+        index = {t: i for i, t in enumerate(terms)}
+        # an n-gram is never more frequent than its beginning, so the most frequent n-grams nearly always
+        # include the beginnings of all their members; a walk along them can then stop at the first miss
+        closed = all(t[:-1] in index for t in index if len(t) > low)
+        memo: dict[str, np.ndarray] = {}
+
+        def positions(word: str) -> np.ndarray:
+            padded = f" {word} "
+            size, get, found = len(padded), index.get, []
+            if size < low:
+                found.append(get(padded))
+            for start in range(size - low + 1):
+                for end in range(start + low, min(start + high, size) + 1):
+                    at = get(padded[start:end])
+                    if at is not None:
+                        found.append(at)
+                    elif closed:
+                        break
+            if len(memo) >= remembered:
+                memo.clear()
+            out = memo[word] = np.array([f for f in found if f is not None], dtype=np.int64)
+            return out
+
+        for words, numbers in batches:
+            out = []
+            for own, times in zip(words, numbers):
+                hits = [memo[w] if w in memo else positions(w) for w in own]
+                sizes = [len(h) for h in hits]
+                tf = np.bincount(np.concatenate(hits), np.repeat(times, sizes)) if sum(sizes) else np.zeros(0)
+                at = np.flatnonzero(tf)
+                out.append((at.astype("int32"), tf[at].astype("int32"), np.zeros(0) if scale is None else unit(tf[at], scale[at], sublinear)))
+            yield pd.DataFrame(out, columns=["indices", "tf", "values"])
+
+    return count.asNondeterministic()  # so that no filter on its result runs it a second time
+
+
+def _word_vectors(df: DataFrame, spec: TfidfSpec, terms: list[str], text_col: str) -> DataFrame:
+    grams = df.withColumn("_grams", word_terms(spec, text_col))
+    return CountVectorizerModel.from_vocabulary(terms, "_grams", "_counts").transform(grams).drop("_grams")
+
+
+def _char_counts(df: DataFrame, spec: TfidfSpec, terms: list[str], idf: Sequence[float] | None, text_col: str) -> DataFrame:
+    count = _char_counter(terms, idf, spec, df.sparkSession.sparkContext)
+    words = df.withColumn("_words", tokens.count_terms(tokens.blank_separated_words(_source(spec, text_col))))
+    return words.withColumn("_found", count(F.col("_words.term"), F.col("_words.tf"))).drop("_words")
+
+
+def counted_rows(df: DataFrame, spec: TfidfSpec, terms: list[str], text_col: str, indices: str = "indices", tf: str = "tf") -> DataFrame:
+    """``df`` with the positions, ascending, and counts of the terms in each row. ``terms`` is a fitted vocabulary in its order."""
+    if not terms:
+        nothing = F.array().cast("array<int>")
+        return df.withColumns({indices: nothing, tf: nothing})
+    if spec.analyzer == "word":
+        found = _word_vectors(df, spec, terms, text_col).withColumn("_found", F.unwrap_udt("_counts")).drop("_counts")
+        return found.withColumns({indices: F.col("_found.indices"), tf: F.col("_found.values").cast("array<int>")}).drop("_found")
+    found = _char_counts(df, spec, terms, None, text_col)
+    return found.withColumns({indices: F.col("_found.indices"), tf: F.col("_found.tf")}).drop("_found")
+
+
+def tfidf_rows(df: DataFrame, spec: TfidfSpec, terms: list[str], idf: Sequence[float], text_col: str = "comment_text", indices: str = "indices", values: str = "values") -> DataFrame:
+    """``df`` with the positions and L2-normalised weights of the terms in each row: one narrow projection, for words all in the JVM."""
+    if not terms:
+        return df.withColumns({indices: F.array().cast("array<int>"), values: F.array().cast("array<double>")})
+    if spec.analyzer == "char":
+        found = _char_counts(df, spec, terms, idf, text_col)
+        return found.withColumns({indices: F.col("_found.indices"), values: F.col("_found.values")}).drop("_found")
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_counts", outputCol="_scaled")
+    found = scaled.transform(_word_vectors(df, spec, terms, text_col))
+    found = found.withColumns({"_counts": F.unwrap_udt("_counts"), "_raw": F.unwrap_udt("_scaled")["values"]}).drop("_scaled")
+    if spec.sublinear:
+        found = found.withColumn("_raw", F.zip_with("_raw", "_counts.values", lambda x, n: x / n * (F.log(n) + 1.0)))
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, x: total + x * x))
+    unit_length = text.bind(norm, lambda n: F.transform("_raw", lambda x: x / n))  # the norm is found once, not once for each entry
+    return found.withColumns({indices: F.col("_counts.indices"), values: unit_length}).drop("_counts", "_raw")
+
+
+def fitted_terms(vocabulary: DataFrame, *columns: str) -> list[list]:
+    """Columns of a vocabulary in the order of its terms. It has at most ``max_features`` rows and comes to the driver."""
+    rows = vocabulary.select("idx", *columns).orderBy("idx").collect()
+    return [[r[c] for r in rows] for c in columns]
 
 
 def tfidf(
@@ -230,10 +388,31 @@ def tfidf(
     id_col: str = "id",
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """``(id, term, idx, weight)``; fits the vocabulary on the same table unless one is given."""
-    vocabulary = vocabulary if vocabulary is not None else fit_vocabulary(df, spec, text_col, id_col)
-    counts = term_counts(df, spec, text_col, id_col, vocabulary=vocabulary.select("term", "idx", "idf"))
-    return tfidf_weights(counts, spec).select("id", "term", "idx", "weight")
+    """``(id, term, idx, weight)``; fits the vocabulary on the same table unless one is given.
+
+    Weights are made inside the row, so nothing is shuffled by id.
+    """
+    if vocabulary is None and _ranks_first(spec):
+        vocabulary, counted = _counted_choice(df, spec, text_col, id_col)
+        vocabulary = materialize(vocabulary, "vocabulary")
+        weigh = _weigher(fitted_terms(vocabulary, "idf")[0], spec.sublinear, df.sparkSession.sparkContext)
+        rows = counted.withColumn("values", weigh("indices", "tf"))
+    else:
+        vocabulary = materialize(fit_vocabulary(df, spec, text_col, id_col), "vocabulary") if vocabulary is None else vocabulary
+        rows = tfidf_rows(df.select(F.col(id_col).alias("id"), text_col), spec, *fitted_terms(vocabulary, "term", "idf"), text_col)
+    long = rows.select("id", F.inline(F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("weight"))))
+    return long.join(F.broadcast(vocabulary.select("term", "idx")), "idx").select("id", "term", "idx", "weight")
+
+
+def _weigher(idf: Sequence[float], sublinear: bool, context):
+    """Arrow function from positions and counts to L2-normalised weights."""
+    shared = context.broadcast(np.array(idf, float))  # lives as long as the plan that reads it
+
+    @F.pandas_udf("array<double>")
+    def weigh(indices: pd.Series, tf: pd.Series) -> pd.Series:
+        return pd.Series([unit(n.astype(float), shared.value[at], sublinear) for at, n in zip(indices, tf)])
+
+    return weigh.asNondeterministic()
 
 
 def feature_union(blocks: list[tuple[DataFrame, int]]) -> DataFrame:
@@ -246,6 +425,22 @@ def feature_union(blocks: list[tuple[DataFrame, int]]) -> DataFrame:
     return out
 
 
+def _shift(offset: int) -> Callable[[Column], Column]:
+    return lambda index: index + offset
+
+
+def union_rows(df: DataFrame, blocks: Sequence[tuple[TfidfSpec, DataFrame]], text_col: str = "comment_text") -> tuple[DataFrame, int]:
+    """``df`` with ``indices`` and ``values`` of several fitted vectorisers side by side, and the width of all: one narrow projection."""
+    out, width, at, x = df, 0, [], []
+    for b, (spec, vocabulary) in enumerate(blocks):
+        terms, idf = fitted_terms(vocabulary, "term", "idf")
+        out = tfidf_rows(out, spec, terms, idf, text_col, f"_i{b}", f"_v{b}")
+        at.append(F.transform(f"_i{b}", _shift(width)))
+        x.append(F.col(f"_v{b}"))
+        width += len(terms)
+    return out.select(*df.columns, F.concat(*at).alias("indices"), F.concat(*x).alias("values")), width
+
+
 def sparse_rows(features: DataFrame) -> DataFrame:
     """``(id, indices, values)``. A row holds no more entries than there are columns."""
     return (
@@ -255,58 +450,83 @@ def sparse_rows(features: DataFrame) -> DataFrame:
     )
 
 
-def to_vector(indices: Column, values: Column, size: int) -> Column:
-    """A sparse ML vector from its parts. Spark's JSON functions know the vector type, and keep the
-    conversion inside the JVM."""
-    parts = F.struct(
-        F.struct(
-            F.lit(0).alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values")
-        ).alias("v")
-    )
-    return F.from_json(F.to_json(parts), T.StructType([T.StructField("v", VectorUDT())]))["v"]
+BLOCK = 1024  # numbers (or rows of a matrix) of a partial sum that travel together
+FAN_IN = 64  # partial sums that are added up at once
+PIECE = 4096  # entries that are multiplied at once
 
 
-BLOCK = 1024  # rows of a partial product that travel together
-FAN_IN = 64  # partial products that are added up at once
+def blocks_of(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's partial sum in blocks; blocks of zeros stay behind."""
+    for block in range(0, len(total), BLOCK):
+        part = total[block : block + BLOCK]
+        if part.any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "z": pa.array([part.tobytes()], pa.binary())})
 
 
-def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
-    """``A^T (A q)`` in one pass. Tasks add up their own rows; the partial products are summed in a tree of two levels."""
-    shared = rows.sparkSession.sparkContext.broadcast(q)
-    width = q.shape[1]
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, z = shared.value, None
-        for batch in batches:
-            for indices, values in zip(batch.column("indices"), batch.column("values")):
-                at, x = np.asarray(indices.values), np.asarray(values.values)
-                if len(at):
-                    z = np.zeros_like(q) if z is None else z
-                    z[at] += x[:, None] * (x @ q[at])
-        for block in range(0, 0 if z is None else len(z), BLOCK):
-            part = z[block : block + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "z": pa.array([part.tobytes()], pa.binary())})
+def add_up(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of all tasks' `blocks_of`, an array of bounded ``shape``.
 
+    Few partial sums come to the driver at once; many are first summed by tasks, ``FAN_IN`` at a time.
+    """
     def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(z) for z in parts["z"]], axis=0)
         return pd.DataFrame({"block": [key[0]], "z": [total.tobytes()]})
 
-    parts = rows.select("indices", "values").mapInArrow(partial, "block int, z binary")
-    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).groupBy("block", "part").applyInPandas(add, "block int, z binary")
-    out = np.zeros_like(q)
-    for r in some.groupBy("block").applyInPandas(add, "block int, z binary").collect():  # as large as q
-        out[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["z"]).reshape(-1, width)
+    parts = rows.mapInArrow(partial, "block int, z binary")
+    if rows.rdd.getNumPartitions() > FAN_IN:
+        parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).groupBy("block", "part").applyInPandas(add, "block int, z binary")
+    out = np.zeros(shape)
+    for r in parts.collect():  # at most FAN_IN arrays of this shape
+        out[r["block"] : r["block"] + BLOCK] += np.frombuffer(r["z"]).reshape(-1, *shape[1:])
+    return out
+
+
+def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, index and value of every entry of a batch of sparse rows."""
+    owner = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("indices").value_lengths()))
+    return owner, np.asarray(batch.column("indices").flatten()), np.asarray(batch.column("values").flatten())
+
+
+def _times(owner: np.ndarray, at: np.ndarray, x: np.ndarray, q: np.ndarray, rows: int) -> np.ndarray:
+    """A batch of sparse rows times a matrix, in pieces, so that no large product is made. ``owner`` ascends."""
+    out = np.zeros((rows, q.shape[1]))
+    for start in range(0, len(at), PIECE):
+        part = slice(start, start + PIECE)
+        here, first = np.unique(owner[part], return_index=True)
+        out[here] += np.add.reduceat(x[part, None] * q[at[part]], first, axis=0)
+    return out
+
+
+def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """``A^T (A q)`` in one pass. Tasks add up their own rows, a batch as one sparse matrix and its transpose."""
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        z = np.zeros_like(q)
+        for batch in batches:
+            owner, at, x = entries(batch)
+            if len(at):
+                y = _times(owner, at, x, q, batch.num_rows)
+                order = np.argsort(at, kind="stable")
+                columns, place = np.unique(at[order], return_inverse=True)
+                z[columns] += _times(place, owner[order], x[order], y, len(columns))
+        yield from blocks_of(z)
+
+    out = add_up(rows.select("indices", "values"), partial, q.shape)
     shared.destroy()
     return out
 
 
 def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: int = 6, tol: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (size x k) and singular values of the uncentred feature matrix.
+    """Right singular vectors (size x r) and singular values of the uncentred feature matrix, r at most ``k``.
 
     A randomised range finder: ``k + oversample`` random directions are multiplied by ``A^T A`` and made orthogonal again,
     at most ``passes`` times, one pass over the rows each; fewer if the values have settled. The number of jobs does not
     depend on ``k``. The matrix stays distributed; only factors, bounded by ``size * (k + oversample)``, are broadcast.
+
+    The rank is cut: energies that rounding cannot tell from zero give no component. Those are at most
+    ``eps * max(rows, size)`` of the largest, so no singular value below ``sqrt`` of that share of the first is kept.
     """
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + oversample))))[0]
     before = None
@@ -319,26 +539,23 @@ def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: in
         if before is not None and np.abs(values - before).max() <= tol * max(values[0], 1e-12):
             break
         before, q = values, np.linalg.qr(z)[0]
-    return vectors, values
+    floor = np.sqrt(np.finfo(float).eps * max(rows.count(), size)) * values[0] if len(values) else 0.0
+    rank = int((values > floor).sum())
+    return vectors[:, :rank], values[:rank]
 
 
 def svd_project(rows: DataFrame, components: np.ndarray) -> DataFrame:
     """Adds ``dense``: the row times the components, by Arrow batches with the factors broadcast."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(components))
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(components))  # lives as long as the plan that reads it
 
     @F.pandas_udf("array<double>")
     def project(indices: pd.Series, values: pd.Series) -> pd.Series:
         v = shared.value
         sizes = np.array([len(i) for i in indices])
-        if not sizes.any():
+        if not sizes.any() or not v.shape[1]:
             return pd.Series([np.zeros(v.shape[1])] * len(sizes))
-        owner, out = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), v.shape[1]))
-        at, x = np.concatenate(list(indices)).astype(int), np.concatenate(list(values))
-        for start in range(0, len(at), 4096):  # long batches in pieces, so that no large product is made
-            part = slice(start, start + 4096)
-            rows_here, first = np.unique(owner[part], return_index=True)
-            out[rows_here] += np.add.reduceat(x[part, None] * v[at[part]], first, axis=0)
-        return pd.Series(list(out))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        return pd.Series(list(_times(owner, np.concatenate(list(indices)).astype(int), np.concatenate(list(values)), v, len(sizes))))
 
     return rows.withColumn("dense", project("indices", "values"))
 
@@ -346,40 +563,50 @@ def svd_project(rows: DataFrame, components: np.ndarray) -> DataFrame:
 # ---------------------------------------------------------------- embeddings
 
 
-@lru_cache(maxsize=1 << 17)
-def _slot(token: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) < 8 else -1.0
+def hashed_embedding(c: Column, dim: int = 64) -> Column:
+    """The built-in encoder, as a Column: signed hashing of blank-separated tokens, then unit length. Whole texts; a text without tokens is all zeros."""
 
+    def key(word: Column) -> Column:
+        # slot and sign from the leading digits of the digest
+        return text.bind(F.md5(word), lambda d: F.conv(F.substring(d, 1, 8), 16, 10).cast("long") % dim * 2 + (F.substring(d, 9, 1) >= "8").cast("long"))
 
-def hashed_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """The built-in encoder: signed hashing of blank-separated tokens, then unit length.
+    words = tokens.blank_separated_words(F.coalesce(c, F.lit("")))
+    counts = F.map_from_entries(tokens.count_terms(F.transform(words, key), "bigint"))
+    slots = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+    number = lambda found, at: F.coalesce(F.try_element_at(found, at), F.lit(0))
 
-    Whole texts, no truncation. Any other encoder with the same shape can take its place.
-    """
+    def unit_length(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x))
+        return text.bind(norm, lambda n: F.transform(v, lambda x: (x / F.when(n == 0, 1.0).otherwise(n)).cast("float")))
 
-    def load():
-        def encode(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for row, value in enumerate(texts):
-                for token in (value or "").lower().split():
-                    slot, sign = _slot(token, dim)
-                    out[row, slot] += sign
-            norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            return (out / np.where(norms == 0, 1.0, norms)).astype("float32")
+    return text.bind(text.bind(counts, lambda m: F.transform(slots, lambda s: number(m, s * 2) - number(m, s * 2 + 1))), unit_length)
 
-        return encode
 
-    return load
+def first_words(c: Column, n: int) -> Column:
+    """The text up to the end of its ``n``-th blank-separated word."""
+    blank = f"[{patterns.BLANKS}]"
+    return F.regexp_extract(c, rf"(?U)^{blank}*+(?:[^{patterns.BLANKS}]++{blank}*+){{0,{n}}}", 0)
 
 
 def embed_batch(
     df: DataFrame,
     text_col: str = "comment_text",
     out_col: str = "embedding",
-    encoder: Callable = hashed_encoder(),
+    encoder: Callable | None = None,
     batch_size: int = 128,
+    max_words: int | None = None,
+    dim: int = 64,
 ) -> DataFrame:
-    """Adds a vector per text. The encoder is loaded once per Python worker and called by batches."""
+    """Adds a vector per text.
+
+    Without ``encoder`` that is `hashed_embedding`, all in the JVM. An encoder is loaded once per Python worker and called with batches of
+    ``batch_size`` texts; rows are sorted by length inside their partition first, so that the texts of a batch are about equally long and a model that
+    pads them wastes little. ``max_words`` cuts longer texts before they are encoded (None: nothing is cut).
+    """
+    c = F.coalesce(F.col(text_col), F.lit(""))
+    cut = c if max_words is None else first_words(c, max_words)
+    if encoder is None:
+        return df.withColumn(out_col, hashed_embedding(cut, dim))
     udf = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn(out_col, udf(F.coalesce(F.col(text_col), F.lit(""))))
+    by_length = df.withColumn("_text", cut).withColumn("_length", F.char_length("_text")).sortWithinPartitions("_length")
+    return by_length.withColumn(out_col, udf("_text")).drop("_text", "_length")

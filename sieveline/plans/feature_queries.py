@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sieveline import fixed
 from sieveline.operators import features as X
 from sieveline.operators import model as L
+from sieveline.operators.evaluate import ranking_quality
+from sieveline.operators.sampling import stratified_split
 from sieveline.plans import fixtures as fx
 from sieveline.plans import sql as S
 from sieveline.plans.registry import query, table
@@ -134,33 +136,35 @@ def _renamed(sql: str, suffix: str) -> str:
     "max(idx) AS last_idx, CAST(sum(idx) AS BIGINT) AS idx_sum, round(sum(weight), 6) AS total FROM both_blocks GROUP BY id",
 )
 def feature_union(spark, sf):
-    """Word block next to character block; the second starts behind the first's fitted width."""
+    """Word block next to character block; the second starts behind the first's fitted width. All inside the row."""
     df = fx.documents(spark, sf)
-    blocks = []
-    for spec in (X.WORD_SPEC, X.CHAR_SPEC):
-        vocabulary = materialize(X.fit_vocabulary(df, spec), "vocabulary")
-        blocks.append((X.tfidf(df, spec, vocabulary=vocabulary), vocabulary.count()))
-    idx = F.col("idx").cast("long")
-    return X.feature_union(blocks).groupBy("id").agg(
-        F.count("*").alias("entries"), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx"), F.sum(idx).alias("idx_sum"),
-        F.round(F.sum("weight"), 6).alias("total"),
+    rows, _ = X.union_rows(df, _blocks(df))
+    total = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x)
+    return rows.filter(F.size("indices") > 0).select(
+        "id", F.size("indices").cast("long").alias("entries"), F.array_min("indices").cast("long").alias("first_idx"), F.array_max("indices").cast("long").alias("last_idx"),
+        F.aggregate("indices", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("idx_sum"), F.round(total, 6).alias("total"),
     )
 
 
+def _blocks(df):
+    return [(spec, materialize(X.fit_vocabulary(df, spec), "vocabulary")) for spec in (X.WORD_SPEC, X.CHAR_SPEC)]
+
+
 @query(
     "svd_project",
-    f"WITH {WORDS_SQL}, m AS (SELECT least(300, count(*) - 1) AS k FROM vocabulary), e AS (SELECT round(sum(weight * weight), 3) AS total_energy FROM weights) "
-    "SELECT CAST(k AS BIGINT) AS components, total_energy, true AS orthonormal, true AS falling, true AS energy_matches, true AS within_total FROM m, e",
+    f"WITH {_renamed(WORDS_SQL, 'wb')}, {_renamed(CHARS_SQL, 'cb')}, w AS (SELECT id, weight FROM wb UNION ALL SELECT id, weight FROM cb), "
+    "e AS (SELECT round(sum(weight * weight), 3) AS total_energy FROM w) "
+    "SELECT total_energy, true AS orthonormal, true AS falling, true AS above_rounding, true AS energy_matches, true AS within_total, true AS complete FROM e",
 )
 def svd_project(spark, sf):
-    """The word block and its 300 components: orthonormal, falling, the energy of each projection equal to the squared
-    singular value, and all of them together at most the energy of the matrix, which SQL sums exactly."""
+    """Word and character block together and their components, 300 or as many as the rank allows: orthonormal, falling, none that rounding made, the energy
+    of each projection equal to the squared singular value; all of them hold at most the energy of the matrix, which SQL sums exactly, and
+    all of it if the rank is below 300."""
     df = fx.documents(spark, sf)
-    vocabulary = materialize(X.fit_vocabulary(df, X.WORD_SPEC), "vocabulary")
-    width = vocabulary.count()
-    rows = materialize(X.sparse_rows(X.tfidf(df, X.WORD_SPEC, vocabulary=vocabulary)), "rows")
-    k = min(300, width - 1)
-    components, sigma = X.fit_svd(rows, width, k)
+    rows, width = X.union_rows(df, _blocks(df))
+    rows = materialize(rows.select("id", "indices", "values"), "rows")
+    components, sigma = X.fit_svd(rows, width, min(300, width - 1))
+    k = len(sigma)
     gap = float(np.abs(components.T @ components - np.eye(k)).max())
     dense = X.svd_project(rows, components).select(F.posexplode("dense").alias("component", "x"))
     energy = dense.groupBy("component").agg(F.sum(F.col("x") * F.col("x")).alias("e"))
@@ -168,10 +172,12 @@ def svd_project(spark, sf):
     off = F.abs(F.col("e") - F.col("sigma") * F.col("sigma")) > 1e-6 * float(sigma[0] ** 2)
     checked = energy.join(facts, "component").agg(F.count_if(off).alias("off"), F.sum("e").alias("kept"), F.count("*").alias("n"))
     total = rows.agg(F.sum(F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x * x)).alias("total"))
+    floor = float(np.finfo(float).eps * max(rows.count(), width) * sigma[0])
     return checked.crossJoin(F.broadcast(total)).select(  # one row each
-        F.lit(k).cast("long").alias("components"), F.round("total", 3).alias("total_energy"), F.lit(gap < 1e-6).alias("orthonormal"),
-        F.lit(bool((np.diff(sigma) <= 1e-9).all())).alias("falling"), ((F.col("off") == 0) & (F.col("n") == k)).alias("energy_matches"),
-        (F.col("kept") <= F.col("total") * (1 + 1e-9)).alias("within_total"),
+        F.round("total", 3).alias("total_energy"), F.lit(gap < 1e-6).alias("orthonormal"),
+        F.lit(bool((np.diff(sigma) <= 1e-9).all())).alias("falling"), F.lit(bool((sigma > floor).all())).alias("above_rounding"),
+        ((F.col("off") == 0) & (F.col("n") == k)).alias("energy_matches"), (F.col("kept") <= F.col("total") * (1 + 1e-9)).alias("within_total"),
+        (F.lit(k == min(300, width - 1)) | (F.abs(F.col("kept") - F.col("total")) <= 1e-6 * F.col("total"))).alias("complete"),
     )
 
 
@@ -216,29 +222,25 @@ def training_rows(spark, sf):
     return materialize(rows, "training")
 
 
-def _solved(scored, weights):
-    """At the optimum of a fit with a free intercept the weighted mean of the scores is that of the labels."""
-    w = F.coalesce(*[F.when(F.col("y") == c, F.lit(x)) for c, x in weights.items()])
-    return scored.agg((F.abs(F.sum(w * (F.col("y_prob") - F.col("y"))) / F.sum(w)) < 2e-3).alias("solved"))
+def _fell(model):
+    """Whether a model is a fit at all: its objective ends below that of a model without coefficients, and its gradient at the tolerance."""
+    return F.lit(model.converged), F.lit(model.objective[-1] < 0.95 * model.objective[0])
 
 
 @query(
     "fit_logreg",
     f"WITH {S.LABELLED}, c AS (SELECT toxic AS class, count(*) AS n FROM labelled GROUP BY toxic), t AS (SELECT sum(n) AS n, count(*) AS k FROM c) "
-    "SELECT class, c.n, round(t.n / (t.k * c.n), 6) AS weight, c.n AS scored, true AS separated, true AS solved, true AS stopped FROM c, t",
+    "SELECT class, c.n, round(t.n / (t.k * c.n), 6) AS weight, c.n AS scored, true AS separated, true AS at_optimum, true AS objective_fell FROM c, t",
 )
 def fit_logreg(spark, sf):
     """The training run at full size: 15,000 words, 15,000 character n-grams, 300 components, balanced classes. Per class:
-    rows, weight, rows scored, scores on the right side on average; the fit stopped by itself at a solution."""
+    rows, weight, rows scored, scores on the right side on average; the gradient reached its tolerance, the objective fell. A zero model fails all three."""
     df, spec = training_rows(spark, sf), L.ModelSpec()
     model = L.fit_triage_model(df, spec)
-    scored = materialize(model.score_rows(df).join(df.select("id", "y"), "id"), "scores")
-    weights = L.class_weights(df, "y")
+    scored = model.score_rows(df).join(df.select("id", "y"), "id")
     by_class = scored.groupBy(F.col("y").alias("class")).agg(F.count("*").alias("scored"), ((F.avg("y_prob") > 0.5).cast("int") == F.col("class")).alias("separated"))
-    solved = _solved(scored, {r["class"]: r["weight"] for r in weights.collect()})  # two rows
-    return weights.withColumn("weight", F.round("weight", 6)).join(by_class, "class").crossJoin(F.broadcast(solved)).withColumn(
-        "stopped", F.lit(model.iterations < spec.max_iter)
-    )
+    at_optimum, fell = _fell(model)
+    return L.class_weights(df, "y").withColumn("weight", F.round("weight", 6)).join(by_class, "class").withColumns({"at_optimum": at_optimum, "objective_fell": fell})
 
 
 _FIXED_COEFFICIENT = "((CAST(('0x' || substring(md5(term), 1, 8)) AS BIGINT) % 2001) - 1000) / 250.0"
@@ -259,32 +261,40 @@ def score_sparse(spark, sf):
     return model.score_rows(df).select("id", F.round("y_prob", 6).alias("y_prob"), (F.col("y_prob") > fixed.TRAINING_CUTOFF).cast("int").alias("y_pred"))
 
 
-@query("model_store", f"WITH {S.LABELLED} SELECT id, true AS equal FROM labelled")
+@query("model_store", f"WITH {S.LABELLED} SELECT id, true AS equal, true AS at_optimum FROM labelled")
 def model_store(spark, sf):
-    """Scores of the full text model, components included, and of its saved and reloaded copy."""
+    """Scores of the full text model, components included, and of its saved and reloaded copy: both written once, then compared by id."""
     df = training_rows(spark, sf)
     model = L.fit_triage_model(df, L.ModelSpec())
     again = L.saved_and_reloaded(model, spark)
-    both = model.score_rows(df).join(again.score_rows(df).withColumnRenamed("y_prob", "reloaded"), "id")
-    return both.select("id", (F.abs(F.col("y_prob") - F.col("reloaded")) < 1e-12).alias("equal"))
+    both = materialize(model.score_rows(df), "scores").join(materialize(again.score_rows(df).withColumnRenamed("y_prob", "reloaded"), "scores"), "id")
+    at_optimum, fell = _fell(model)
+    return both.select("id", (F.col("y_prob") == F.col("reloaded")).alias("equal"), (at_optimum & fell).alias("at_optimum"))
 
 
 @query(
     "oof_predictions",
     f"WITH {S.LABELLED}, r AS (SELECT id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) AS rn FROM labelled) "
-    "SELECT id, CAST((rn - 1) % 3 AS INTEGER) AS fold, toxic AS y_true, CAST(1 AS BIGINT) AS times, true AS is_probability FROM r",
+    "SELECT id, CAST((rn - 1) % 3 AS INTEGER) AS fold, toxic AS y_true, CAST(1 AS BIGINT) AS times, true AS is_probability, true AS flagged_above_cutoff, "
+    "true AS at_optimum, true AS better_than_chance FROM r",
 )
 def oof_predictions(spark, sf):
     """Out-of-fold scores of the full model: every row once, by the model that did not see its fold.
-    Words, character n-grams and components at full size, up to 1,000 steps."""
-    out = L.oof_predictions(training_rows(spark, sf), L.ModelSpec())
-    return out.groupBy("id", "fold", "y_true").agg(F.count("*").alias("times"), F.bool_and((F.col("y_prob") >= 0) & (F.col("y_prob") <= 1)).alias("is_probability"))
+    Words, character n-grams and components at full size, up to 1,000 steps; each fold's solver reached its tolerance, and positive rows of the fold, which it
+    has not seen, rank above negative ones more often than not."""
+    out = materialize(L.oof_predictions(training_rows(spark, sf), L.ModelSpec()), "oof")
+    ranked = ranking_quality(out, keys=["fold"]).select("fold", (F.col("auc") > 0.5).alias("better_than_chance"))
+    rows = out.groupBy("id", "fold", "y_true").agg(
+        F.count("*").alias("times"), F.bool_and((F.col("y_prob") > 0) & (F.col("y_prob") < 1)).alias("is_probability"),
+        F.bool_and((F.col("y_pred") == 1) == (F.col("y_prob") > fixed.TRAINING_CUTOFF)).alias("flagged_above_cutoff"), F.bool_and("converged").alias("at_optimum"),
+    )
+    return rows.join(F.broadcast(ranked), "fold")  # one row per fold
 
 
 @query(
     "stacked_score_feature",
     f"WITH {S.LABELLED}, m AS (SELECT l.id, toxic FROM labelled l JOIN embeddings e ON e.vec_id = l.id) "
-    f"SELECT id, toxic AS y_true, round({S.second_score()}, 6) AS score, CAST(64 AS BIGINT) AS embedding_size, true AS is_probability FROM m",
+    f"SELECT id, toxic AS y_true, round({S.second_score()}, 6) AS score, CAST(64 AS BIGINT) AS embedding_size, true AS is_probability, true AS at_optimum, true AS objective_fell FROM m",
 )
 def stacked_score_feature(spark, sf):
     """The stacked run: 5,000 words, 5,000 character n-grams, a stored embedding and another model's probability."""
@@ -295,9 +305,54 @@ def stacked_score_feature(spark, sf):
         blocks=(STACKED_WORDS, STACKED_CHARS), svd=None, embedding_dim=64, score=True, scheme=tuple(fixed.DEPLOYED_CLASS_WEIGHTS.items()),
     )
     model = L.fit_triage_model(df, spec)
-    scored = model.score_rows(df).select("id", F.col("y_prob").between(0.0, 1.0).alias("is_probability"))
+    at_optimum, fell = _fell(model)
+    scored = model.score_rows(df).select("id", ((F.col("y_prob") > 0) & (F.col("y_prob") < 1)).alias("is_probability"))
     kept = df.select("id", F.col("y").alias("y_true"), F.round("score", 6).alias("score"), F.size("embedding").cast("long").alias("embedding_size"))
-    return kept.join(scored, "id")
+    return kept.join(scored, "id").withColumns({"at_optimum": at_optimum, "objective_fell": fell})
+
+
+_PARTS = (
+    f"{S.LABELLED}, m AS (SELECT l.id, toxic FROM labelled l JOIN embeddings e ON e.vec_id = l.id), "
+    "r AS (SELECT id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) AS rn, count(*) OVER (PARTITION BY toxic) AS n FROM m), "
+    "p AS (SELECT id, toxic, rn <= round(0.2 * n) AS test FROM r), k AS (SELECT CAST(count_if(test) AS BIGINT) AS test, CAST(count_if(NOT test) AS BIGINT) AS train, "
+    "CAST(count_if(test AND toxic = 1) AS BIGINT) AS test_toxic, CAST(count_if(NOT test AND toxic = 1) AS BIGINT) AS train_toxic FROM p)"
+)
+
+
+@query(
+    "training_run",
+    f"WITH {_PARTS}, t AS (SELECT 'test' AS predictions, test AS n, test_toxic AS n_toxic, true AS mined FROM k "
+    "UNION ALL SELECT 'oof', train, train_toxic, true FROM k UNION ALL SELECT 'final_model_test', test, test_toxic, true FROM k) "
+    "SELECT predictions, n AS ids, n_toxic AS toxic, true AS flagged_above_cutoff, true AS better_than_chance, mined AS hard_examples_agree, "
+    "CAST(2 AS BIGINT) AS models, true AS at_optimum, (SELECT test + train FROM k) AS rows_scored, "
+    "'tfidf_plus_svd_plus_saved_embeddings' AS encoder_mode, 0.95::DOUBLE AS cutoff, CAST(3 AS BIGINT) AS folds FROM t",
+)
+def training_run(spark, sf):
+    """The whole run on four fifths of the labelled messages that have an embedding, tested on the rest, and what it leaves: three tables of
+    predictions, hard examples, two models, the metadata."""
+    embeddings = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    df = materialize(stratified_split(training_rows(spark, sf).join(embeddings, "id"), "y"), "split")
+    train, test = (df.filter(F.col("part") == part).drop("part") for part in ("train", "test"))
+    run = L.training_run(train, test, scratch_path(spark, "run"), L.ModelSpec(embedding_dim=64), dataset="labels")
+    truth = df.select("id", "y")
+    out = None
+    for name in ("test", "oof", "final_model_test"):
+        found = run.table(f"{name}_predictions").join(truth, "id")
+        hard = run.table(f"{name}_hard_examples").count() if name != "final_model_test" else 0
+        band = F.col("y_prob").between(*fixed.HARD_EXAMPLE_BAND) & (F.col("y_true") != F.col("y_pred"))
+        part = found.agg(
+            F.count_distinct("id").alias("ids"), F.sum(F.col("y").cast("long")).alias("toxic"), F.bool_and((F.col("y_pred") == 1) == (F.col("y_prob") > fixed.TRAINING_CUTOFF)).alias("flagged_above_cutoff"),
+            (F.lit(name == "final_model_test") | (F.count_if(band) == hard)).alias("hard_examples_agree"),
+        )
+        ranked = ranking_quality(found).select((F.col("auc") > 0.5).alias("better_than_chance"))
+        part = part.crossJoin(F.broadcast(ranked)).select(F.lit(name).alias("predictions"), "*")  # one row each
+        out = part if out is None else out.unionByName(part)
+    facts = run.metadata.select(
+        F.size("classifiers").cast("long").alias("models"), F.forall("classifiers", lambda c: c["converged"] & (c["last_objective"] < 0.95 * c["first_objective"])).alias("at_optimum"),
+        F.aggregate("feature_pipeline.hard_example_mining.sources", F.lit(0).cast("long"), lambda n, s: n + s["rows_scored"]).alias("rows_scored"),
+        "encoder_mode", "cutoff", F.col("folds").cast("long").alias("folds"),
+    )
+    return out.crossJoin(F.broadcast(facts))  # one row
 
 
 # ------------------------------------------------------------------ resumable embedding

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.functions import tokens
@@ -124,3 +125,65 @@ def test_another_encoder_can_be_plugged_in(spark):
     df = spark.createDataFrame([(1, "aba"), (2, "")], "id int, comment_text string")
     got = {r["id"]: r["embedding"] for r in X.embed_batch(df, encoder=load).collect()}
     assert got == {1: [3.0, 2.0], 2: [0.0, 0.0]}
+
+
+def test_encoder_batches_are_sorted_and_cut(spark):
+    def load():
+        # a batch tells the shortest and the longest of its texts
+        return lambda texts: np.array([[min(map(len, texts)), max(map(len, texts)), len(t)] for t in texts], dtype="float32")
+
+    rows = [(i, " ".join(["word"] * n)) for i, n in enumerate([40, 1, 39, 2, 38, 3, 37, 4])]
+    df = spark.createDataFrame(rows, "id int, comment_text string").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in X.embed_batch(df, encoder=load, batch_size=4).collect()}
+    assert sorted((v[0], v[1]) for v in got.values()) == [(4.0, 19.0)] * 4 + [(184.0, 199.0)] * 4
+    cut = {r["id"]: r["embedding"][2] for r in X.embed_batch(df, encoder=load, batch_size=4, max_words=3).collect()}
+    assert cut[1] == 4 and cut[3] == 9 and all(cut[i] in (14.0, 15.0) for i in (0, 2, 4, 5, 6, 7))
+    texts = spark.createDataFrame([(" a  b\tc d",), ("",), ("a",)], "t string").select(X.first_words(F.col("t"), 3).alias("o"))
+    assert [r["o"].rstrip() for r in texts.collect()] == [" a  b\tc", "", "a"]
+
+
+def test_built_in_encoder_stays_in_the_jvm(spark):
+    import hashlib
+
+    texts = ["Alpha  beta\talpha", "", "é x", "one " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, comment_text string")
+    out = X.embed_batch(df, dim=16)
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        v = np.zeros(16)
+        for word in texts[r["id"]].lower().split():
+            digest = hashlib.md5(word.encode()).hexdigest()
+            v[int(digest[:8], 16) % 16] += 1 if int(digest[8], 16) < 8 else -1
+        np.testing.assert_allclose(r["embedding"], v / (np.linalg.norm(v) or 1), atol=1e-6)
+
+
+def test_levels_find_the_same_vocabulary_with_fewer_terms(spark):
+    """Pruned levels against counting everything, for several views at once."""
+    rng = random.Random(7)
+    name = lambda n: "".join(random.Random(n).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+    pool = [name(int(rng.paretovariate(0.9))) for _ in range(4000)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(40)), i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, comment_text string, g int").repartition(3)
+    views = [[0, 1, 2], [0, 1], [0, 2], [1, 2]]
+    n_docs = [sum(1 for r in rows if r[2] == g) for g in range(3)]
+    for spec in (X.TfidfSpec("word", 1, 3, 60, min_df=2), X.TfidfSpec("word", 2, 3, 40, min_df=3, max_df=0.5), X.TfidfSpec("char", 3, 7, 50), X.TfidfSpec("char", 2, 3, 30, min_df=5, max_df=0.6)):
+        tables = X.vocabulary_levels(df, spec, n_docs, views, group_col="g")
+        whole = X.corpus_counts(df, spec).count()
+        built = sum(t.count() for t in tables)
+        if spec.min_df == 2 or spec == X.TfidfSpec("char", 3, 7, 50):
+            assert built * 5 <= whole, (built, whole)
+        for view in views:
+            inside = df.filter(F.col("g").isin(*view))
+            want = X.select_vocabulary(X.corpus_counts(inside, spec), F.lit(sum(n_docs[g] for g in view)), spec)
+            got = X.view_vocabulary(tables, spec, n_docs, view)
+            assert sorted((r["term"], r["cf"]) for r in got.collect()) == sorted((r["term"], r["cf"]) for r in want.collect())
+
+
+def test_rank_is_cut(spark):
+    """Of a matrix of rank 5 no noise becomes a component."""
+    rng = np.random.default_rng(3)
+    dense = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 30))
+    rows = spark.createDataFrame([(list(range(30)), [float(x) for x in row]) for row in dense], "indices array<int>, values array<double>").repartition(3)
+    components, sigma = X.fit_svd(rows, 30, 20)
+    assert components.shape == (30, 5)
+    np.testing.assert_allclose(sigma, np.linalg.svd(dense, compute_uv=False)[:5], rtol=1e-8)
