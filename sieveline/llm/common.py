@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.session import materialize, scratch_path, ship_package
+from sieveline.session import forget, materialize, scratch_path, ship_package
 
-__all__ = ["carried", "crc_fold", "held_out", "hash_order", "keep_table", "read_table", "scratch_path", "ship_package", "texts", "words"]
+__all__ = ["carried", "crc_fold", "forget", "held_out", "hash_order", "keep_table", "read_table", "scratch_path", "ship_package", "texts", "words"]
 
 FOLDS = 5
 

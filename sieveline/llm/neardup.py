@@ -5,26 +5,31 @@
    rounds as there are bins, round ``i`` puts all shingles into bin ``i``, so that every coordinate fills for sets of
    any size. Coordinates of two documents agree with the probability of their Jaccard similarity, concentrated as if
    the bins were drawn independently.
-2. *Classes.* Documents with equal sets form a class, found by one digest of the set; the smallest id represents it.
-   Only representatives go on, so copies are never expanded into pairs.
-3. *Bands.* Representatives that agree on all coordinates of a band share a bucket. With 50 bands of 5 a pair at 0.8
+2. *Classes.* Documents with equal sets form a class, known by a digest of the set. Classes, not ids, are what is
+   banded, compared and linked, so copies are never expanded into pairs, and an id with several texts has several classes.
+3. *Bands.* Classes that agree on all coordinates of a band share a bucket. With 50 bands of 5 a pair at 0.8
    is missed with probability (1 - 0.8^5)^50 = 2e-9. Buckets are never cut or capped.
-4. *Estimate.* Two bits of every coordinate go with the id. Pairs that differ in more coordinates than a pair at 0.8
+4. *Estimate.* Two bits of every coordinate go with the class. Pairs that differ in more coordinates than a pair at 0.8
    does with a probability of 4e-11 (6.5 standard deviations) are left out inside the join, before any row is made;
    documents that only share a passage fall away here.
-5. *Verification* on the full sets. First every member of a bucket against its hub, the member that shares most buckets
-   with most others: the text that the others were made from, if there is one. Links make components; in buckets that
-   still hold several, the best known member outside the main component is the next hub. What is left after
-   ``HUB_ROUNDS`` are pairs of one bucket in different components, and all of these are compared, so nothing depends on
-   the choice of hubs. Pairs of one component need no comparison.
-6. *Components* by alternating large-star and small-star steps, a logarithmic number of rounds, checkpointed.
+5. *Bound.* A class has a bitmap of its shingles, ``BITS_EACH`` bits for each, folded to the smaller of two sizes to compare. A bit that
+   the other lacks is a shingle that the other lacks, so the bitmaps bound the intersection from above. Pairs that cannot
+   reach the threshold are refuted for certain, without their texts.
+6. *Verification* on the full sets, texts read again from the input. First every class against one hub: of the best known members of
+   all its buckets (those that share most buckets with most others: the text that others were made from, if there
+   is one) the best known. That is at most one pair a class. Links make components; ``HUB_ROUNDS`` times this is done, against
+   members of other components. What is left are pairs of one bucket in different components, and all of these are
+   compared, so nothing depends on the choice of hubs. Pairs of one component need no comparison.
+7. *Components* by alternating large-star and small-star steps, a logarithmic number of rounds, checkpointed. They are
+   mapped to the smallest id of their classes at the end.
 
 Texts move only for documents that have a candidate. A bucket, a class or a hub may be of any size: groups are reduced
-by aggregates that combine before the shuffle and joined by sort-merge joins, which split skewed keys.
+by aggregates that combine before the shuffle and joined by sort-merge joins, which split skewed keys. Tables on the way are
+deleted when the next one is written.
 
 Null and empty texts, and texts of white space, have the empty set: ``n_shingles`` 0 and no links. Texts shorter than
-a shingle have one: all their words. Rows of one id are one document if their sets are equal; otherwise each row has
-the class of its own set, and one of these classes takes part in links. Null ids take no part in links and get a null component.
+a shingle have one: all their words. Each row of a repeated id has the class of its own set; rows with different sets
+are then one node only by their id: the id's rows, like linked classes, share a component. Null ids take no part in links and get a null component.
 """
 
 from __future__ import annotations
@@ -36,14 +41,16 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import keep_table, ship_package, words
+from sieveline.functions.text import bind
+from sieveline.llm.common import forget, keep_table, ship_package, words
 
 BANDS, ROWS = 50, 5
-HUB_ROUNDS = 1
-MEMO = 400_000  # hashes of words that a worker remembers
+HUB_ROUNDS = 2
+BITS_EACH = 8  # bits of the bitmap for each shingle, at least
+MEMO = 150_000  # hashes of words that a worker remembers
 _HASHES: dict[bytes, int] = {}
 U = np.uint64
 CHUNK = 2048  # shingles times rounds of one step
@@ -133,44 +140,89 @@ def close(a: Column, b: Column, bins: int, percent: int) -> Column:
     return reduce(Column.__add__, apart) <= most
 
 
+def node_of(hashes: np.ndarray) -> int | None:
+    """The class of a set: 64 bits of its digest."""
+    return int(np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes())[:8], np.int64)[0]) if len(hashes) else None
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, in as many 64-bit numbers, a power of two, as give each `BITS_EACH` bits."""
+    cells = 1 << max(0, (BITS_EACH * len(hashes) - 1).bit_length() - 6)
+    at = (mix(hashes ^ U(0x2545F4914F6CDD1D)) >> U(20)).astype(np.int64)
+    out = np.zeros(cells, U)
+    np.bitwise_or.at(out, (at >> 6) & (cells - 1), U(1) << (at & 63).astype(U))
+    return out.view(np.int64)
+
+
+def most_shared(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """The largest intersection that two bitmaps leave possible."""
+
+    def folded(x: Column, size: Column) -> Column:
+        # cells that fall together when the larger bitmap is folded
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(
+            F.sequence(i, F.size(x) - 1, size), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseOR(F.get(x, j)),
+        ))
+
+    def lacking(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, c: acc + c)
+
+    def bound(x: Column, y: Column) -> Column:
+        return F.least(n_a - lacking(x, y), n_b - lacking(y, x))
+
+    size = F.least(F.size(a), F.size(b))
+    return F.when(F.size(a) == F.size(b), bound(a, b)).otherwise(bind(folded(a, size), lambda x: bind(folded(b, size), lambda y: bound(x, y))))
+
+
 def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``id, n_shingles, class_key, keys, bits`` of every row; the last three are null for empty sets."""
+    """``id, n_shingles, node, keys, bits, cells`` of every row; all but the first two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, classes, keys, bits = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                hashes = shingle_set(text, size)
+            counts, nodes, keys, bits, cells = [], [], [], [], []
+            for text in batch.column("text"):
+                hashes = shingle_set(text.as_py(), size)
                 counts.append(len(hashes))
-                classes.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+                nodes.append(node_of(hashes))
                 drawn = sketch(hashes, bands * rows) if len(hashes) else None
                 keys.append(None if drawn is None else band_keys(drawn, bands, rows))
                 bits.append(None if drawn is None else two_bits(drawn))
+                cells.append(None if drawn is None else bitmap(hashes))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id"), "n_shingles": pa.array(counts, pa.int64()),
-                "class_key": pa.array(classes, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())),
-                "bits": pa.array(bits, pa.list_(pa.int64())),
+                "id": batch.column("id"), "n_shingles": pa.array(counts, pa.int64()), "node": pa.array(nodes, pa.int64()),
+                "keys": pa.array(keys, longs), "bits": pa.array(bits, longs), "cells": pa.array(cells, longs),
             })
+        _HASHES.clear()
+
+    return df.mapInArrow(run, "id long, n_shingles long, node long, keys array<long>, bits array<long>, cells array<long>")
 
-    return df.mapInArrow(run, "id long, n_shingles long, class_key binary, keys array<long>, bits array<long>")
 
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``a, b, n_a, n_b, shared``: the sizes and the intersection of the full sets of every pair of classes; ``b`` is the side that repeats.
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``a, b, n_a, n_b, shared``: the sizes and the intersection of the full sets of every pair of ids."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sides = docs.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    The text of a class is one of its representative's: rows of that id with another set are left out by their digest.
+    """
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("rep").alias("id")), "node")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [node_of(shingle_set(t.as_py(), size)) == n for t, n in zip(batch.column("text"), batch.column("node").to_pylist())]
+            yield batch.filter(pa.array(good, pa.bool_()))
+        _HASHES.clear()
+
+    sides = docs.join(needed, "id").select("node", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"])
     sides = keep_table(sides, "neardup-texts")
-    both = pairs.join(sides.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(sides.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = pairs.join(sides.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(sides.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for batch in batches:
             n_a, n_b, shared = [], [], []
-            for a, b, b_id in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), batch.column("b").to_pylist()):
+            for a, b, b_id in zip(batch.column("text_a"), batch.column("text_b"), batch.column("b").to_pylist()):
                 if last != b_id or last_set is None:
-                    last, last_set = b_id, shingle_set(b, size)
-                one = shingle_set(a, size)
+                    last, last_set = b_id, shingle_set(b.as_py(), size)
+                one = shingle_set(a.as_py(), size)
                 n_a.append(len(one))
                 n_b.append(len(last_set))
                 shared.append(len(np.intersect1d(one, last_set, assume_unique=True)))
@@ -178,8 +230,11 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 "a": batch.column("a"), "b": batch.column("b"), "n_a": pa.array(n_a, pa.int64()),
                 "n_b": pa.array(n_b, pa.int64()), "shared": pa.array(shared, pa.int64()),
             })
+        _HASHES.clear()
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, shared long")
+    out = keep_table(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, shared long"), "neardup-verified")
+    forget(sides)
+    return out
 
 
 def linked(percent: int):
@@ -208,8 +263,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while True:
-        edges = keep_table(star(star(edges, True), False), "links")
+        last, edges = edges, keep_table(star(star(edges, True), False), "links")
         after = mark(edges)
+        forget(last)
         if after == before:
             break
         before = after
@@ -224,69 +280,77 @@ def near_duplicates(
     ship_package(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = keep_table(signatures(docs, size, bands, rows), "neardup-signatures")
-    classes = keep_table(
-        signed.filter("class_key is not null and id is not null").groupBy("class_key").agg(F.min("id").alias("rep")), "neardup-classes"
-    )
-    copies = signed.select("id", "class_key").join(classes, "class_key").filter("id <> rep").select("id")
-    copies = keep_table(copies.union(signed.filter("class_key is not null").groupBy("id").count().filter("count > 1").select("id")).distinct(), "neardup-copies")
-    # a representative's row is scanned from the signatures; rows of a repeated id are settled by their class
-    plain = signed.filter("class_key is not null and id is not null").join(copies, "id", "left_anti")
-    odd = signed.join(copies, "id", "left_semi").join(classes.select("class_key", "rep"), "class_key").filter("id = rep")
-    odd = odd.withColumn("first", F.row_number().over(Window.partitionBy("id").orderBy("class_key"))).filter("first = 1")
-    reps = plain.select("id", "n_shingles", "keys", "bits").union(odd.select("id", "n_shingles", "keys", "bits"))
-    banded = reps.select("id", F.explode("keys").alias("key"))
+    known_rows = signed.filter("node IS NOT NULL AND id IS NOT NULL")
+    # one row per class, with what its smallest id's row says; equal sets have equal signatures
+    classes = keep_table(known_rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "neardup-classes")
+    lone = known_rows.join(classes.filter("rows > 1").select("node"), "node", "left_anti")
+    many = known_rows.join(classes.filter("rows > 1").select("node", F.col("rep").alias("id")), ["node", "id"]).dropDuplicates(["node"])
+    columns = ("node", "n_shingles", "keys", "bits", "cells")
+    reps = keep_table(lone.select(*columns).unionByName(many.select(*columns)), "neardup-representatives")
+    banded = reps.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("others")).filter("others > 1")
-    members = keep_table(banded.join(shared, "key"), "neardup-members")
-    known = members.groupBy("id").agg(F.sum("others").alias("known"))
-    members = keep_table(members.select("key", "id").join(known, "id"), "neardup-members")
+    counted = keep_table(banded.join(shared, "key"), "neardup-buckets")
+    known = counted.groupBy("node").agg(F.sum("others").alias("known"))
+    members = keep_table(counted.select("key", "node").join(known, "node"), "neardup-members")
+    forget(counted)
 
     def side(name: str, *more: str) -> DataFrame:
-        return reps.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n_shingles", "bits", *more)])
-
-    possible = (
-        (F.col("n_shingles_a") * 100 >= F.col("n_shingles_b") * percent) & (F.col("n_shingles_b") * 100 >= F.col("n_shingles_a") * percent)
-        & close(F.col("bits_a"), F.col("bits_b"), bands * rows, percent)
-    )
-    parts = None
+        return reps.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in more])
+
+    near = (F.col("n_shingles_a") * 100 >= F.col("n_shingles_b") * percent) & (F.col("n_shingles_b") * 100 >= F.col("n_shingles_a") * percent)
+    possible = near & close(F.col("bits_a"), F.col("bits_b"), bands * rows, percent)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links. First what the bitmaps leave, then the full sets."""
+        pairs = keep_table(pairs, "neardup-pairs")
+        sized = pairs.join(side("a", "n_shingles", "cells"), "a").join(side("b", "n_shingles", "cells"), "b")
+        most = most_shared(F.col("cells_a"), F.col("cells_b"), F.col("n_shingles_a"), F.col("n_shingles_b"))
+        left = sized.withColumn("most", most).filter(F.col("most") * 100 >= (F.col("n_shingles_a") + F.col("n_shingles_b") - F.col("most")) * percent)
+        left = keep_table(left.select("a", "b"), "neardup-bounded")
+        found = verify(left, docs, classes, size)
+        forget(pairs, left)
+        return found.filter(linked(percent)).select("a", "b")
+
+    # rows of one id are one node; such ids are few
+    repeated = known_rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("id", "a")
+    edges = known_rows.join(repeated, "id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    parts = keep_table(components(edges), "neardup-components")
+    best = F.max(F.struct("known", "node", "component"))
     for _ in range(HUB_ROUNDS):
-        placed = members if parts is None else members.join(parts, "id", "left")
-        placed = placed.select("key", "id", "known", F.col("id").alias("component") if parts is None else F.coalesce("component", "id").alias("component"))
-        best = F.max(F.struct("known", (-F.col("id")).alias("minus"), "component"))
-        if parts is not None:  # buckets of one component are done; in the others the best known member outside the largest hub's component is next
-            top = placed.groupBy("key").agg(best.alias("h"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-            open_rows = placed.join(top.select("key", F.col("h.component").alias("main")), "key")
-            open_rows = keep_table(open_rows, "neardup-open")
-            hubs = open_rows.filter("component <> main").groupBy("key").agg(best.alias("h"))
-            placed = open_rows
-        else:
-            hubs = placed.groupBy("key").agg(best.alias("h"))
-        hubs = hubs.select("key", (-F.col("h.minus")).alias("hub"), F.col("h.component").alias("hub_component"))
-        pairs = placed.join(hubs, "key").filter("component <> hub_component").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        pairs = keep_table(pairs.join(side("b"), "b").join(side("a"), "a").filter(possible).select("a", "b"), "neardup-pairs")
-        edges = verify(pairs, docs, size).filter(linked(percent)).select("a", "b")
-        if parts is not None:  # the components found so far stand for all links inside them
-            edges = edges.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        parts = keep_table(components(edges), "neardup-components")
-
-    placed = members.join(parts, "id", "left").select("key", "id", "known", F.coalesce("component", "id").alias("component"))
-    top = placed.groupBy("key").agg(
-        F.max(F.struct("known", (-F.col("id")).alias("minus"), "component"))["component"].alias("main"), F.min("component").alias("least"), F.max("component").alias("most")
-    ).filter("least <> most").select("key", "main")
-    placed = keep_table(placed.join(top, "key").select("key", "id", "component", "main"), "neardup-open")
-    if not placed.isEmpty():
-        x = placed.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), "main").join(side("a", "keys"), "a")
-        y = placed.select("key", F.col("id").alias("b"), F.col("component").alias("c_b")).join(side("b", "keys"), "b")
+        placed = members.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = placed.groupBy("key").agg(best.alias("first"), F.min("component").alias("least"), F.max("component").alias("largest")).filter("least <> largest")
+        opened = keep_table(placed.join(first.select("key", "first"), "key"), "neardup-open")
+        second = opened.filter("component <> first.component").groupBy("key").agg(best.alias("second"))
+        hub = F.when(F.col("component") != F.col("first.component"), F.col("first")).otherwise(F.col("second"))
+        chosen = opened.join(second, "key").select("node", hub.alias("hub")).groupBy("node").agg(F.max("hub").alias("hub"))  # one hub a class
+        pairs = chosen.select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        pairs = pairs.join(side("a", "n_shingles", "bits"), "a").join(side("b", "n_shingles", "bits"), "b").filter(possible).select("a", "b")
+        new = links(pairs).union(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))  # the components so far stand for all links inside them
+        before, parts = parts, keep_table(components(new), "neardup-components")
+        forget(before, opened)
+
+    placed = members.join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "known", F.coalesce("component", "node").alias("component"))
+    top = placed.groupBy("key").agg(best["component"].alias("main"), F.min("component").alias("least"), F.max("component").alias("largest")).filter("least <> largest")
+    opened = keep_table(placed.join(top.select("key", "main"), "key").select("key", "node", "component", "main"), "neardup-open")
+    if not opened.isEmpty():
+        x = opened.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("c_a"), "main").join(side("a", "n_shingles", "bits", "keys"), "a")
+        y = opened.select("key", F.col("node").alias("b"), F.col("component").alias("c_b")).join(side("b", "n_shingles", "bits", "keys"), "b")
         apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") > F.col("b")))
         # a pair that shares several buckets is made once, in the bucket of the smallest key
         once = x.key == F.array_min(F.array_intersect("keys_a", "keys_b"))
-        rest = x.join(y, (x.key == y.key) & apart & possible & once).select("a", "b").distinct()
-        more = keep_table(verify(keep_table(rest, "neardup-pairs"), docs, size).filter(linked(percent)).select("a", "b"), "neardup-links")
-        if not more.isEmpty():
-            parts = keep_table(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "neardup-components")
-
-    placed_classes = classes.join(parts, classes.rep == parts.id, "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
-    return (
-        signed.drop("keys", "bits").join(placed_classes, "class_key", "left")
+        more = links(x.join(y, (x.key == y.key) & apart & possible & once).select("a", "b").distinct())
+        before, parts = parts, keep_table(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "neardup-components")
+        forget(before)
+    forget(opened, members)
+
+    placed_classes = classes.join(parts.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    smallest = placed_classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_node = keep_table(placed_classes.join(smallest, "component").select("node", "component_id"), "neardup-placed")
+    out = (
+        signed.drop("keys", "bits", "cells").join(by_node, "node", "left")
         .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
         .select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     )
+    out = keep_table(out, "neardup-result")
+    forget(signed, classes, reps, parts, by_node)
+    return out

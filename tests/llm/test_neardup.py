@@ -92,3 +92,32 @@ def test_components(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(90, 80), (85, 90), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in neardup.components(edges).collect()}
     assert got == {k: 0 for k in range(41)} | {80: 80, 85: 80, 90: 80}
+
+
+def test_an_id_with_several_texts_loses_no_link(spark):
+    r = random.Random(9)
+    one, two = ([f"{k}{r.randrange(900)}" for _ in range(60)] for k in "ab")
+    near = list(two)
+    near[30] = "changed"
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (9, " ".join(two)), (20, " ".join(near)), (21, " ".join(one)), (30, "quite another text")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, S), size=2).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in out) == [(5, 5), (5, 5), (9, 5), (20, 5), (21, 5), (30, 30)]
+
+
+def test_bitmaps_never_refute_a_link(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    rows, want = [], []
+    for _ in range(150):
+        n, m, both = int(r.integers(1, 900)), int(r.integers(1, 900)), 0
+        both = int(r.integers(0, min(n, m) + 1))
+        whole = np.unique(r.integers(0, 2**63, n + m, dtype=np.uint64))
+        a, b = whole[:n], np.concatenate([whole[:both], whole[n : n + m - both]])
+        rows.append((neardup.bitmap(a).tolist(), neardup.bitmap(b).tolist(), len(a), len(b)))
+        want.append(both)
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a array<long>, b array<long>, n long, m long")
+    got = {x["i"]: x["s"] for x in df.select("i", neardup.most_shared(F.col("a"), F.col("b"), F.col("n"), F.col("m")).alias("s")).collect()}
+    assert all(got[i] >= w for i, w in enumerate(want))
+    slack = [got[i] - w for i, (w, x) in enumerate(zip(want, rows)) if 0.8 < x[2] / x[3] < 1.25]
+    assert np.mean(slack) < 60
