@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sieveline.session import forget, materialize, scratch_path, ship_package
 
-__all__ = ["carried", "crc_fold", "forget", "held_out", "hash_order", "keep_table", "read_table", "scratch_path", "ship_package", "texts", "words"]
+__all__ = ["crc_fold", "forget", "held_out", "hash_order", "keep_table", "read_table", "scratch_path", "ship_package", "texts", "words"]
 
 FOLDS = 5
 
@@ -46,10 +46,3 @@ def words(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased, split at blank, tab, line feed, vertical tab, form feed and return."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
-
-def carried(df: DataFrame, id_col: str, text_col: str, whole: bool, made: set[str]) -> tuple[DataFrame, str]:
-    """The id column, with ``whole`` the other columns that are not ``made`` anew, last ``_text``; and the DDL of all but ``_text``."""
-    kept = [id_col] + [c for c in df.columns if whole and c != id_col and c not in made and c != "_text"]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    types = dict(df.dtypes)
-    return rows, ", ".join(f"`{c}` {types[c]}" for c in kept)

@@ -24,11 +24,12 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import carried, hash_order, held_out, keep_table, ship_package, texts
+from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, texts
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -169,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int) -> dict:
         return {"share": sizes.get(1, 0) / sum(sizes.values()) if sizes else 1.0}
     bad = min(sizes[0], max(max_examples // 2, max_examples - sizes[1]))
     picks = [known.filter(F.col("label") == c).orderBy(hash_order("id"), "id").limit(n) for c, n in ((0, bad), (1, max_examples - bad))]
-    sample = docs.join(F.broadcast(picks[0].union(picks[1])), "id").dropDuplicates(["id"]).select("text", F.col("label").cast("int").alias("label"))
+    sample = docs.join(F.broadcast(picks[0].union(picks[1])), "id")  # at most max_examples ids; of several texts of one the smallest digest's
+    sample = sample.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", F.col("label").cast("int").alias("label"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,26 +214,28 @@ def quality_scores(
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     model = fit(docs, known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")), max_examples)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("struct<score: double, lines: array<double>>")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w = model.get("weights")
-        for batch in batches:
+        for part in parts:
             scores, lines = [], []
-            for text in texts(batch, "_text"):
+            for text in part:
+                text = text or ""
                 if w is None:
-                    lines.append([model["share"]] * (text.count("\n") + 1))
+                    lines.append([model["share"]] * (text.count("\n") + 1 if with_lines else 0))
                     scores.append(model["share"])
                     continue
                 x, lengths = document_features(text)
                 good, _, _, _ = forward_backward((x @ w[:-2]).tolist(), w[-2], w[-1])
                 total = sum(lengths)
-                score = sum(map(float.__mul__, good, map(float, lengths))) / total if total else sum(good) / len(good)
-                scores.append(min(1.0, max(0.0, score)))
-                lines.append(good)
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "_text"} | {"score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= cut) for s in scores], pa.int32())}
-            if with_lines:
-                columns["lines"] = pa.array(lines, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    rows, schema = carried(df, id_col, text_col, carry, {"held_out", "score", "predicted", "lines"})
-    out = rows.mapInArrow(run, f"{schema}, score double, predicted int" + (", lines array<double>" if with_lines else ""))
-    return out.select(*rows.columns[:-1], held_out(id_col).alias("held_out"), "score", "predicted", *(["lines"] if with_lines else []))
+                mean = sum(map(float.__mul__, good, map(float, lengths))) / total if total else sum(good) / len(good)
+                scores.append(min(1.0, max(0.0, mean)))
+                lines.append(good if with_lines else [])
+            yield pd.DataFrame({"score": scores, "lines": lines})
+
+    # only the text goes to Python; the rest of the row stays in the JVM
+    made = ["held_out", "score", "predicted", "lines"]
+    kept = [id_col] + [c for c in df.columns if carry and c != id_col and c not in made]
+    out = df.select(*[F.col(f"`{c}`") for c in kept], score.asNondeterministic()(F.col(f"`{text_col}`").cast("string")).alias("_scored"))
+    out = out.withColumns({"held_out": held_out(id_col), "score": F.col("_scored.score"), "lines": F.col("_scored.lines")})
+    return out.withColumn("predicted", (F.col("score") >= cut).cast("int")).select(*[f"`{c}`" for c in kept], "held_out", "score", "predicted", *(["lines"] if with_lines else []))

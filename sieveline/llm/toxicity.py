@@ -1,40 +1,41 @@
 """Toxicity of documents: votes of the nearest labelled examples by exact TF-IDF cosine.
 
 *Fit.* Examples are a bounded sample of the labelled rows outside the held-out fold (``max_examples``, half of each
-class where there are enough, in hash order of the id). A term is a word or the start of one (3 to 8 characters),
-which catches inflected forms. ``max_terms`` terms are kept, those most associated with the labels of the examples
-(chi-square). Their document frequencies are counted over all documents. Votes are calibrated by a logistic curve over
+class where there are enough, in hash order of the id). All words of the examples are terms, none is left out; their document
+frequencies are counted over all documents. A word's weight is (1 + ln count) x idf x the root of its chi-square with the
+examples' labels, so that nearness is mostly nearness in what tells the classes apart. Votes are calibrated by a logistic curve over
 the examples' own votes, each taken without itself, weighted back to the class shares of all labelled rows.
 
 *Score.* The examples lie in an inverted index whose postings are cut into blocks of ``BLOCK`` examples; the largest
-weight of each (term, block) bounds what a block can score. Blocks are opened by falling bound until the bound is below
-the k-th best cosine, so the k nearest are exact. Their votes are weighted by similarity, against a small prior weight.
+weight of each (term, block) bounds what a block can score. The blocks of the highest bounds are opened first, then all whose bound
+reaches the k-th best cosine found there, so the k nearest are exact. Their votes are weighted by similarity, against a small prior weight.
 
-Index and vocabulary have at most ``max_examples`` x ``max_terms`` entries, so they are broadcast. Scoring is one
-projection over the documents; the frequency pass sends at most ``max_terms`` rows per task.
+Index and vocabulary have one entry for each distinct word of an example, so they are broadcast. Scoring is one
+projection over the documents; only the text goes to Python and only the score comes back. The frequency pass sends at most one row per
+term and task.
 
-Null and empty texts, and texts without any kept term, have no neighbours: their score is the calibrated prior. With
+Null and empty texts, and texts without any word of an example, have no neighbours: their score is the calibrated prior. With
 examples of one class only (or none), the score is that class's share (0 without labels). Rows are kept as they are,
-repeated ids too; of several labels of one id the largest counts.
+repeated ids too; of several labels of one id the largest counts, of several texts the one of the smallest digest is learnt from.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
-from heapq import nsmallest
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import carried, hash_order, held_out, keep_table, ship_package, texts
+from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, texts
 
 BLOCK = 64
+FIRST = 4  # blocks that are opened before any bound is known
 PRIOR_WEIGHT = 0.25
-STARTS = (3, 4, 5, 6, 7, 8)
-MEMO = 500_000
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))  # others part words
 
 
@@ -42,76 +43,71 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LETTERS).split()
 
 
-def terms_of(word: bytes) -> list[str]:
-    """The word and its starts; a start ends in ``*``."""
-    text = word.decode("utf-8", "replace")
-    return [text, *(text[:k] + "*" for k in STARTS if len(text) > k)]
+def counts_of(text: str, index: dict[bytes, int]) -> dict[int, int]:
+    """The terms of a text and how often they occur."""
+    return {index[w]: n for w, n in Counter(split_words(text)).items() if w in index}
 
 
-class Vocabulary:
-    """Counts the kept terms of texts."""
-
-    def __init__(self, terms: list[str]):
-        self.index = {t: i for i, t in enumerate(terms)}
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-
-    def _look(self, word: bytes) -> tuple[int, ...]:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        found = self.memo[word] = tuple(self.index[t] for t in terms_of(word) if t in self.index)
-        return found
-
-    def counts(self, text: str) -> dict[int, int]:
-        get, look, out = self.memo.get, self._look, {}
-        for word in split_words(text):
-            found = get(word)
-            if found is None:
-                found = look(word)
-            if found:
-                for i in found:
-                    out[i] = out.get(i, 0) + 1
-        return out
-
-
-def weights(counts: dict[int, int], idf: list[float]) -> list[tuple[int, float]]:
-    """A unit vector of (1 + ln count) x idf, terms ascending."""
-    raw = [(i, (1 + math.log(n)) * idf[i]) for i, n in sorted(counts.items())]
+def weights(counts: dict[int, int], scale: list[float]) -> list[tuple[int, float]]:
+    """A unit vector of (1 + ln count) x scale, terms ascending."""
+    raw = [(i, (1 + math.log(n)) * scale[i]) for i, n in sorted(counts.items())]
     norm = math.sqrt(sum(w * w for _, w in raw))
     return [(i, w / norm) for i, w in raw] if norm else []
 
 
+def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of several ranges, and the number of the range of each."""
+    sizes = end - first
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner], owner
+
+
 class BlockMaxIndex:
     """Exact top-k cosine over unit vectors, examples numbered from 0; ties go to the smaller number."""
 
     def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        self.size, self.most = len(vectors), np.zeros((terms, blocks))
-        lists: list[list[list[tuple[int, float]]]] = [[[] for _ in range(blocks)] for _ in range(terms)]
-        for n, vector in enumerate(vectors):
-            for t, w in vector:
-                lists[t][n // BLOCK].append((n % BLOCK, w))
-                self.most[t, n // BLOCK] = max(self.most[t, n // BLOCK], w)
-        self.postings = [[(np.array([n for n, _ in one], np.int64), np.array([w for _, w in one])) if one else None for one in per] for per in lists]
+        self.size, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        term = np.array([t for v in vectors for t, _ in v], np.int64)
+        example = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
+        weight = np.array([w for v in vectors for _, w in v], np.float64)
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        run = term * self.blocks + self.example // BLOCK
+        start = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+        self.posting = np.append(start, len(run))  # where the postings of each (term, block) begin
+        self.block = (run[start] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.first = np.searchsorted(run[start] // self.blocks, np.arange(terms + 1))  # where the blocks of each term begin
 
     def nearest(self, query: list[tuple[int, float]], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(-cosine, number) of the k nearest examples of positive cosine, the best first."""
-        if not query:
+        if not query or not self.size:
             return []
-        bounds = np.array([w for _, w in query]) @ self.most[[t for t, _ in query]]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            bound = bounds[block] * (1 + 1e-12)
-            if bound <= 0 or len(best) == k and bound < -best[-1][0]:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in query:
-                found = self.postings[t][block]
-                if found is not None:
-                    scores[found[0]] += w * found[1]
-            base = int(block) * BLOCK
-            here = [(-float(scores[i]), base + int(i)) for i in np.flatnonzero(scores) if base + int(i) != skip]
-            best = nsmallest(k, best + here)
-        return best
+        t, w = np.array([t for t, _ in query]), np.array([w for _, w in query])
+        at, owner = ranges(self.first[t], self.first[t + 1])
+        bounds = np.bincount(self.block[at], self.most[at] * w[owner], self.blocks) * (1 + 1e-12)
+        scores = np.zeros(self.size)
+
+        def open_blocks(which: np.ndarray) -> None:
+            here = which[self.block[at]]
+            place, of = ranges(self.posting[at[here]], self.posting[at[here] + 1])
+            scores[:] += np.bincount(self.example[place], self.weight[place] * w[owner[here]][of], self.size)
+            if skip >= 0:
+                scores[skip] = 0.0
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        open_blocks(first)
+        low = np.partition(scores, self.size - k)[self.size - k] if self.size > k else 0.0
+        rest = ~first & (bounds > 0) & (bounds >= low)
+        if rest.any():
+            open_blocks(rest)
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            cut = np.partition(scores[found], len(found) - k)[len(found) - k]
+            found = found[scores[found] >= cut]
+        found = found[np.argsort(-scores[found], kind="stable")][:k]
+        return list(zip((-scores[found]).tolist(), found.tolist()))
 
 
 def vote(found: list[tuple[float, int]], labels: list[int], prior: float) -> float:
@@ -138,7 +134,7 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, share: float) -> tuple[floa
     return float(beta[0]), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, k: int) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int, k: int) -> dict:
     """``docs``: id, text. ``labels``: id, label (0 or 1), only rows that may be learnt from."""
     known = docs.select("id").distinct().join(labels.groupBy("id").agg(F.max("label").alias("label")), "id")
     known = keep_table(known, "toxicity-labels")
@@ -148,43 +144,44 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, k
         return {"share": share}
     ones = min(sizes[1], max(max_examples // 2, max_examples - sizes[0]))
     picks = [known.filter(F.col("label") == c).orderBy(hash_order("id"), "id").limit(n) for c, n in ((1, ones), (0, max_examples - ones))]
-    sample = docs.join(F.broadcast(picks[0].union(picks[1])), "id").dropDuplicates(["id"])  # at most max_examples rows
+    sample = docs.join(F.broadcast(picks[0].union(picks[1])), "id")  # at most max_examples ids
+    sample = sample.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = keep_table(sample, "toxicity-examples")
 
-    def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(texts(batch), batch.column("label").to_pylist()):
-                found = sorted({t for w in set(split_words(text)) for t in terms_of(w)})
-                yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.string()), "label": pa.array([label] * len(found), pa.int32())})
+                found = sorted(set(split_words(text)))
+                yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.binary()), "label": pa.array([label] * len(found), pa.int32())})
 
     n1, n0 = sample.filter("label = 1").count(), sample.filter("label = 0").count()
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / F.nullif((a + b) * (n1 + n0 - a - b) * n1 * n0, F.lit(0.0))
-    chosen = (
-        sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(distinct_terms, "term string, label int")
-        .groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        .withColumn("chi", F.coalesce(chi, F.lit(0.0))).filter(F.col("chi") >= max(12.0, 0.006 * (n1 + n0)))
-        .orderBy(F.desc("chi"), "term").limit(max_terms)
-    )
-    terms = [r["term"] for r in chosen.collect()]  # at most max_terms rows
+    found = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(distinct_words, "term binary, label int")
+    found = found.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).toArrow().sort_by("term")  # words of max_examples texts
+    terms = found.column("term").to_pylist()
     if not terms:
         return {"share": share}
+    a, b = np.asarray(found.column("a"), float), np.asarray(found.column("b"), float)
+    chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n1 + n0 - a - b) * n1 * n0, 1)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found, rows = Vocabulary(terms), np.zeros(len(terms), np.int64), 0
+        index, found, rows = {t: i for i, t in enumerate(shared.value)}, np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in texts(batch):
-                found[list(vocabulary.counts(text))] += 1
-        yield pa.RecordBatch.from_pydict({"i": pa.array([*range(len(terms)), -1], pa.int32()), "n": pa.array([*found.tolist(), rows], pa.int64())})
+            for text in batch.column("text"):
+                found[[index[w] for w in set(split_words(text.as_py() or "")) if w in index]] += 1
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"i": pa.array([*at.tolist(), -1], pa.int32()), "n": pa.array([*found[at].tolist(), rows], pa.int64())})
 
-    df = {r["i"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    idf = [math.log((df[-1] + 1) / (df[i] + 1)) + 1 for i in range(len(terms))]
+    counted = docs.select("text").mapInArrow(frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # one row per term
+    df = dict(zip(counted.column("i").to_pylist(), counted.column("n").to_pylist()))
+    idf = np.log((df[-1] + 1) / (np.array([df.get(i, 0) for i in range(len(terms))]) + 1)) + 1
+    scale = (idf * np.sqrt(chi)).tolist()
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(terms)
+        index = {t: i for i, t in enumerate(shared.value)}
         for batch in batches:
-            found = [sorted(vocabulary.counts(t).items()) for t in texts(batch)]
+            found = [sorted(counts_of(t, index).items()) for t in texts(batch)]
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column("id"), "label": batch.column("label"),
                 "i": pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())),
@@ -192,18 +189,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, k
             })
 
     rows = sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(sparse, "id long, label int, i array<int>, n array<int>")
-    rows = rows.orderBy("label", "i", "id").collect()  # at most max_examples sparse rows; neighbours in one block
-    vectors = [weights(dict(zip(r["i"], r["n"])), idf) for r in rows]
-    marks = [r["label"] for r in rows]
+    rows = rows.toArrow().sort_by([("label", "ascending"), ("id", "ascending")])  # at most max_examples sparse rows
+    vectors = [weights(dict(zip(i.as_py(), n.as_py())), scale) for i, n in zip(rows.column("i"), rows.column("n"))]
+    marks, ids = rows.column("label").to_pylist(), rows.column("id").to_pylist()
+    # examples whose strongest term is the same lie in one block
+    order = sorted(range(len(vectors)), key=lambda n: (max(vectors[n], key=lambda x: x[1])[0] if vectors[n] else -1, marks[n], ids[n]))
+    vectors, marks, ids = [[x[n] for n in order] for x in (vectors, marks, ids)]
     index = BlockMaxIndex(vectors, len(terms))
     prior = ones / max_examples if sizes[0] + sizes[1] > max_examples else share
     votes = np.array([vote(index.nearest(v, k, skip=n), marks, prior) for n, v in enumerate(vectors)])
     slope, offset = calibrate(votes, np.array(marks), share)
-    return {"share": share, "terms": terms, "idf": idf, "vectors": vectors, "labels": marks, "ids": [r["id"] for r in rows], "prior": prior, "slope": slope, "offset": offset, "k": k}
+    shared.destroy()
+    return {"share": share, "terms": terms, "scale": scale, "index": index, "labels": marks, "ids": ids, "prior": prior, "slope": slope, "offset": offset, "k": k}
+
+
+EVIDENCE = "array<struct<id: long, cosine: double, label: int>>"
 
 
 def toxicity_scores(
-    df: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 256, k: int = 15, cut: float = 0.5,
+    df: DataFrame, labels: DataFrame, max_examples: int = 4000, k: int = 15, cut: float = 0.5,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", with_evidence: bool = False, carry: bool = False,
 ) -> DataFrame:
     """``id_col, held_out, score, predicted`` of every row; with ``with_evidence`` also the neighbours (id, cosine, label).
@@ -214,28 +218,23 @@ def toxicity_scores(
     ship_package(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    model = fit(docs, known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")), max_examples, max_terms, k)
+    model = fit(docs, known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")), max_examples, k)
     shared = spark.sparkContext.broadcast(model)
-    evidence = ", evidence array<struct<id: long, cosine: double, label: int>>" if with_evidence else ""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf(f"struct<score: double, evidence: {EVIDENCE}>")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        index = BlockMaxIndex(m["vectors"], len(m["terms"])) if "terms" in m else None
-        vocabulary = Vocabulary(m.get("terms", []))
-        for batch in batches:
+        terms = {t: i for i, t in enumerate(m.get("terms", []))}
+        for part in parts:
             scores, near = [], []
-            for text in texts(batch, "_text"):
-                found = index.nearest(weights(vocabulary.counts(text), m["idf"]), m["k"]) if index else []
-                near.append(found)
-                scores.append(1 / (1 + math.exp(-(m["slope"] * (vote(found, m["labels"], m["prior"]) - 0.5) + m["offset"]))) if index else m["share"])
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "_text"} | {
-                "score": pa.array(scores, pa.float64()),
-                "predicted": pa.array([int(s >= cut) for s in scores], pa.int32()),
-            }
-            if with_evidence:
-                columns["evidence"] = pa.array([[{"id": m["ids"][n], "cosine": -s, "label": m["labels"][n]} for s, n in f] for f in near], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    rows, schema = carried(df, id_col, text_col, carry, {"held_out", "score", "predicted", "evidence"})
-    out = rows.mapInArrow(run, f"{schema}, score double, predicted int{evidence}")
-    return out.select(*rows.columns[:-1], held_out(id_col).alias("held_out"), "score", "predicted", *(["evidence"] if with_evidence else []))
+            for text in part:
+                found = m["index"].nearest(weights(counts_of(text or "", terms), m["scale"]), m["k"]) if terms else []
+                scores.append(1 / (1 + math.exp(-(m["slope"] * (vote(found, m["labels"], m["prior"]) - 0.5) + m["offset"]))) if terms else m["share"])
+                near.append([{"id": m["ids"][n], "cosine": -s, "label": m["labels"][n]} for s, n in found] if with_evidence else [])
+            yield pd.DataFrame({"score": scores, "evidence": near})
+
+    made = ["held_out", "score", "predicted", "evidence"]
+    kept = [id_col] + [c for c in df.columns if carry and c != id_col and c not in made]
+    out = df.select(*[F.col(f"`{c}`") for c in kept], score.asNondeterministic()(F.col(f"`{text_col}`").cast("string")).alias("_scored"))
+    out = out.withColumns({"held_out": held_out(id_col), "score": F.col("_scored.score"), "evidence": F.col("_scored.evidence")})
+    return out.withColumn("predicted", (F.col("score") >= cut).cast("int")).select(*[f"`{c}`" for c in kept], "held_out", "score", "predicted", *(["evidence"] if with_evidence else []))
