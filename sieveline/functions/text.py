@@ -158,6 +158,26 @@ def strip_urls_ips(c: Column) -> Column:
     return F.regexp_replace(c, patterns.URLS_AND_IPS, " ")
 
 
+def replace_found(text: Column, pattern: str, hits: Column, replacement: Callable[[Column], Column]) -> Column:
+    """Replace the matches of a pattern that were already found, all of them and in order."""
+    pieces = F.zip_with(
+        F.split(text, pattern),
+        hits,
+        lambda piece, hit: F.concat(piece, F.coalesce(replacement(hit), F.lit(""))),
+    )
+    return F.when(F.size(hits) == 0, text).otherwise(F.array_join(pieces, ""))
+
+
+def cut_at(c: Column, pattern: str) -> Column:
+    """The text between the matches of a pattern: one piece more than there are matches. Joined by a blank it is the text with each match
+    replaced by one, so that one search serves for counting and for replacing."""
+    return F.split(c, pattern, -1)
+
+
+def may_repeat_punct(c: Column) -> Column:
+    return F.contains(c, F.lit("!!")) | F.contains(c, F.lit("??")) | F.contains(c, F.lit("..")) | F.contains(c, F.lit(",,"))
+
+
 def replace_matches(
     c: Column, pattern: str, replacement: Callable[[Column], Column], hint: Callable[[Column], Column] | None = None
 ) -> Column:
@@ -168,16 +188,8 @@ def replace_matches(
     without which a match is impossible.
     """
 
-    def stitched(text: Column, hits: Column) -> Column:
-        pieces = F.zip_with(
-            F.split(text, pattern),
-            hits,
-            lambda piece, hit: F.concat(piece, F.coalesce(replacement(hit), F.lit(""))),
-        )
-        return F.when(F.size(hits) == 0, text).otherwise(F.array_join(pieces, ""))
-
     def body(text: Column) -> Column:
-        replaced = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: stitched(text, hits))
+        replaced = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: replace_found(text, pattern, hits, replacement))
         return replaced if hint is None else F.when(hint(text), replaced).otherwise(text)
 
     return bind(c, body)
@@ -191,11 +203,13 @@ def may_hold_contraction(c: Column) -> Column:
     return F.contains(c, F.lit("'")) | F.contains(c, F.lit("cannot"))
 
 
+def long_form(hit: Column) -> Column:
+    """What a contraction stands for."""
+    return F.element_at(_lookup(fixed.CONTRACTIONS), hit)
+
+
 def expand_contractions(c: Column) -> Column:
-    table = _lookup(fixed.CONTRACTIONS)
-    return replace_matches(
-        c, patterns.CONTRACTIONS, lambda hit: F.element_at(table, hit), hint=may_hold_contraction
-    )
+    return replace_matches(c, patterns.CONTRACTIONS, long_form, hint=may_hold_contraction)
 
 
 def profanity_stem(hit: Column) -> Column:

@@ -41,11 +41,14 @@ def tracked_stages(df: DataFrame, text_col: str, config: text.CleanConfig) -> Da
         "_s", F.when(~F.col("_blank"), F.col(text_col)).otherwise(F.lit(""))
     )
 
-    def stage(name, step, on, found):
+    def cut(name, pattern, on):
+        """A step that puts a blank for each match: found once, counted and replaced from the pieces."""
         nonlocal out
-        out = out.withColumn(f"_n_{name}", found(F.col("_s")) if on else none)
-        if on and step is not None:
-            out = out.withColumn("_s", step(F.col("_s")))
+        if not on:
+            out = out.withColumn(f"_n_{name}", none)
+            return
+        out = out.withColumn("_p", text.cut_at(F.col("_s"), pattern))
+        out = out.withColumns({f"_n_{name}": F.size("_p") - 1, "_s": F.array_join("_p", " ")}).drop("_p")
 
     def changed(name, step, on):
         nonlocal out
@@ -53,44 +56,39 @@ def tracked_stages(df: DataFrame, text_col: str, config: text.CleanConfig) -> Da
             out = out.withColumn(f"_n_{name}", none)
             return
         out = out.withColumn("_t", step(F.col("_s")))
-        out = out.withColumn(f"_n_{name}", (F.col("_t") != F.col("_s")).cast("int"))
-        out = out.withColumn("_s", F.col("_t")).drop("_t")
+        out = out.withColumns({f"_n_{name}": (F.col("_t") != F.col("_s")).cast("int"), "_s": F.col("_t")}).drop("_t")
 
     changed("html_unescape", text.html_unescape, config.unescape_html)
     changed("unicode_normalization", text.unicode_fold, config.normalize_unicode)
-    stage("capslock_detection", None, config.detect_caps, lambda c: text.mostly_caps(c).cast("int"))
-    stage("wiki_noise_removal", text.strip_wiki, config.strip_wiki, lambda c: _matches(c, patterns.WIKI_MARKS))
-    stage("url_ip_removal", text.strip_urls_ips, config.strip_urls, lambda c: _matches(c, patterns.URLS_AND_IPS))
+    out = out.withColumn("_n_capslock_detection", text.mostly_caps(F.col("_s")).cast("int") if config.detect_caps else none)
+    cut("wiki_noise_removal", patterns.WIKI_MARKS, config.strip_wiki)
+    cut("url_ip_removal", patterns.URLS_AND_IPS, config.strip_urls)
     out = out.withColumn("_s", F.lower("_s"))
     no_hits = F.array().cast("array<string>")
-    out = out.withColumn(
-        "_contractions",
-        F.when(
-            text.may_hold_contraction(F.col("_s")),
-            F.regexp_extract_all("_s", F.lit(patterns.CONTRACTIONS), F.lit(0)),
-        ).otherwise(no_hits)
-        if config.expand_contractions
-        else no_hits,
-    )
-    stage(
-        "contraction_expansion", text.expand_contractions, config.expand_contractions,
-        lambda c: F.size("_contractions"),
-    )
-    out = out.withColumn(
-        "_profanity",
-        F.transform(F.regexp_extract_all("_s", F.lit(patterns.PROFANITY), F.lit(0)), text.profanity_stem)
-        if config.deobfuscate
-        else no_hits,
-    )
-    stage("profanity_deobfuscation", text.deobfuscate_profanity, config.deobfuscate, lambda c: F.size("_profanity"))
-    stage(
-        "repeated_punct_collapse", text.collapse_punct, config.collapse_punct,
-        lambda c: _matches(c, patterns.REPEATED_PUNCTUATION),
-    )
-    stage(
-        "non_alnum_strip", text.strip_non_alnum, config.strip_non_alnum,
-        lambda c: _matches(c, patterns.NOT_ALPHANUMERIC),
+
+    def replaced(name, hits_name, pattern, on, hint, replacement, shown):
+        """A step that replaces what it finds by a function of it: found once, for the counts and for the replacement."""
+        nonlocal out
+        if not on:
+            out = out.withColumns({hits_name: no_hits, f"_n_{name}": none})
+            return
+        found = F.regexp_extract_all("_s", F.lit(pattern), F.lit(0))
+        out = out.withColumn("_h", found if hint is None else F.when(hint(F.col("_s")), found).otherwise(no_hits))
+        out = out.withColumns({
+            "_s": text.replace_found(F.col("_s"), pattern, F.col("_h"), replacement), f"_n_{name}": F.size("_h"), hits_name: shown(F.col("_h")),
+        }).drop("_h")
+
+    replaced("contraction_expansion", "_contractions", patterns.CONTRACTIONS, config.expand_contractions, text.may_hold_contraction, text.long_form, lambda h: h)
+    replaced(
+        "profanity_deobfuscation", "_profanity", patterns.PROFANITY, config.deobfuscate, None, text.profanity_stem, lambda h: F.transform(h, text.profanity_stem)
     )
+    if config.collapse_punct:
+        doubled = text.may_repeat_punct(F.col("_s"))
+        out = out.withColumn("_n_repeated_punct_collapse", F.when(doubled, _matches(F.col("_s"), patterns.REPEATED_PUNCTUATION)).otherwise(none))
+        out = out.withColumn("_s", F.when(F.col("_n_repeated_punct_collapse") > 0, text.collapse_punct(F.col("_s"))).otherwise(F.col("_s")))
+    else:
+        out = out.withColumn("_n_repeated_punct_collapse", none)
+    cut("non_alnum_strip", patterns.NOT_ALPHANUMERIC, config.strip_non_alnum)
     body = text.apply_steps(text.squeeze_whitespace(F.col("_s")), config.custom_steps)
     if config.detect_caps:
         body = text.capslock_prefix(body, F.col("_n_capslock_detection") == 1)
@@ -274,30 +272,35 @@ def mark_invalid(
 ) -> DataFrame:
     """Each kept-or-dropped row with its first drop reason (null for a good row).
 
-    Of equal ids the first by ``order_col`` stays. That is an aggregate over the id rather than a
+    Of equal ids the first by ``order_col`` stays (without it, the row of the smallest hash). That is an aggregate over the id rather than a
     window, so an id with very many copies is combined before the shuffle; the dropped copies come
     back as a count in ``copies``.
     """
-    order = F.col(order_col) if order_col else F.struct(*[F.col(c) for c in df.columns if c != id_col])
+    order = F.col(order_col) if order_col else F.xxhash64(*[F.col(c) for c in df.columns if c != id_col])
     others = [c for c in df.columns if c != id_col]
     first = df.groupBy(id_col).agg(
         F.min_by(F.struct(*others), order).alias("_r"), F.count("*").alias("copies")
     )
     kept = first.select(id_col, "copies", *[F.col(f"_r.{c}").alias(c) for c in others])
 
+    return kept.withColumn("drop_reason", drop_reason(labels, text_col))
+
+
+def drop_reason(labels: Sequence[str], text_col: str) -> Column:
+    """Why a row is dropped; null for a good one. Looks at the row only."""
+
     def any_of(test):
         found = F.lit(False)
         for name in labels:
             found = found | test(F.col(name))
         return found
 
-    reason = (
+    return (
         F.when(text.is_blank(F.col(text_col)), F.lit("empty_comment_text"))
         .when(any_of(lambda c: c.isNull()), F.lit("missing_label_values"))
         .when(any_of(lambda c: c == -1), F.lit("rows_with_minus_one_labels"))
         .when(any_of(lambda c: ~c.isin(0, 1)), F.lit("invalid_label_values"))
     )
-    return kept.withColumn("drop_reason", reason)
 
 
 def drop_invalid_labels(df: DataFrame, labels: Sequence[str], **names) -> DataFrame:
@@ -305,16 +308,23 @@ def drop_invalid_labels(df: DataFrame, labels: Sequence[str], **names) -> DataFr
     return mark_invalid(df, labels, **names).filter("drop_reason IS NULL").drop("drop_reason", "copies")
 
 
-def drop_invalid_report(df: DataFrame, labels: Sequence[str], **names) -> DataFrame:
-    """Rows in and out, drops by reason and the class counts afterwards, from one aggregate."""
-    marked = mark_invalid(df, labels, **names)
-    good = F.col("drop_reason").isNull()
+def drop_invalid_report(
+    df: DataFrame, labels: Sequence[str], id_col: str = "id", text_col: str = "comment_text", order_col: str | None = None
+) -> DataFrame:
+    """Rows in and out, drops by reason and the class counts afterwards.
+
+    A row's reason and class are found before rows of one id meet, so that only they are shuffled, no text. The same rows stay as in `mark_invalid`.
+    """
     worst = F.greatest(*[F.col(c) for c in labels]) if len(labels) > 1 else F.col(labels[0])
+    order = F.col(order_col) if order_col else F.xxhash64(*[F.col(c) for c in df.columns if c != id_col])
+    flags = df.select(F.col(id_col).alias("_id"), order.alias("_order"), F.struct(drop_reason(labels, text_col).alias("reason"), worst.alias("worst")).alias("_flags"))
+    marked = flags.groupBy("_id").agg(F.min_by("_flags", "_order").alias("_f"), F.count("*").alias("copies")).select("_f.*", "copies")
+    good = F.col("reason").isNull()
     return marked.agg(
         F.sum("copies").alias("input_rows"),
         F.sum(F.col("copies") - 1).alias("duplicate_ids"),
-        *[F.count_if(F.col("drop_reason") == r).alias(r) for r in DROP_REASONS[1:]],
+        *[F.count_if(F.col("reason") == r).alias(r) for r in DROP_REASONS[1:]],
         F.count_if(good).alias("output_rows"),
-        F.count_if(good & (worst == 0)).alias("non_toxic"),
-        F.count_if(good & (worst == 1)).alias("toxic"),
+        F.count_if(good & (F.col("worst") == 0)).alias("non_toxic"),
+        F.count_if(good & (F.col("worst") == 1)).alias("toxic"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sieveline import fixed
@@ -363,22 +364,43 @@ def _embed(df):
     return X.embed_batch(df.select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))).select("id", "embedding")
 
 
+FILES = 4
+
+
 @query(
     "resumable_embedding",
-    "SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, count(*) AS rows_after_rerun, CAST(64 AS BIGINT) AS dim FROM documents",
+    "SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, count(*) AS rows_after_rerun, CAST(64 AS BIGINT) AS dim, "
+    "true AS broke_between_batches, CAST(0 AS BIGINT) AS differing FROM documents",
 )
 def resumable_embedding(spark, sf):
-    """Two runs over the same files and checkpoint: the second adds nothing."""
+    """The documents as several files, one a batch. The first run breaks when it meets a row of the last file; the second goes on behind the batches
+    that were committed, the third adds nothing. The output equals that of one batch job."""
     base = scratch_path(spark, "embedding")
-
-    def run():
-        return jobs.stream_project(spark, f"{sf}/documents.parquet", DOCUMENT_SCHEMA, _embed, f"{base}/out", f"{base}/state", max_files=1)
-
-    table(spark, sf, "documents")
-    first = run().agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.max(F.size("embedding")).cast("long").alias("dim"))
-    counted = first.collect()
-    again = run().agg(F.count("*").alias("rows_after_rerun"))
-    return again.select(
-        F.lit(counted[0]["rows"]).cast("long").alias("rows"), F.lit(counted[0]["ids"]).cast("long").alias("ids"),
-        "rows_after_rerun", F.lit(counted[0]["dim"]).cast("long").alias("dim"),
+    docs = table(spark, sf, "documents")
+    docs.repartitionByRange(FILES, "doc_id").write.parquet(f"{base}/in")
+    largest = docs.agg(F.max("doc_id").alias("m")).first()["m"]
+
+    def run(project):
+        return jobs.stream_project(spark, f"{base}/in", DOCUMENT_SCHEMA, project, f"{base}/out", f"{base}/state", max_files=1)
+
+    def breaks(df):
+        # an error in one row of the last file, as a lost input or a failing encoder would make
+        failed = F.when(F.col("doc_id") == largest, F.raise_error(F.lit("broken on purpose")).cast("string")).otherwise(F.col("text"))
+        return _embed(df.withColumn("text", failed))
+
+    try:
+        run(breaks)
+        broke = False
+    except StreamingQueryException:
+        broke = True
+    before = jobs.committed_rows(spark, f"{base}/out", "id bigint, embedding array<float>")
+    whole = run(_embed)
+    counted = whole.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.max(F.size("embedding")).cast("long").alias("dim")).first()
+    between = broke and 0 < before < counted["rows"]
+    again = run(_embed)
+    digest = lambda df: df.select("id", F.xxhash64("embedding").alias("h")).groupBy("id", "h").count()
+    differing = digest(again).exceptAll(digest(_embed(docs))).count()
+    return again.agg(F.count("*").alias("rows_after_rerun")).select(
+        F.lit(counted["rows"]).cast("long").alias("rows"), F.lit(counted["ids"]).cast("long").alias("ids"), "rows_after_rerun",
+        F.lit(counted["dim"]).cast("long").alias("dim"), F.lit(between).alias("broke_between_batches"), F.lit(differing).cast("long").alias("differing"),
     )

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from sieveline import fixed
 from sieveline.functions import text
 from sieveline.operators import profile as P
+from sieveline.operators import reports as R
 from sieveline.plans import fixtures as fx
 from sieveline.plans import sql as S
 from sieveline.plans.registry import query, table
+from sieveline.session import scratch_path
 
 CHAIN = f"WITH {S.SPIKED}, {S.chain('spiked')}"
 
@@ -236,3 +238,59 @@ def drop_invalid_labels(spark, sf):
 )
 def drop_invalid_labels_rows(spark, sf):
     return P.drop_invalid_labels(faulty(spark, sf), fx.LABELS, order_col="ord")
+
+
+_STEP_ROWS = " UNION ALL ".join(_counter(*c) for c in _COUNTERS) + " UNION ALL SELECT 'empty_or_nan', count(*) FILTER (blank), count(*) FILTER (blank) FROM s9"
+
+
+@query(
+    "preprocessing_report",
+    f"{CHAIN}, steps AS ({_STEP_ROWS}), hits AS (SELECT unnest(regexp_extract_all(low, {S.q(S.CONTRACTION)})) AS c FROM s9 WHERE NOT blank), "
+    "top AS (SELECT c, count(*) AS n FROM hits GROUP BY c ORDER BY n DESC, c LIMIT 20) "
+    "SELECT step, rows_affected, total_matches, (SELECT count(*) FROM s9) AS total_rows, (SELECT count(*) FROM s9) AS written_rows, "
+    "(SELECT round(avg(length(cleaned)), 2) FROM s9) AS mean_length, (SELECT round(quantile_cont(length(cleaned), 0.95), 2) FROM s9) AS p95_length, "
+    "(SELECT string_agg(c || '=' || n, ',' ORDER BY n DESC, c) FROM top) AS contractions FROM steps",
+)
+def preprocessing_report(spark, sf):
+    """The cleaned table written and counted in one pass; the report written as JSON and read back."""
+    base = scratch_path(spark, "cleaning")
+    report = R.clean_with_report(fx.spiked(spark, sf), f"{base}/clean.parquet", source="documents", report_path=f"{base}/report")
+    again = spark.read.schema(report.schema).json(f"{base}/report")
+    listed = F.array_join(F.transform("transformations.contractions_top_20", lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), ",")
+    written = spark.read.parquet(f"{base}/clean.parquet").count()
+    return again.select(
+        F.inline("transformations.steps"), F.col("dataset.total_rows").alias("total_rows"), F.lit(written).cast("long").alias("written_rows"),
+        F.col("text_length_stats_post.mean").alias("mean_length"), F.col("text_length_stats_post.p95").alias("p95_length"), listed.alias("contractions"),
+    )
+
+
+_VALID = (
+    f"{S.LABELLED}, prepared AS (SELECT id, CASE WHEN id % 37 = 0 THEN NULL ELSE comment_text END AS comment_text, toxic, low_quality FROM labelled), "
+    "k AS (SELECT count(*) AS n, count(comment_text) AS kept, CAST(count(*) - count(comment_text) AS BIGINT) AS nulls, "
+    "CAST(sum(toxic) FILTER (comment_text IS NOT NULL) AS BIGINT) AS toxic, round(avg(length(comment_text)), 2) AS mean_length FROM prepared)"
+)
+
+
+@query(
+    "validation_report",
+    f"WITH {_VALID} SELECT 'same' AS run, 'validated' AS status, n AS original_rows, nulls AS null_texts, n AS rows_before, nulls AS rows_dropped, kept AS rows_after, "
+    "toxic, mean_length, kept AS written_rows FROM k UNION ALL SELECT 'changed', 'aborted', n, NULL, NULL, NULL, NULL, NULL, NULL, 0 FROM k",
+)
+def validation_report(spark, sf):
+    """Two runs of the validation job: one that goes through, and one that ends at the comparison and writes nothing."""
+    base = scratch_path(spark, "validation")
+    original = fx.labelled(spark, sf).select("id", "comment_text", *fx.LABELS)
+    prepared = original.withColumn("comment_text", F.when(F.col("id") % 37 != 0, F.col("comment_text")))
+    changed = prepared.withColumn("toxic", 1 - F.col("toxic"))
+    out = None
+    for name, table_of in (("same", prepared), ("changed", changed)):
+        report = R.validate(original, table_of, fx.LABELS, f"{base}/{name}.parquet", report_path=f"{base}/{name}-report")
+        again = spark.read.schema(report.schema).json(f"{base}/{name}-report")
+        passed = again.first()["status"] == "validated"
+        written = spark.read.parquet(f"{base}/{name}.parquet").count() if passed else 0
+        part = again.select(
+            F.lit(name).alias("run"), "status", "integrity.original_rows", F.col("null_profile.total_nulls").alias("null_texts"), "null_rows.rows_before", "null_rows.rows_dropped",
+            "null_rows.rows_after", F.get("labels", F.lit(0))["positive"].alias("toxic"), F.col("text_length_stats.mean").alias("mean_length"), F.lit(written).cast("int").alias("written_rows"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("written_rows", F.col("written_rows").cast("long"))

@@ -10,11 +10,13 @@ from sieveline.operators import evaluate as E
 from sieveline.operators import joins as J
 from sieveline.operators import routing as G
 from sieveline.operators import sampling as M
+from sieveline.operators.reports import hybrid_report as build_hybrid_report
 from sieveline.plans import fixtures as fx
 from sieveline.plans import sql as S
 from sieveline.plans.registry import query, table
 from sieveline.session import materialize, scratch_path, ship_package
 from sieveline.sources.rules import demo_rules
+from sieveline.sources.tables import read_report, write_report
 from sieveline.streaming import jobs
 
 DOC_SCORE = S.score("comment_text", "id")
@@ -135,6 +137,22 @@ def hybrid_breakdown(spark, sf):
     return G.hybrid_breakdown(hybrid(spark, sf))
 
 
+@query(
+    "hybrid_report",
+    f"WITH {_HYBRID}, c AS (SELECT count(*) AS n, count(*) FILTER (decision_source = 'lr_safe') AS a, "
+    "count(*) FILTER (decision_source = 'lr_toxic') AS t, count(*) FILTER (decision_source = 'bert_fallback') AS b FROM hybrid), "
+    "u AS (SELECT 'lr_safe' AS decision_source, a AS k, n FROM c UNION ALL SELECT 'lr_toxic', t, n FROM c UNION ALL SELECT 'bert_fallback', b, n FROM c) "
+    f"SELECT n AS total_samples, decision_source, k AS n, round(100.0 * k / n, 2) AS percent, {fixed.HYBRID_SAFE}::DOUBLE AS safe_below, {fixed.HYBRID_TOXIC}::DOUBLE AS toxic_above FROM u",
+)
+def hybrid_report(spark, sf):
+    """The report of the hybrid run, written as JSON, read back and flattened."""
+    path = scratch_path(spark, "hybrid")
+    report = build_hybrid_report(hybrid(spark, sf), "labels")
+    write_report(report, path)
+    again = read_report(spark, path, report.schema)
+    return again.select("total_samples", F.inline("breakdown"), "thresholds.safe_below", "thresholds.toxic_above")
+
+
 def _reply_sql() -> str:
     return f"list_extract({S.arr(fx.REPLIES)}, CAST(id % {len(fx.REPLIES)} AS INTEGER) + 1)"
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -63,3 +64,11 @@ def stream_project(
     last committed batch: nothing is done twice and nothing is left out.
     """
     return drain(project(message_stream(spark, path, schema, max_files)), out, checkpoint)
+
+
+def committed_rows(spark: SparkSession, out: str, schema: T.StructType | str) -> int:
+    """Rows of the batches that a sink has committed so far; 0 before the first."""
+    try:
+        return spark.read.schema(schema).parquet(out).count()
+    except AnalysisException:  # no folder yet
+        return 0

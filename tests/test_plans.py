@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables a
 # these run jobs while they are built (fits, files, streams) and are looked at elsewhere
 EAGER = {
     "svd_project", "fit_logreg", "model_store", "oof_predictions", "stacked_score_feature", "resumable_embedding",
-    "stream_triage", "training_run",
+    "stream_triage", "training_run", "preprocessing_report", "validation_report", "hybrid_report",
 }
 
 
