@@ -300,15 +300,15 @@ def near_duplicates(
     near = (F.col("n_shingles_a") * 100 >= F.col("n_shingles_b") * percent) & (F.col("n_shingles_b") * 100 >= F.col("n_shingles_a") * percent)
     possible = near & close(F.col("bits_a"), F.col("bits_b"), bands * rows, percent)
 
+    most = most_shared(F.col("cells_a"), F.col("cells_b"), F.col("n_shingles_a"), F.col("n_shingles_b"))
+    reachable = bind(most, lambda m: m * 100 >= (F.col("n_shingles_a") + F.col("n_shingles_b") - m) * percent)
+    sides = ("n_shingles", "bits", "cells")
+
     def links(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links. First what the bitmaps leave, then the full sets."""
+        """The pairs whose full sets are linked."""
         pairs = keep_table(pairs, "neardup-pairs")
-        sized = pairs.join(side("a", "n_shingles", "cells"), "a").join(side("b", "n_shingles", "cells"), "b")
-        most = most_shared(F.col("cells_a"), F.col("cells_b"), F.col("n_shingles_a"), F.col("n_shingles_b"))
-        left = sized.withColumn("most", most).filter(F.col("most") * 100 >= (F.col("n_shingles_a") + F.col("n_shingles_b") - F.col("most")) * percent)
-        left = keep_table(left.select("a", "b"), "neardup-bounded")
-        found = verify(left, docs, classes, size)
-        forget(pairs, left)
+        found = verify(pairs, docs, classes, size)
+        forget(pairs)
         return found.filter(linked(percent)).select("a", "b")
 
     # rows of one id are one node; such ids are few
@@ -324,7 +324,7 @@ def near_duplicates(
         hub = F.when(F.col("component") != F.col("first.component"), F.col("first")).otherwise(F.col("second"))
         chosen = opened.join(second, "key").select("node", hub.alias("hub")).groupBy("node").agg(F.max("hub").alias("hub"))  # one hub a class
         pairs = chosen.select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        pairs = pairs.join(side("a", "n_shingles", "bits"), "a").join(side("b", "n_shingles", "bits"), "b").filter(possible).select("a", "b")
+        pairs = pairs.join(side("a", *sides), "a").join(side("b", *sides), "b").filter(possible & reachable).select("a", "b")
         new = links(pairs).union(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))  # the components so far stand for all links inside them
         before, parts = parts, keep_table(components(new), "neardup-components")
         forget(before, opened)
@@ -333,12 +333,12 @@ def near_duplicates(
     top = placed.groupBy("key").agg(best["component"].alias("main"), F.min("component").alias("least"), F.max("component").alias("largest")).filter("least <> largest")
     opened = keep_table(placed.join(top.select("key", "main"), "key").select("key", "node", "component", "main"), "neardup-open")
     if not opened.isEmpty():
-        x = opened.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("c_a"), "main").join(side("a", "n_shingles", "bits", "keys"), "a")
-        y = opened.select("key", F.col("node").alias("b"), F.col("component").alias("c_b")).join(side("b", "n_shingles", "bits", "keys"), "b")
+        x = opened.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("c_a"), "main").join(side("a", *sides, "keys"), "a")
+        y = opened.select("key", F.col("node").alias("b"), F.col("component").alias("c_b")).join(side("b", *sides, "keys"), "b")
         apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") > F.col("b")))
         # a pair that shares several buckets is made once, in the bucket of the smallest key
         once = x.key == F.array_min(F.array_intersect("keys_a", "keys_b"))
-        more = links(x.join(y, (x.key == y.key) & apart & possible & once).select("a", "b").distinct())
+        more = links(x.join(y, (x.key == y.key) & apart & possible & once & reachable).select("a", "b").distinct())
         before, parts = parts, keep_table(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "neardup-components")
         forget(before)
     forget(opened, members)
