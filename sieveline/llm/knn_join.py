@@ -2,20 +2,21 @@
 
 1. Vectors become integers, floor(scale * x). Pivots are found in a bounded sample (``max_sample`` vectors in hash order
    of the id, a few rounds of moving centres); every vector belongs to the cell of its nearest pivot.
-2. Summaries of each cell, combined before the shuffle: number of vectors, radius, and the distances of the ``k + 1``
-   vectors nearest to the pivot. With |q.x - q.p| <= |q| |x - p| they bound what a query can score in a cell: from the
+2. Summaries of each cell, combined before the shuffle: number of vectors, radius, and the distances of the
+   vectors nearest to the pivot, ``k`` and as many more as one id has rows. With |q.x - q.p| <= |q| |x - p| they bound what a query can score in a cell: from the
    nearest vectors a score that k others reach for certain, from the radius the best score that a cell can hold.
-3. A query asks for the cells whose best possible score reaches its certain one. Queries of one cell form a group; a
+3. A query asks for the cells whose best possible score reaches its certain one. Queries of neighbouring cells form a group,
+   as many as fit in one block of queries, so that there are only as many groups as queries need. A
    cell's vectors are copied to those groups only that ask for it, and only those that can still reach the lowest
-   certain score of the group.
+   certain score of one of the group's cells.
 4. Groups and cells are cut into blocks of bounded size (random block numbers, counted from the summaries), a pair of
    blocks is one unit of work: one exact matrix product and its k best per query. The parts are merged by rank.
 
 Cells of any size are spread over many blocks, and no task holds a cell or a group as a whole. The pivots and summaries
 that are broadcast have at most ``pivots`` rows. Bounds only prune; they are widened by rounding error, so results are exact.
 
-Vectors that are null or empty, or hold null or non-finite components, and rows with a null id take no part. Only
-vectors of the most frequent length take part (the smallest of equally frequent ones). Rows of one id are taken once per
+Vectors that are null or empty, or hold null or non-finite components, and rows with a null id take no part. Vectors
+meet only others of their length: each occurring length is a join of its own. Rows of one id are taken once per
 different vector; a query never meets rows of its own id. Ties go to the smaller id, then to the smaller rank of equal rows.
 Scores are exact while they fit in 64 bits.
 """
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import hash_order, keep_table, ship_package
 
 EXACT = 2.0**53
+MOST_OWN = 64  # where an id has more rows, nothing is pruned by certain scores
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -83,12 +85,37 @@ def top_k_join(
     """``query_id, rank, vec_id, score``: the k best rows of each query. ``is_query`` is a condition on ``id``."""
     spark = df.sparkSession
     ship_package(spark)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     whole = keep_table(integer_vectors(df, id_col, vector_col, scale), "knn-vectors")
-    length = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if length is None:
-        return empty
-    rows = whole.filter(F.size("v") == length["n"])
+    lengths = [r["n"] for r in whole.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]  # a table has few lengths
+    solved = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for n in lengths:
+        solved = solved.union(_scores_of_length(whole.filter(F.size("v") == n), is_query, k, pivots, max_sample, block_rows, block_queries))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return solved.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def merged_cells(queries: dict[int, int], centres: np.ndarray, most: int) -> dict[int, int]:
+    """The group of each query cell: neighbouring cells together while they have at most ``most`` queries."""
+    left, group_of, group = dict(queries), {}, 0
+    while left:
+        start = min(left)
+        here = [start]
+        total = left.pop(start)
+        for c in sorted(left, key=lambda c: (float(((centres[c] - centres[start]) ** 2).sum()), c)):
+            if total + left[c] > most:
+                break
+            total += left.pop(c)
+            here.append(c)
+        group_of |= dict.fromkeys(here, group)
+        group += 1
+    return group_of
+
+
+def _scores_of_length(rows: DataFrame, is_query: Column, k: int, pivots: int, max_sample: int, block_rows: int, block_queries: int) -> DataFrame:
+    """``query_id, vec_id, score``: at least the k best of each query, among ``rows`` (id, v) of one length."""
+    spark = rows.sparkSession
+    own = rows.groupBy("id").count().agg(F.max("count")).first()[0]  # rows that one id has
+    near = k + own if own <= MOST_OWN else 0
     first = rows.orderBy(hash_order("id"), "id").limit(max_sample).collect()  # at most max_sample vectors
     centres = find_pivots(np.array([r["v"] for r in first], np.float64), pivots)
     where = spark.sparkContext.broadcast(centres)
@@ -108,14 +135,14 @@ def top_k_join(
             for c in np.unique(cells):
                 here = apart[cells == c]
                 n, far, close = kept.get(c, (0, 0.0, np.empty(0)))
-                kept[c] = (n + len(here), max(far, here.max()), np.sort(np.concatenate([close, here]))[: k + 1])
+                kept[c] = (n + len(here), max(far, here.max()), np.sort(np.concatenate([close, here]))[:near])
         yield pa.RecordBatch.from_pydict({
             "cell": pa.array(list(kept), pa.int32()), "n": pa.array([x[0] for x in kept.values()], pa.int64()),
             "far": pa.array([x[1] for x in kept.values()], pa.float64()), "close": pa.array([x[2].tolist() for x in kept.values()], pa.list_(pa.float64())),
         })
 
     parts = placed.select("cell", "apart").mapInArrow(partial, "cell int, n long, far double, close array<double>")
-    merged = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.slice(F.array_sort(F.flatten(F.collect_list("close"))), 1, k + 1).alias("close"))
+    merged = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.slice(F.array_sort(F.flatten(F.collect_list("close"))), 1, max(1, near)).alias("close"))
     summary = {r["cell"]: (r["n"], r["far"], r["close"]) for r in merged.collect()}  # at most `pivots` rows
     cells = sorted(summary)
     facts = spark.sparkContext.broadcast((cells, np.array([summary[c][1] for c in cells]), [np.array(summary[c][2]) for c in cells]))
@@ -132,8 +159,8 @@ def top_k_join(
             at_pivot = q @ pivot.T
             slack = 1e-9 * (1 + np.abs(at_pivot).max() + size.max() * max(far.max(), 1))
             sure = at_pivot[:, owner] - size * apart[None, :] - slack
-            # the query may itself be one of these, so one more than k must reach the score
-            certain = np.sort(sure, axis=1)[:, -(k + 1)] if sure.shape[1] > k else np.full(len(q), -np.inf)
+            # rows of the query's own id may be among these, so more than k must reach the score
+            certain = np.sort(sure, axis=1)[:, -near] if near and sure.shape[1] >= near else np.full(len(q), -np.inf)
             wanted = at_pivot + size * far[None, :] + slack >= certain[:, None]
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column("id"), "v": batch.column("v"), "cell": batch.column("cell"), "apart": batch.column("apart"), "certain": pa.array(certain, pa.float64()),
@@ -141,12 +168,18 @@ def top_k_join(
             })
 
     asked = keep_table(placed.filter(is_query).mapInArrow(ask, "id long, v array<long>, cell int, apart double, certain double, wants array<int>"), "knn-queries")
-    groups = asked.groupBy(F.col("cell").alias("group")).agg(F.count("*").alias("queries"), F.min("certain").alias("least"), F.max("apart").alias("reach")).collect()  # at most `pivots` rows
-    pairs = [(r["group"], r["cell"]) for r in asked.select(F.col("cell").alias("group"), F.explode("wants").alias("cell")).distinct().collect()]  # at most pivots^2
+    asking = asked.groupBy("cell").agg(F.count("*").alias("queries"), F.min("certain").alias("least"), F.max("apart").alias("reach")).collect()  # at most `pivots` rows
+    pairs = [(r["asks"], r["cell"]) for r in asked.select(F.col("cell").alias("asks"), F.explode("wants").alias("cell")).distinct().collect()]  # at most pivots^2
+    group_of = merged_cells({r["cell"]: r["queries"] for r in asking}, centres, block_queries)
+    totals: dict[int, int] = {}
+    for r in asking:
+        totals[group_of[r["cell"]]] = totals.get(group_of[r["cell"]], 0) + r["queries"]
+    wanted_by: dict[int, dict[int, list[int]]] = {c: {} for c in cells}  # of each cell: groups, and their cells that ask for it
+    for asks, c in pairs:
+        wanted_by[c].setdefault(group_of[asks], []).append(asks)
     plan = spark.sparkContext.broadcast({
-        "groups": {r["group"]: (max(1, -(-r["queries"] // block_queries)), r["least"], r["reach"]) for r in groups},
-        "wanted_by": {c: [g for g, other in pairs if other == c] for c in cells},
-        "blocks": {c: max(1, -(-summary[c][0] // block_rows)) for c in cells},
+        "group_of": group_of, "cells": {r["cell"]: (r["least"], r["reach"]) for r in asking}, "wanted_by": wanted_by,
+        "query_blocks": {g: max(1, -(-n // block_queries)) for g, n in totals.items()}, "blocks": {c: max(1, -(-summary[c][0] // block_rows)) for c in cells},
     })
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +192,16 @@ def top_k_join(
             size = np.sqrt((x * x).sum(1))
             for c in np.unique(own):
                 here = np.flatnonzero(own == c)
-                for g in p["wanted_by"][c]:
-                    q_blocks, least, reach = p["groups"][g]
-                    best = x[here] @ where.value[g] + size[here] * reach
-                    take = here[best + 1e-9 * (1 + np.abs(best)) >= least]
+                for g, asks in p["wanted_by"][c].items():
+                    good = np.zeros(len(here), bool)
+                    for cell in asks:
+                        least, reach = p["cells"][cell]
+                        best = x[here] @ where.value[cell] + size[here] * reach
+                        good |= best + 1e-9 * (1 + np.abs(best)) >= least
+                    take = here[good]
                     if len(take):
                         part = batch.take(pa.array(take))
-                        for b in range(q_blocks):
+                        for b in range(p["query_blocks"][g]):
                             yield pa.RecordBatch.from_pydict({
                                 "unit": pa.array([f"{g}/{b}/{c}/{s}" for s in block[take] % p["blocks"][c]], pa.string()),
                                 "id": part.column("id"), "v": part.column("v"), "query": pa.array([False] * len(take)),
@@ -175,10 +211,11 @@ def top_k_join(
         p = plan.value
         for batch in batches:
             units, take = [], []
-            for n, (g, s, wants) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("salt").to_pylist(), batch.column("wants").to_pylist())):
+            for n, (cell, s, wants) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("salt").to_pylist(), batch.column("wants").to_pylist())):
+                g = p["group_of"][cell]
                 for c in wants:
                     for b in range(p["blocks"][c]):
-                        units.append(f"{g}/{s % p['groups'][g][0]}/{c}/{b}")
+                        units.append(f"{g}/{s % p['query_blocks'][g]}/{c}/{b}")
                         take.append(n)
             part = batch.take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_pydict({"unit": pa.array(units, pa.string()), "id": part.column("id"), "v": part.column("v"), "query": pa.array([True] * len(take))})
@@ -212,6 +249,4 @@ def top_k_join(
                     out["score"] += found[pick].tolist()
         return pd.DataFrame({c: np.array(v, np.int64) for c, v in out.items()})
 
-    solved = data.union(load).groupBy("unit").applyInPandas(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return solved.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return data.union(load).groupBy("unit").applyInPandas(solve, "query_id long, vec_id long, score long")

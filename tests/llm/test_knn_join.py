@@ -44,3 +44,31 @@ def test_edges(spark):
     assert found(spark, [(5, [1.0])]) == {} and found(spark, [(5, None)]) == {}
     df = spark.createDataFrame([(5, [1.0])], "vec_id long, embedding array<double>")
     assert knn_join.top_k_join(df.limit(0), F.col("id") % 5 == 0).count() == 0
+
+
+def test_mixed_lengths_and_repeated_ids_equal_sql(spark):
+    """Vectors meet those of their length only; an id may have several vectors, as query and as candidate."""
+    import duckdb
+
+    from sieveline.llm.queries import KNN_SQL
+
+    r = random.Random(6)
+    rows = [(100 * (i % 3) if i % 7 == 0 else i, [float(r.choice([-1, 0.5, 2, r.gauss(0, 1)])) for _ in range(r.choice([2, 2, 3, 5]))]) for i in range(160)]
+    rows += [(0, [1.0, 2.0, 3.0]), (3, [0.5, 0.5, 0.5]), (7, [])] + [(200, [float(n), 1.0]) for n in range(70)]  # more vectors of one id than any bound allows for
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, knn_join.top_k_join(df, F.col("id") % 100 == 0, pivots=5, block_rows=20, block_queries=6).select("query_id", "rank", "score").collect()))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    db.executemany("INSERT INTO embeddings VALUES (?, ?)", [[i, v] for i, v in rows])
+    want = sorted(db.sql(f"SELECT query_id, rank, score FROM ({KNN_SQL})").fetchall())
+    assert got == want and len({r[0] for r in got}) == 3
+
+
+def test_groups_follow_the_queries():
+    import numpy as np
+
+    centres = np.arange(10, dtype=float)[:, None]
+    assert set(knn_join.merged_cells(dict.fromkeys(range(10), 3), centres, 100).values()) == {0}
+    groups = knn_join.merged_cells(dict.fromkeys(range(10), 3), centres, 7)
+    assert sorted(groups) == list(range(10)) and len(set(groups.values())) == 5 and groups[0] == groups[1]
+    assert len(set(knn_join.merged_cells({2: 50, 4: 1, 5: 1}, centres, 7).values())) == 2
