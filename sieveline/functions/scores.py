@@ -82,8 +82,8 @@ def band_decision(prob: Column, bands: Bands) -> Column:
     )
 
 
-def route_bands(prob: Column, bands: Bands = RUNTIME_BANDS) -> Column:
-    """``struct(decision, confidence, toxic_prob, action)``."""
+def route_bands(prob: Column, bands: Bands = RUNTIME_BANDS, model: str | None = None) -> Column:
+    """``struct(decision, confidence, toxic_prob, action)``, and ``model_used`` if the scorer's name is given."""
     decision = band_decision(prob, bands)
     sure = prob
     if bands.confidence_in_decision:
@@ -96,6 +96,7 @@ def route_bands(prob: Column, bands: Bands = RUNTIME_BANDS) -> Column:
         F.round(sure * 100, 2).alias("confidence"),
         F.round(prob, 6).alias("toxic_prob"),
         action.alias("action"),
+        *([F.lit(model).alias("model_used")] if model is not None else []),
     )
 
 

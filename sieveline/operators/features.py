@@ -452,6 +452,7 @@ def sparse_rows(features: DataFrame) -> DataFrame:
 
 BLOCK = 1024  # numbers (or rows of a matrix) of a partial sum that travel together
 FAN_IN = 64  # partial sums that are added up at once
+AT_ONCE = 64 << 20  # bytes of partial sums that come to the driver without being added up before
 PIECE = 4096  # entries that are multiplied at once
 
 
@@ -466,17 +467,20 @@ def blocks_of(total: np.ndarray) -> Iterator[pa.RecordBatch]:
 def add_up(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: tuple[int, ...]) -> np.ndarray:
     """The sum of all tasks' `blocks_of`, an array of bounded ``shape``.
 
-    Few partial sums come to the driver at once; many are first summed by tasks, ``FAN_IN`` at a time.
+    Few and small partial sums come to the driver at once; others are first summed by tasks, ``FAN_IN`` at a time and then all.
     """
     def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(z) for z in parts["z"]], axis=0)
         return pd.DataFrame({"block": [key[0]], "z": [total.tobytes()]})
 
     parts = rows.mapInArrow(partial, "block int, z binary")
-    if rows.rdd.getNumPartitions() > FAN_IN:
+    tasks = rows.rdd.getNumPartitions()
+    if tasks > FAN_IN:
         parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).groupBy("block", "part").applyInPandas(add, "block int, z binary")
+    if min(tasks, FAN_IN) * int(np.prod(shape)) * 8 > AT_ONCE:
+        parts = parts.groupBy("block").applyInPandas(add, "block int, z binary")
     out = np.zeros(shape)
-    for r in parts.collect():  # at most FAN_IN arrays of this shape
+    for r in parts.collect():  # at most AT_ONCE bytes, or one array of this shape
         out[r["block"] : r["block"] + BLOCK] += np.frombuffer(r["z"]).reshape(-1, *shape[1:])
     return out
 
@@ -528,7 +532,8 @@ def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: in
     The rank is cut: energies that rounding cannot tell from zero give no component. Those are at most
     ``eps * max(rows, size)`` of the largest, so no singular value below ``sqrt`` of that share of the first is kept.
     """
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + oversample))))[0]
+    n = rows.count()
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + oversample, max(1, n)))))[0]  # n rows span at most n directions
     before = None
     for _ in range(passes):
         z = _gram_times(rows, q)
@@ -539,7 +544,7 @@ def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: in
         if before is not None and np.abs(values - before).max() <= tol * max(values[0], 1e-12):
             break
         before, q = values, np.linalg.qr(z)[0]
-    floor = np.sqrt(np.finfo(float).eps * max(rows.count(), size)) * values[0] if len(values) else 0.0
+    floor = np.sqrt(np.finfo(float).eps * max(n, size)) * values[0] if len(values) else 0.0
     rank = int((values > floor).sum())
     return vectors[:, :rank], values[:rank]
 

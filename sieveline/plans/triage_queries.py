@@ -83,16 +83,16 @@ _SEMANTIC = S.bands("p", 0.2, 0.8, False)
     "route_bands",
     f"WITH {SCORED} SELECT id, {_RUNTIME} AS runtime_decision, round(CASE WHEN p < 0.35 THEN 1.0 - p ELSE p END * 100, 2) AS runtime_confidence, "
     f"{S.actions(_RUNTIME, fixed.RUNTIME_ACTIONS)} AS runtime_action, {_SEMANTIC} AS semantic_decision, round(p * 100, 2) AS semantic_confidence, "
-    f"{S.actions(_SEMANTIC, fixed.SEMANTIC_ACTIONS)} AS semantic_action, round(p, 6) AS toxic_prob FROM scored",
+    f"{S.actions(_SEMANTIC, fixed.SEMANTIC_ACTIONS)} AS semantic_action, round(p, 6) AS toxic_prob, 'linear' AS runtime_model_used FROM scored",
 )
 def route_bands(spark, sf):
     routed = scored_documents(spark, sf).select(
-        "id", C.route_bands(F.col("p")).alias("a"), C.route_bands(F.col("p"), C.SEMANTIC_BANDS).alias("b")
+        "id", C.route_bands(F.col("p"), model="linear").alias("a"), C.route_bands(F.col("p"), C.SEMANTIC_BANDS).alias("b")
     )
     return routed.select(
         "id",
         *[F.col(f"{x}.{c}").alias(f"{n}_{c}") for x, n in (("a", "runtime"), ("b", "semantic")) for c in ("decision", "confidence", "action")],
-        F.col("a.toxic_prob").alias("toxic_prob"),
+        F.col("a.toxic_prob").alias("toxic_prob"), F.col("a.model_used").alias("runtime_model_used"),
     )
 
 

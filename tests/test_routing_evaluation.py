@@ -131,3 +131,9 @@ def test_prob_stats_are_exact(spark):
         assert got[scope]["median"] == pytest.approx(statistics.median(part), abs=1e-4)
         assert got[scope]["std"] == pytest.approx(statistics.stdev(part), abs=1e-4)
         assert got[scope]["mean"] == pytest.approx(statistics.mean(part), abs=1e-4)
+
+
+def test_route_names_the_model(spark):
+    df = spark.createDataFrame([(0.1,), (None,)], "p double")
+    assert [r["a"]["model_used"] for r in df.select(S.route_bands(F.col("p"), model="linear").alias("a")).collect()] == ["linear", "linear"]
+    assert "model_used" not in df.select(S.route_bands(F.col("p")).alias("a")).first()["a"].asDict()
