@@ -10,11 +10,13 @@ from the near-duplicate stage on. An empty table runs through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import decontaminate, neardup, piece_codec, quality_crf, toxicity
-from sieveline.llm.common import keep_table, read_table
+from sieveline.llm.common import forget, keep_table, read_table
 from sieveline.llm.queries import tokenizer_file
 
 
@@ -23,16 +25,24 @@ def without(docs: DataFrame, removed: DataFrame, name: str) -> DataFrame:
     return docs.join(keep_table(removed.select("doc_id").distinct(), name), "doc_id", "left_anti").select(docs.columns)
 
 
+def accepted(docs: DataFrame, score: Callable[[DataFrame], DataFrame], predicted: int) -> DataFrame:
+    """Rows that a scorer marks ``predicted``. Columns named like one that scorers add go along inside a struct, so that they keep their values."""
+    if not {"held_out", "score", "predicted", "evidence", "lines"} & set(docs.columns):
+        return score(docs).filter(F.col("predicted") == predicted).select(docs.columns)
+    wrapped = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return score(wrapped).filter(F.col("predicted") == predicted).select("_row.*")
+
+
 def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity votes accept."""
-    scored = toxicity.toxicity_scores(docs, read_table(spark, sf_dir, "labels"), carry=True)
-    return scored.filter("predicted = 0").select(docs.columns)
+    labels = read_table(spark, sf_dir, "labels")
+    return accepted(docs, lambda d: toxicity.toxicity_scores(d, labels, carry=True), 0)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field accepts."""
-    scored = quality_crf.quality_scores(docs, read_table(spark, sf_dir, "labels"), carry=True)
-    return scored.filter("predicted = 1").select(docs.columns)
+    labels = read_table(spark, sf_dir, "labels")
+    return accepted(docs, lambda d: quality_crf.quality_scores(d, labels, carry=True), 1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +83,12 @@ ORACLE_SQL = None  # votes, the field and the alignment have no SQL; tests compa
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written and read again as the next one's input."""
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = keep_table(docs, f"pipeline-{name}")
+            if before is not None:
+                forget(before)
+            before = docs
     return docs

@@ -41,6 +41,20 @@ def test_rows_of_one_id_and_nulls(spark):
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
 
 
+def test_clashing_columns_and_a_hot_group(spark):
+    """Columns named like those of the operators keep their values; most rows are copies of one text."""
+    words = [f"word{k}" for k in range(40)]
+    rows = [(i, " ".join(words) if i % 3 else " ".join(words[i % 17 :]) + f" own{i}", f"s{i}", i, 7, -1, "e") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int, component_id int, kept int, `_text` string").repartition(4)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = keep_table(stage(spark, docs, SF_DIR), name)
+        assert after.columns == docs.columns
+        assert all((r["score"], r["predicted"], r["component_id"], r["kept"], r["_text"]) == (f"s{r['doc_id']}", r["doc_id"], 7, -1, "e") for r in after.collect())
+        docs = after
+    left = [r["doc_id"] for r in docs.collect()]
+    assert sum(i % 3 > 0 for i in left) <= 1 and len(left) == len(set(left))
+
+
 def test_null_ids_are_decontaminated(spark):
     item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").filter("length(text) > 100").first()["text"]
     rows = [(None, f"before {item} after"), (None, f"before {item} after"), (None, "clean words of no item"), (None, None), (5, f"x {item}"), (6, "clean words of no item")]
