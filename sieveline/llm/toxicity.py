@@ -56,10 +56,10 @@ def weights(counts: dict[int, int], scale: list[float]) -> list[tuple[int, float
 
 
 def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of several ranges, and the number of the range of each."""
+    """All places of several ranges, and the size of each."""
     sizes = end - first
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner], owner
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes), sizes
 
 
 class BlockMaxIndex:
@@ -84,14 +84,16 @@ class BlockMaxIndex:
         if not query or not self.size:
             return []
         t, w = np.array([t for t, _ in query]), np.array([w for _, w in query])
-        at, owner = ranges(self.first[t], self.first[t + 1])
-        bounds = np.bincount(self.block[at], self.most[at] * w[owner], self.blocks) * (1 + 1e-12)
+        at, sizes = ranges(self.first[t], self.first[t + 1])
+        block, factor = self.block[at], np.repeat(w, sizes)
+        bounds = np.bincount(block, self.most[at] * factor, self.blocks) * (1 + 1e-12)
         scores = np.zeros(self.size)
 
         def open_blocks(which: np.ndarray) -> None:
-            here = which[self.block[at]]
-            place, of = ranges(self.posting[at[here]], self.posting[at[here] + 1])
-            scores[:] += np.bincount(self.example[place], self.weight[place] * w[owner[here]][of], self.size)
+            here = np.flatnonzero(which[block])
+            opened = at[here]
+            place, sizes = ranges(self.posting[opened], self.posting[opened + 1])
+            scores[:] += np.bincount(self.example[place], self.weight[place] * np.repeat(factor[here], sizes), self.size)
             if skip >= 0:
                 scores[skip] = 0.0
 

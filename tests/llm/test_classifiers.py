@@ -95,3 +95,13 @@ def test_edges(spark):
             assert len(rows) == 5 and all(0 <= r["score"] <= 1 for r in rows)
         assert f(d.limit(0), one).count() == 0
         assert f(d, one, carry=True).columns == ["doc_id", "text", "held_out", "score", "predicted"]
+
+
+def test_places_of_ranges_come_with_their_sizes():
+    """The index expands a number per range by its size, not once more per place."""
+    from sieveline.llm.toxicity import ranges
+
+    places, sizes = ranges(np.array([3, 0, 7]), np.array([5, 0, 8]))
+    assert places.tolist() == [3, 4, 7] and sizes.tolist() == [2, 0, 1]
+    places, sizes = ranges(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(places) == len(sizes) == 0
