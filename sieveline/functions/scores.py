@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sieveline import fixed
+from sieveline.functions.text import bind
 
 
 def sigmoid(logit: Column) -> Column:
@@ -24,11 +25,17 @@ def linear_probability(features: Sequence[Column], weights: Sequence[float], int
 
 
 def softmax_scores(logits: Column, labels: Sequence[str]) -> Column:
-    """Logits to a ``label -> probability`` map; shifted by the maximum against overflow."""
-    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+    """Logits to a ``label -> probability`` map; shifted by the maximum against overflow. Logits, powers and their sum are evaluated once."""
     names = F.array(*[F.lit(name.lower()) for name in labels])
-    return F.map_from_arrays(names, F.transform(powers, lambda x: x / total))
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+        return bind(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    def powers(logits: Column) -> Column:
+        return bind(F.array_max(logits), lambda most: F.transform(logits, lambda x: F.exp(x - most)))
+
+    return F.map_from_arrays(names, bind(bind(logits, powers), shares))
 
 
 def _first_value(scores: Column, aliases: Sequence[str]) -> Column:

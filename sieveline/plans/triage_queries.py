@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.functions import scores as C
+from sieveline.functions import text
 from sieveline.operators import evaluate as E
 from sieveline.operators import joins as J
 from sieveline.operators import routing as G
@@ -46,9 +47,8 @@ _EXP2 = "exp(round(4 * p - 2, 6) - greatest(round(2 - 4 * p, 6), round(4 * p - 2
 )
 def softmax_scores(spark, sf):
     scores = C.softmax_scores(fx.logits(), ["Non-Toxic", "Toxic"])
-    return fx.documents(spark, sf).select("id", scores.alias("s")).select(
-        "id", F.round(F.col("s")["non-toxic"], 6).alias("non_toxic"), F.round(F.col("s")["toxic"], 6).alias("toxic")
-    )
+    rounded = text.bind(scores, lambda s: F.struct(F.round(s["non-toxic"], 6).alias("non_toxic"), F.round(s["toxic"], 6).alias("toxic")))
+    return fx.documents(spark, sf).select("id", F.inline(F.array(rounded)))
 
 
 @query(

@@ -1,9 +1,11 @@
 """Models of words alone, tables of many files and rows, repeated ids of character n-grams."""
 
+import math
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+from sieveline.functions import scores as C
 from sieveline.operators import features as X
 from sieveline.operators import model as L
 from sieveline.plans import feature_queries as Q
@@ -61,3 +63,17 @@ def test_a_batch_of_the_embedding_job_holds_many_files(spark, tmp_path, monkeypa
     row = Q.resumable_embedding(spark, str(tmp_path)).first()
     assert row["broke_between_batches"] and row["rows_after_rerun"] == 400 and row["differing"] == 0
     assert min(asked) > 1
+
+
+def test_softmax_evaluates_its_logits_once(spark):
+    """The logits of a text are a chain of regular expressions: they stand in the plan once, and the shares are as before."""
+    logits = F.transform(F.array(F.lit(1.0), F.lit(-1.0)), lambda x: x * F.sqrt("x"))
+    df = spark.createDataFrame([(4.0,), (0.0,), (None,), (1e6,)], "x double")
+    scores = df.select("x", C.softmax_scores(logits, ["A", "b"]).alias("s"))
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("SQRT") == 1
+    for r in scores.collect():
+        if r["x"] is None:
+            assert r["s"] == {"a": None, "b": None}
+        else:
+            a = 1 / (1 + math.exp(-2 * math.sqrt(r["x"]))) if r["x"] < 1e6 else 1.0
+            assert abs(r["s"]["a"] - a) < 1e-12 and abs(r["s"]["a"] + r["s"]["b"] - 1) < 1e-12
