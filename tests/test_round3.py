@@ -3,11 +3,13 @@
 import math
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sieveline.functions import scores as C
 from sieveline.operators import features as X
 from sieveline.operators import model as L
+from sieveline.operators import solver
 from sieveline.plans import feature_queries as Q
 
 
@@ -77,3 +79,36 @@ def test_softmax_evaluates_its_logits_once(spark):
         else:
             a = 1 / (1 + math.exp(-2 * math.sqrt(r["x"]))) if r["x"] < 1e6 else 1.0
             assert abs(r["s"]["a"] - a) < 1e-12 and abs(r["s"]["a"] + r["s"]["b"] - 1) < 1e-12
+
+
+def test_tokens_are_found_once_for_all_levels(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"aa bb c{i % 3}c dd") for i in range(30)], "id long, comment_text string")
+    made, real = [], X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df, name: made.append(name) or real(df, name))
+    tables = X.vocabulary_levels(df, X.TfidfSpec("word", 1, 4, 50), [30], [[0]])
+    assert made.count("tokens") == 1 and len(tables) == 4
+    four = {r["term"]: (r["cf"][0], r["df"][0]) for r in tables[3].collect()}  # a number holds three tokens, so these take two
+    assert four == {f"aa bb c{k}c dd": (10, 10) for k in range(3)}
+
+
+def test_packed_rows_are_the_rows(spark):
+    rows = [([0, 3], [1.5, -2.0], [1.0, 2.0], 1), ([], [], [0.0, 4.0], 0), ([2], [7.0], [5.0, 6.0], 1)]
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>, dense array<double>, y int").coalesce(1)
+    (batch,) = X.packed(df, "dense", "y").toArrow().to_batches()
+    ((n, owner, at, x, dense, y),) = X.unpacked(batch, "dense", "y")
+    assert (n, owner.tolist(), at.tolist(), x.tolist()) == (3, [0, 0, 2], [0, 3, 2], [1.5, -2.0, 7.0])
+    assert dense.tolist() == [1.0, 2.0, 0.0, 4.0, 5.0, 6.0] and y.tolist() == [1.0, 0.0, 1.0]
+
+
+def test_guess_along_the_components_saves_steps(spark):
+    """With components and their singular values the solver reaches the same optimum in fewer steps."""
+    rng = np.random.default_rng(4)
+    n, width, r = 400, 60, 8
+    x = rng.normal(size=(n, r)) @ rng.normal(size=(r, width)) * 3 + 0.05 * rng.normal(size=(n, width))
+    y = (x[:, 0] + rng.normal(size=n) > 0).astype(int)
+    _, sigma, turned = np.linalg.svd(x, full_matrices=False)
+    basis, sigma = turned[:r].T, sigma[:r]
+    df = spark.createDataFrame([(list(range(width)), row.tolist(), [], int(t), 1.0) for row, t in zip(x, y)], "indices array<int>, values array<double>, dense array<double>, y int, weight double").repartition(2)
+    with_guess, without = (solver.solve(df, width, 0, float(n), basis, tol=1e-8, sigma=s) for s in (sigma, None))
+    assert with_guess.converged and without.converged and with_guess.iterations < without.iterations
+    np.testing.assert_allclose(with_guess.coefficients, without.coefficients, atol=1e-4)
