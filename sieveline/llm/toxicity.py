@@ -7,8 +7,9 @@ examples' labels, so that nearness is mostly nearness in what tells the classes
 the examples' own votes, each taken without itself, weighted back to the class shares of all labelled rows.
 
 *Score.* The examples lie in an inverted index whose postings are cut into blocks of ``BLOCK`` examples; the largest
-weight of each (term, block) bounds what a block can score. The blocks of the highest bounds are opened first, then all whose bound
-reaches the k-th best cosine found there, so the k nearest are exact. Their votes are weighted by similarity, against a small prior weight.
+weight of each (term, block) bounds what a block can score. Terms of many examples are a matrix, so their part is known for every example at first;
+the blocks whose bound reaches the k-th best of these parts are opened, so the k nearest are exact. Their votes are weighted by similarity, against
+a small prior weight.
 
 Index and vocabulary have one entry for each distinct word of an example, so they are broadcast. Scoring is one
 projection over the documents; only the text goes to Python and only the score comes back. The frequency pass sends at most one row per
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, texts
 
 BLOCK = 64
-FIRST = 4  # blocks that are opened before any bound is known
+DENSE = 0.1  # share of the examples from which on a term is a row of a matrix
+AT_ONCE = 64  # queries that are multiplied together
+SLACK = 1e-9  # more than rounding changes a cosine
 PRIOR_WEIGHT = 0.25
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))  # others part words
 
@@ -45,7 +48,9 @@ def split_words(text: str) -> list[bytes]:
 
 def counts_of(text: str, index: dict[bytes, int]) -> dict[int, int]:
     """The terms of a text and how often they occur."""
-    return {index[w]: n for w, n in Counter(split_words(text)).items() if w in index}
+    found = Counter(map(index.get, split_words(text)))
+    found.pop(None, None)
+    return found
 
 
 def weights(counts: dict[int, int], scale: list[float]) -> list[tuple[int, float]]:
@@ -55,6 +60,22 @@ def weights(counts: dict[int, int], scale: list[float]) -> list[tuple[int, float
     return [(i, w / norm) for i, w in raw] if norm else []
 
 
+LOGS = np.array([0.0] + [1 + math.log(n) for n in range(1, 1024)])
+
+
+def unit_vector(counts: dict[int, int], scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`weights` as arrays of terms and weights."""
+    t, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    order = np.argsort(t)
+    t, n = t[order], n[order]
+    raw = LOGS[np.minimum(n, len(LOGS) - 1)]
+    for at in np.flatnonzero(n >= len(LOGS)):
+        raw[at] = 1 + math.log(n[at])
+    raw *= scale[t]
+    norm = math.sqrt(sum((raw * raw).tolist()))
+    return (t, raw / norm) if norm else (t[:0], raw[:0])
+
+
 def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of several ranges, and the size of each."""
     sizes = end - first
@@ -63,15 +84,27 @@ def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over unit vectors, examples numbered from 0; ties go to the smaller number."""
+    """Exact top-k cosine over unit vectors, examples numbered from 0; ties go to the smaller number.
+
+    Terms of more than ``DENSE`` of the examples are rows of a matrix over all examples, which many queries multiply at once; the postings of the others
+    are cut into blocks. A block's bound is the best of its examples by the frequent terms and the largest weight of each other term in it.
+    """
 
     def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
         self.size, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         term = np.array([t for v in vectors for t, _ in v], np.int64)
         example = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
         weight = np.array([w for v in vectors for _, w in v], np.float64)
+        frequent = np.flatnonzero(np.bincount(term, minlength=terms) > DENSE * len(vectors))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        crowded = self.row[term] >= 0
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        self.dense[self.row[term[crowded]], example[crowded]] = weight[crowded]
+        term, example, weight = term[~crowded], example[~crowded], weight[~crowded]
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        self.term = term.astype(np.int32)
         run = term * self.blocks + self.example // BLOCK
         start = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
         self.posting = np.append(start, len(run))  # where the postings of each (term, block) begin
@@ -81,35 +114,52 @@ class BlockMaxIndex:
 
     def nearest(self, query: list[tuple[int, float]], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(-cosine, number) of the k nearest examples of positive cosine, the best first."""
-        if not query or not self.size:
+        return next(self.nearest_of([(np.array([t for t, _ in query], np.int64), np.array([w for _, w in query], np.float64))], k, [skip]))
+
+    def nearest_of(self, queries: Sequence[tuple[np.ndarray, np.ndarray]], k: int, skips: Sequence[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """`nearest` of many queries: the terms of each, ascending, and their weights."""
+        for start in range(0, len(queries), AT_ONCE):
+            part = queries[start : start + AT_ONCE]
+            frequent = np.zeros((len(part), len(self.dense)))
+            for n, (t, w) in enumerate(part):
+                row = self.row[t]
+                frequent[n, row[row >= 0]] = w[row >= 0]
+            for n, ((t, w), scores) in enumerate(zip(part, frequent @ self.dense)):
+                yield self._best(t, w, scores, k, skips[start + n] if skips is not None else -1)
+
+    def _best(self, t: np.ndarray, w: np.ndarray, scores: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """``scores``: what the frequent terms give each example."""
+        if not len(t) or not self.size:
             return []
-        t, w = np.array([t for t, _ in query]), np.array([w for _, w in query])
-        at, sizes = ranges(self.first[t], self.first[t + 1])
-        block, factor = self.block[at], np.repeat(w, sizes)
-        bounds = np.bincount(block, self.most[at] * factor, self.blocks) * (1 + 1e-12)
-        scores = np.zeros(self.size)
-
-        def open_blocks(which: np.ndarray) -> None:
-            here = np.flatnonzero(which[block])
-            opened = at[here]
-            place, sizes = ranges(self.posting[opened], self.posting[opened + 1])
-            scores[:] += np.bincount(self.example[place], self.weight[place] * np.repeat(factor[here], sizes), self.size)
-            if skip >= 0:
-                scores[skip] = 0.0
-
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
-        open_blocks(first)
-        low = np.partition(scores, self.size - k)[self.size - k] if self.size > k else 0.0
-        rest = ~first & (bounds > 0) & (bounds >= low)
-        if rest.any():
-            open_blocks(rest)
+        row = self.row[t]
+        rare = row < 0
+        at, sizes = ranges(self.first[t[rare]], self.first[t[rare] + 1])
+        block, factor = self.block[at], np.repeat(w[rare], sizes)
+        if skip >= 0:
+            scores[skip] = 0.0
+        low = np.partition(scores[: self.size], self.size - k)[self.size - k] if self.size > k else 0.0
+        bounds = scores.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, self.most[at] * factor, self.blocks)
+        here = np.flatnonzero((bounds >= low - SLACK)[block])
+        opened = at[here]
+        place, sizes = ranges(self.posting[opened], self.posting[opened + 1])
+        example, product = self.example[place], self.weight[place] * np.repeat(factor[here], sizes)
+        scores += np.bincount(example, product, len(scores))
+        if skip >= 0:
+            scores[skip] = 0.0
         found = np.flatnonzero(scores > 0)
         if len(found) > k:
-            cut = np.partition(scores[found], len(found) - k)[len(found) - k]
-            found = found[scores[found] >= cut]
-        found = found[np.argsort(-scores[found], kind="stable")][:k]
-        return list(zip((-scores[found]).tolist(), found.tolist()))
+            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - SLACK]
+        # the sums of these few again, term after term, so that equal examples have equal cosines
+        slot = np.full(len(scores), -1, np.int32)
+        slot[found] = np.arange(len(found))
+        slot = slot[example]
+        own = np.flatnonzero(slot >= 0)
+        crowded = self.dense[row[~rare][:, None], found] * w[~rare][:, None]
+        order = np.argsort(np.append(self.term[place[own]], np.repeat(t[~rare], len(found))), kind="stable")
+        slot = np.append(slot[own], np.tile(np.arange(len(found)), len(crowded)))[order]
+        exact = np.bincount(slot, np.append(product[own], crowded)[order], len(found))
+        best = np.argsort(-exact, kind="stable")[:k]
+        return list(zip((-exact[best]).tolist(), found[best].tolist()))
 
 
 def vote(found: list[tuple[float, int]], labels: list[int], prior: float) -> float:
@@ -171,7 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, k: int) -> dict:
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column("text"):
-                found[[index[w] for w in set(split_words(text.as_py() or "")) if w in index]] += 1
+                own = set(map(index.get, split_words(text.as_py() or "")))
+                own.discard(None)
+                found[np.fromiter(own, np.int64, len(own))] += 1
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"i": pa.array([*at.tolist(), -1], pa.int32()), "n": pa.array([*found[at].tolist(), rows], pa.int64())})
 
@@ -199,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, k: int) -> dict:
     vectors, marks, ids = [[x[n] for n in order] for x in (vectors, marks, ids)]
     index = BlockMaxIndex(vectors, len(terms))
     prior = ones / max_examples if sizes[0] + sizes[1] > max_examples else share
-    votes = np.array([vote(index.nearest(v, k, skip=n), marks, prior) for n, v in enumerate(vectors)])
+    queries = [(np.array([t for t, _ in v], np.int64), np.array([w for _, w in v])) for v in vectors]
+    votes = np.array([vote(near, marks, prior) for near in index.nearest_of(queries, k, range(len(vectors)))])
     slope, offset = calibrate(votes, np.array(marks), share)
     shared.destroy()
     return {"share": share, "terms": terms, "scale": scale, "index": index, "labels": marks, "ids": ids, "prior": prior, "slope": slope, "offset": offset, "k": k}
@@ -226,11 +279,11 @@ def toxicity_scores(
     @F.pandas_udf(f"struct<score: double, evidence: {EVIDENCE}>")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        terms = {t: i for i, t in enumerate(m.get("terms", []))}
+        terms, scale = {t: i for i, t in enumerate(m.get("terms", []))}, np.array(m.get("scale", []))
         for part in parts:
             scores, near = [], []
-            for text in part:
-                found = m["index"].nearest(weights(counts_of(text or "", terms), m["scale"]), m["k"]) if terms else []
+            queries = [unit_vector(counts_of(text or "", terms), scale) for text in part] if terms else []
+            for found in m["index"].nearest_of(queries, m["k"]) if terms else [[]] * len(part):
                 scores.append(1 / (1 + math.exp(-(m["slope"] * (vote(found, m["labels"], m["prior"]) - 0.5) + m["offset"]))) if terms else m["share"])
                 near.append([{"id": m["ids"][n], "cosine": -s, "label": m["labels"][n]} for s, n in found] if with_evidence else [])
             yield pd.DataFrame({"score": scores, "evidence": near})

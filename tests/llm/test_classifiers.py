@@ -105,3 +105,27 @@ def test_places_of_ranges_come_with_their_sizes():
     assert places.tolist() == [3, 4, 7] and sizes.tolist() == [2, 0, 1]
     places, sizes = ranges(np.zeros(0, np.int64), np.zeros(0, np.int64))
     assert len(places) == len(sizes) == 0
+
+
+def test_many_queries_at_once_equal_all_cosines():
+    """Frequent terms come from one product for many queries, the others from blocks; the sums are those of the terms in order, so copies tie exactly."""
+    r = random.Random(4)
+    scale = [1 + r.random() * 4 for _ in range(300)]
+    draw = lambda: {int(300 * r.random() ** 3): r.choice([1, 2, 5, 2000]) for _ in range(r.randint(0, 40))}
+    counts = [draw() for _ in range(300)]
+    counts += counts[:100]
+    vectors = [toxicity.weights(c, scale) for c in counts]
+    index = toxicity.BlockMaxIndex(vectors, 300)
+    assert 0 < len(index.dense) < 300
+    queries = [toxicity.unit_vector(c, np.array(scale)) for c in counts]
+    assert [list(zip(t.tolist(), w.tolist())) for t, w in queries] == vectors
+    got, own = list(index.nearest_of(queries, 15)), list(index.nearest_of(queries, 15, range(400)))
+    for n, v in enumerate(vectors):
+        every = []
+        for m, other in enumerate(vectors):
+            total, weight = 0.0, dict(v)
+            for t, w in other:
+                total += w * weight.get(t, 0.0)
+            every.append((-total, m))
+        every = sorted(x for x in every if x[0] < 0)
+        assert got[n] == every[:15] and own[n] == [x for x in every if x[1] != n][:15]
