@@ -76,6 +76,11 @@ def unit_vector(counts: dict[int, int], scale: np.ndarray) -> tuple[np.ndarray,
     return (t, raw / norm) if norm else (t[:0], raw[:0])
 
 
+def as_arrays(vector: list[tuple[int, float]] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of a vector; a tuple holds them already."""
+    return vector if isinstance(vector, tuple) else (np.array([t for t, _ in vector], np.int64), np.array([w for _, w in vector], np.float64))
+
+
 def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of several ranges, and the size of each."""
     sizes = end - first
@@ -90,11 +95,12 @@ class BlockMaxIndex:
     are cut into blocks. A block's bound is the best of its examples by the frequent terms and the largest weight of each other term in it.
     """
 
-    def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
+    def __init__(self, vectors: list[list[tuple[int, float]]] | list[tuple[np.ndarray, np.ndarray]], terms: int):
+        vectors = [as_arrays(v) for v in vectors]
         self.size, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-        term = np.array([t for v in vectors for t, _ in v], np.int64)
-        example = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
-        weight = np.array([w for v in vectors for _, w in v], np.float64)
+        term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]])
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
         frequent = np.flatnonzero(np.bincount(term, minlength=terms) > DENSE * len(vectors))
         self.row = np.full(terms, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
@@ -114,7 +120,7 @@ class BlockMaxIndex:
 
     def nearest(self, query: list[tuple[int, float]], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(-cosine, number) of the k nearest examples of positive cosine, the best first."""
-        return next(self.nearest_of([(np.array([t for t, _ in query], np.int64), np.array([w for _, w in query], np.float64))], k, [skip]))
+        return next(self.nearest_of([as_arrays(query)], k, [skip]))
 
     def nearest_of(self, queries: Sequence[tuple[np.ndarray, np.ndarray]], k: int, skips: Sequence[int] | None = None) -> Iterator[list[tuple[float, int]]]:
         """`nearest` of many queries: the terms of each, ascending, and their weights."""
@@ -244,15 +250,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, k: int) -> dict:
 
     rows = sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(sparse, "id long, label int, i array<int>, n array<int>")
     rows = rows.toArrow().sort_by([("label", "ascending"), ("id", "ascending")])  # at most max_examples sparse rows
-    vectors = [weights(dict(zip(i.as_py(), n.as_py())), scale) for i, n in zip(rows.column("i"), rows.column("n"))]
+    factors = np.array(scale)
+    vectors = [unit_vector(dict(zip(i.as_py(), n.as_py())), factors) for i, n in zip(rows.column("i"), rows.column("n"))]
     marks, ids = rows.column("label").to_pylist(), rows.column("id").to_pylist()
     # examples whose strongest term is the same lie in one block
-    order = sorted(range(len(vectors)), key=lambda n: (max(vectors[n], key=lambda x: x[1])[0] if vectors[n] else -1, marks[n], ids[n]))
+    order = sorted(range(len(vectors)), key=lambda n: (int(vectors[n][0][vectors[n][1].argmax()]) if len(vectors[n][0]) else -1, marks[n], ids[n]))
     vectors, marks, ids = [[x[n] for n in order] for x in (vectors, marks, ids)]
     index = BlockMaxIndex(vectors, len(terms))
     prior = ones / max_examples if sizes[0] + sizes[1] > max_examples else share
-    queries = [(np.array([t for t, _ in v], np.int64), np.array([w for _, w in v])) for v in vectors]
-    votes = np.array([vote(near, marks, prior) for near in index.nearest_of(queries, k, range(len(vectors)))])
+    votes = np.array([vote(near, marks, prior) for near in index.nearest_of(vectors, k, range(len(vectors)))])
     slope, offset = calibrate(votes, np.array(marks), share)
     shared.destroy()
     return {"share": share, "terms": terms, "scale": scale, "index": index, "labels": marks, "ids": ids, "prior": prior, "slope": slope, "offset": offset, "k": k}
