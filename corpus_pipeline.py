@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import decontaminate, neardup, piece_codec, quality_crf, toxicity
 from sieveline.llm.common import forget, keep_table, read_table
+from sieveline.llm.filters import divided
 from sieveline.llm.queries import tokenizer_file
 
 
 def without(docs: DataFrame, removed: DataFrame, name: str) -> DataFrame:
-    """Documents whose id is not among ``removed``; written first, so that its size is known and a small one is broadcast."""
-    return docs.join(keep_table(removed.select("doc_id").distinct(), name), "doc_id", "left_anti").select(docs.columns)
+    """Documents whose id is not among ``removed``; that is written first. Documents that a filter of its ids tells apart are not joined at all."""
+    removed = keep_table(removed.filter("doc_id is not null").select("doc_id").distinct(), name)
+    doubtful, others = divided(docs, "doc_id", neardup.filter_of(removed, "doc_id"))
+    return doubtful.join(removed, "doc_id", "left_anti").select(docs.columns).unionByName(others.select(docs.columns))
 
 
 def accepted(docs: DataFrame, score: Callable[[DataFrame], DataFrame], predicted: int) -> DataFrame:

@@ -23,7 +23,8 @@
 7. *Components* by alternating large-star and small-star steps, a logarithmic number of rounds, checkpointed. They are
    mapped to the smallest id of their classes at the end.
 
-Texts move only for documents that have a candidate. A bucket, a class or a hub may be of any size: groups are reduced
+Texts move only for documents that have a candidate, sketches only for classes that have company: filters of bounded size leave the
+others out before the shuffle, and joins stay exact. A bucket, a class or a hub may be of any size: groups are reduced
 by aggregates that combine before the shuffle and joined by sort-merge joins, which split skewed keys. Tables on the way are
 deleted when the next one is written.
 
@@ -46,23 +47,17 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import bind
 from sieveline.llm.common import forget, keep_table, ship_package, words
+from sieveline.llm.filters import Filter, U, collect_filter, divided, mix
 
 BANDS, ROWS = 50, 5
 HUB_ROUNDS = 2
 BITS_EACH = 8  # bits of the bitmap for each shingle, at least
 MEMO = 150_000  # hashes of words that a worker remembers
 _HASHES: dict[bytes, int] = {}
-U = np.uint64
+FILTER_BITS = 1 << 27  # bits of a filter of ids, classes or buckets, at most
 CHUNK = 2048  # shingles times rounds of one step
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def _hash_of(word: bytes) -> int:
     if len(_HASHES) >= MEMO:
         _HASHES.clear()
@@ -197,12 +192,34 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return df.mapInArrow(run, "id long, n_shingles long, node long, keys array<long>, bits array<long>, cells array<long>")
 
 
+def filter_of(df: DataFrame, column: str) -> Filter:
+    """The distinct numbers of a column as a filter."""
+    return collect_filter(df.select(F.col(column).alias("hash")), FILTER_BITS)
+
+
+def shared_keys(reps: DataFrame, shared: DataFrame) -> DataFrame:
+    """``node, key`` of every class, keys that surely are not among ``shared`` left out before any row is made."""
+    known = reps.sparkSession.sparkContext.broadcast(filter_of(shared, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            flat = np.asarray(keys.flatten())
+            may = known.value.has(flat.view(U))
+            node = np.repeat(np.asarray(batch.column("node")), np.asarray(keys.value_lengths()))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node[may], pa.int64()), "key": pa.array(flat[may], pa.int64())})
+
+    return reps.select("node", "keys").mapInArrow(run, "node long, key long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """``a, b, n_a, n_b, shared``: the sizes and the intersection of the full sets of every pair of classes; ``b`` is the side that repeats.
 
     The text of a class is one of its representative's: rows of that id with another set are left out by their digest.
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("rep").alias("id")), "node")
+    needed = keep_table(needed, "neardup-needed")
+    read, _ = divided(docs, "id", filter_of(needed, "id"))  # texts of other ids are not shuffled
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +227,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int) ->
             yield batch.filter(pa.array(good, pa.bool_()))
         _HASHES.clear()
 
-    sides = docs.join(needed, "id").select("node", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"])
+    sides = read.join(needed, "id").select("node", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"])
     sides = keep_table(sides, "neardup-texts")
     both = pairs.join(sides.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(sides.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -233,7 +250,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int) ->
         _HASHES.clear()
 
     out = keep_table(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, shared long"), "neardup-verified")
-    forget(sides)
+    forget(sides, needed)
     return out
 
 
@@ -283,19 +300,21 @@ def near_duplicates(
     known_rows = signed.filter("node IS NOT NULL AND id IS NOT NULL")
     # one row per class, with what its smallest id's row says; equal sets have equal signatures
     classes = keep_table(known_rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "neardup-classes")
-    lone = known_rows.join(classes.filter("rows > 1").select("node"), "node", "left_anti")
-    many = known_rows.join(classes.filter("rows > 1").select("node", F.col("rep").alias("id")), ["node", "id"]).dropDuplicates(["node"])
+    copies, others = divided(known_rows, "node", filter_of(classes.filter("rows > 1"), "node"))
+    lone = copies.join(classes.filter("rows > 1").select("node"), "node", "left_anti").unionByName(others)
+    many = copies.join(classes.filter("rows > 1").select("node", F.col("rep").alias("id")), ["node", "id"]).dropDuplicates(["node"])
     columns = ("node", "n_shingles", "keys", "bits", "cells")
     reps = keep_table(lone.select(*columns).unionByName(many.select(*columns)), "neardup-representatives")
     banded = reps.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("others")).filter("others > 1")
-    counted = keep_table(banded.join(shared, "key"), "neardup-buckets")
-    known = counted.groupBy("node").agg(F.sum("others").alias("known"))
+    shared = keep_table(banded.groupBy("key").agg(F.count("*").alias("others")).filter("others > 1"), "neardup-shared")
+    counted = keep_table(shared_keys(reps, shared).join(shared, "key"), "neardup-buckets")
+    known = keep_table(counted.groupBy("node").agg(F.sum("others").alias("known")), "neardup-known")
     members = keep_table(counted.select("key", "node").join(known, "node"), "neardup-members")
-    forget(counted)
+    linkable = keep_table(divided(reps, "node", filter_of(known, "node"))[0], "neardup-linkable")  # classes alone in all their buckets are never compared
+    forget(reps, shared, counted, known)
 
     def side(name: str, *more: str) -> DataFrame:
-        return reps.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in more])
+        return linkable.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in more])
 
     near = (F.col("n_shingles_a") * 100 >= F.col("n_shingles_b") * percent) & (F.col("n_shingles_b") * 100 >= F.col("n_shingles_a") * percent)
     possible = near & close(F.col("bits_a"), F.col("bits_b"), bands * rows, percent)
@@ -352,5 +371,5 @@ def near_duplicates(
         .select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     )
     out = keep_table(out, "neardup-result")
-    forget(signed, classes, reps, parts, by_node)
+    forget(signed, classes, linkable, parts, by_node)
     return out

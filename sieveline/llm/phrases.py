@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import keep_table, ship_package
-from sieveline.llm.neardup import U, mix
+from sieveline.llm.filters import Filter, U, collect_filter, mix
 
 MIN_WORDS, MAX_WORDS = 2, 5
 CAPACITY = 1 << 20  # counters of a summary
@@ -42,7 +42,6 @@ BLOCK_WORDS = 1 << 18  # words that a task looks at together
 VOCABULARY = 1 << 17  # words that a task remembers
 HELD = 1 << 17  # phrases that a task counts before it sends them
 PER_PART = 1 << 17  # survivors whose counts one task adds up
-LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 28, 3
 SEPARATORS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
@@ -132,46 +131,6 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield Block(words, texts, langs)
 
 
-class Filter:
-    """A set of hashes as bits, ``PROBES`` for each; lets about one in a thousand others pass."""
-
-    def __init__(self, size: int, bits: bytes):
-        self.size, self.bits = size, np.frombuffer(bits, np.uint8)
-
-    @staticmethod
-    def places(hashes: np.ndarray, size: int, probe: int) -> np.ndarray:
-        return (mix(hashes ^ U(0xA0761D6478BD642F + probe)) & U(size - 1)).astype(np.int64)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        left = np.arange(len(hashes))
-        for probe in range(PROBES):
-            at = self.places(hashes[left], self.size, probe)
-            hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            out[left[~hit]] = False
-            left = left[hit]
-        return out
-
-
-def collect_filter(hashes: DataFrame) -> Filter:
-    """The filter of a ``hash`` column, with at least 32 bits for each value, up to ``MOST_BITS`` in all. Its bytes come to the driver once."""
-    n = hashes.count()
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * n - 1).bit_length())) if n else LEAST_BITS
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = np.asarray(batch.column("hash")).view(U)
-            at = np.unique(np.concatenate([Filter.places(hashes, size, probe) for probe in range(PROBES)]))
-            cell, first = np.unique(at >> 6, return_index=True)
-            value = np.bitwise_or.reduceat(np.int64(1) << (at & 63), first) if len(at) else at
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int64()), "value": pa.array(value, pa.int64())})
-
-    found = hashes.mapInArrow(bits, "cell long, value long").groupBy("cell").agg(F.bit_or("value").alias("value")).toArrow()  # at most MOST_BITS / 64 rows
-    out = np.zeros(size >> 6, "<i8")
-    out[np.asarray(found.column("cell"))] = np.asarray(found.column("value"))
-    return Filter(size, out.tobytes())
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the sums of their counts."""
     if not len(keys):

@@ -121,3 +121,35 @@ def test_bitmaps_never_refute_a_link(spark):
     assert all(got[i] >= w for i, w in enumerate(want))
     slack = [got[i] - w for i, (w, x) in enumerate(zip(want, rows)) if 0.8 < x[2] / x[3] < 1.25]
     assert np.mean(slack) < 60
+
+
+def test_only_what_may_be_in_a_set_is_joined(spark):
+    from sieveline.llm import filters
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(-500, 500)] + [(None, "n")], "id long, text string")
+    known = filters.collect_filter(spark.createDataFrame([(i * 7,) for i in range(-20, 20)] * 3, "hash long"))
+    may, other = filters.divided(df, "id", known)
+    may, other = [r["id"] for r in may.collect()], [r["id"] for r in other.collect()]
+    assert len(may) + len(other) == 1001 and None in other
+    assert {i * 7 for i in range(-20, 20)} <= set(may) and len(may) < 100
+    none = filters.collect_filter(spark.createDataFrame([], "hash long"))
+    assert filters.divided(df, "id", none)[0].count() == 0 and filters.divided(df, "id", none)[1].count() == 1001
+
+
+def test_texts_and_sketches_without_company_are_not_shuffled(spark, monkeypatch):
+    sizes, split = [], neardup.divided
+
+    def counting(df, column, known):
+        out = split(df, column, known)
+        sizes.append((column, "text" in df.columns, out[0].count()))
+        return out
+
+    monkeypatch.setattr(neardup, "divided", counting)
+    r = random.Random(5)
+    docs = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(40))) for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " more") for i in range(5)] + [(2000, docs[7][1])]
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1000 if 1000 <= i < 2000 else 7 if i == 2000 else i for i, _ in docs}
+    assert ("node", False, 2) in sizes  # the two rows of one text
+    assert [n for c, texts, n in sizes if texts] and all(n <= 30 for c, texts, n in sizes if texts)
+    assert sum(n <= 40 for c, texts, n in sizes if c == "node" and not texts) == 2
