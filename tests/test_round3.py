@@ -112,3 +112,19 @@ def test_guess_along_the_components_saves_steps(spark):
     with_guess, without = (solver.solve(df, width, 0, float(n), basis, tol=1e-8, sigma=s) for s in (sigma, None))
     assert with_guess.converged and without.converged and with_guess.iterations < without.iterations
     np.testing.assert_allclose(with_guess.coefficients, without.coefficients, atol=1e-4)
+
+
+def test_packed_blocks_are_multiplied_together(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    matrix = np.where(r.random((3000, 60)) < r.random(60) ** 3, r.random((3000, 60)), 0.0)
+    matrix[1700:2100] = 0.0
+    data = [([int(i) for i in np.flatnonzero(row)], [float(v) for v in row[row != 0]]) for row in matrix]
+    rows = X.packed(spark.createDataFrame(data, "indices array<int>, values array<double>").coalesce(1))
+    q = r.normal(size=(60, 7))
+    assert np.allclose(X._gram_times(rows, q), matrix.T @ (matrix @ q), rtol=1e-12, atol=1e-9)
+    blocks = [block for batch in rows.toArrow().to_batches() for block in X.unpacked(batch)]
+    found = list(X.joined(iter(blocks), X.ROWS))
+    assert [n for n, *_ in found] == [1024, 1024, 952] and sum(n for n, *_ in blocks) == 3000
+    assert all((np.diff(owner) >= 0).all() and (not len(owner) or owner[-1] < n) for n, owner, *_ in found)
+    assert np.isclose(sum(x.sum() for *_, x in found), matrix.sum())
+    assert list(X.joined(iter([]), 5)) == []
