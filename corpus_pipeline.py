@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import decontaminate, neardup, piece_codec, quality_crf, toxicity
-from sieveline.llm.common import forget, keep_table, read_table
+from sieveline.llm.common import forget, keep_table, read_table, small_batches
 from sieveline.llm.filters import divided
 from sieveline.llm.queries import tokenizer_file
 
@@ -38,18 +38,21 @@ def accepted(docs: DataFrame, score: Callable[[DataFrame], DataFrame], predicted
 
 def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity votes accept."""
+    small_batches(spark)
     labels = read_table(spark, sf_dir, "labels")
     return accepted(docs, lambda d: toxicity.toxicity_scores(d, labels, carry=True), 0)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field accepts."""
+    small_batches(spark)
     labels = read_table(spark, sf_dir, "labels")
     return accepted(docs, lambda d: quality_crf.quality_scores(d, labels, carry=True), 1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id."""
+    small_batches(spark)
     found = neardup.near_duplicates(docs, size=5, percent=80)
     left = without(docs, found.filter(~F.col("kept")), "pipeline-copies")
     twice = keep_table(left.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
@@ -59,6 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Rows with a null id are searched under a digest of their text."""
+    small_batches(spark)
     items = read_table(spark, sf_dir, "benchmark")
     known, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
     clean = without(known, decontaminate.contaminated(known, items), "pipeline-leaks")
@@ -70,6 +74,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, as digests, with the digest of the decoded text."""
+    small_batches(spark)
     return piece_codec.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 

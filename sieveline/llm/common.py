@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.session import forget, materialize, scratch_path, ship_package
 
-__all__ = ["crc_fold", "forget", "held_out", "hash_order", "keep_table", "read_table", "scratch_path", "ship_package", "texts", "words"]
+__all__ = ["crc_fold", "forget", "held_out", "hash_order", "keep_table", "read_table", "scratch_path", "ship_package", "slices", "small_batches", "texts", "words"]
 
 FOLDS = 5
+BATCH = 1024  # rows of a batch that the JVM hands to a worker in the pipeline
+SLICE = 512  # rows whose texts a worker holds as Python objects at once
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,22 @@ def hash_order(column: str = "doc_id"):
     return F.xxhash64(F.col(column).cast("string"), F.lit(17))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have at most `BATCH` rows from now on in this session; a smaller number stays. Ten thousand whole texts in one are some 40 MB in the
+    JVM's own memory beside its heap, for each task, and again in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
+def slices(batches: Iterable[pa.RecordBatch | pa.Array]) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Batches in slices of at most `SLICE` rows. Spark's have 10,000, whose texts and results as Python objects are several times the batch."""
+    for batch in batches:
+        for start in range(0, len(batch) if isinstance(batch, pa.Array) else batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A column of a batch as Python strings; null reads as empty."""
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]

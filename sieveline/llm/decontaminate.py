@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ship_package, texts
+from sieveline.llm.common import ship_package, slices, texts
 from sieveline.llm.neardup import U, _HASHES, _hash_of
 
 TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -190,7 +190,7 @@ def contaminated(
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(shared.value, min_similarity, min_words)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(doc, *leak) for doc, text in zip(batch.column("doc").to_pylist(), texts(batch)) for leak in index.leaks(item_words(text))]
                 if rows:
                     doc, item, similarity, first, last = zip(*rows)

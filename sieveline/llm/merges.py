@@ -12,7 +12,7 @@ from collections.abc import Callable
 import ahocorasick
 
 END = float("inf")
-MEMO = 250_000  # entries a worker remembers; then it starts afresh, which changes no result
+MEMO = 100_000  # entries a worker remembers; then it starts afresh, which changes no result
 
 
 class Merger:

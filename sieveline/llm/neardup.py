@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import bind
-from sieveline.llm.common import forget, keep_table, ship_package, words
+from sieveline.llm.common import forget, keep_table, ship_package, slices, words
 from sieveline.llm.filters import Filter, U, collect_filter, divided, mix
 
 BANDS, ROWS = 50, 5
@@ -172,7 +172,7 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """``id, n_shingles, node, keys, bits, cells`` of every row; all but the first two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, nodes, keys, bits, cells = [], [], [], [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py(), size)

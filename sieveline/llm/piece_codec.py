@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import ship_package, texts
+from sieveline.llm.common import ship_package, slices, texts
 from sieveline.llm.merges import MEMO, Merger
 
 MARK = "▁"
@@ -203,6 +203,22 @@ def shared(spark, table: dict) -> _Shared:
     return _Shared(broadcast, hash((id(broadcast), len(table["pieces"]))))
 
 
+def encoded(one: Codec, batches: Iterator[pa.RecordBatch], id_col: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of ``id_col`` and ``_text``, encoded and decoded a slice at a time."""
+    for batch in slices(batches):
+        found = [one.run(t) for t in texts(batch, "_text")]
+        columns = {
+            id_col: batch.column(id_col),
+            "n_tokens": pa.array([i.count(",") + 1 if i else 0 for i, _ in found], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in found], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in found], pa.string()),
+        }
+        if with_ids:
+            columns["ids"] = pa.array([[int(x) for x in i.split(",")] if i else [] for i, _ in found], pa.list_(pa.int32()))
+            columns["decoded"] = pa.array([d for _, d in found], pa.string())
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Encode whole texts and decode them again.
 
@@ -218,18 +234,6 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = codec(table)
-        for batch in batches:
-            found = [one.run(t) for t in texts(batch, "_text")]
-            columns = {
-                id_col: batch.column(id_col),
-                "n_tokens": pa.array([i.count(",") + 1 if i else 0 for i, _ in found], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in found], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in found], pa.string()),
-            }
-            if with_ids:
-                columns["ids"] = pa.array([[int(x) for x in i.split(",")] if i else [] for i, _ in found], pa.list_(pa.int32()))
-                columns["decoded"] = pa.array([d for _, d in found], pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+        yield from encoded(codec(table), batches, id_col, with_ids)
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, T.StructType(fields))

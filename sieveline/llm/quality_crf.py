@@ -24,12 +24,11 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, texts
+from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, slices, texts
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -174,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int) -> dict:
     sample = sample.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", F.col("label").cast("int").alias("label"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(texts(batch), batch.column("label").to_pylist()):
                 x, _ = document_features(text)
                 yield pa.RecordBatch.from_pydict({"x": pa.array([x.astype(np.float32).ravel()], pa.list_(pa.float32())), "label": pa.array([label], pa.int32())})
@@ -214,13 +213,15 @@ def quality_scores(
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     model = fit(docs, known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")), max_examples)
 
-    @F.pandas_udf("struct<score: double, lines: array<double>>")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("score", pa.float64()), ("lines", pa.list_(pa.float64()))])
+
+    @F.arrow_udf("struct<score: double, lines: array<double>>")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = model.get("weights")
         for part in parts:
             scores, lines = [], []
             for text in part:
-                text = text or ""
+                text = text.as_py() or ""
                 if w is None:
                     lines.append([model["share"]] * (text.count("\n") + 1 if with_lines else 0))
                     scores.append(model["share"])
@@ -231,7 +232,7 @@ def quality_scores(
                 mean = sum(map(float.__mul__, good, map(float, lengths))) / total if total else sum(good) / len(good)
                 scores.append(min(1.0, max(0.0, mean)))
                 lines.append(good if with_lines else [])
-            yield pd.DataFrame({"score": scores, "lines": lines})
+            yield pa.StructArray.from_arrays([pa.array(scores, kind[0].type), pa.array(lines, kind[1].type)], fields=list(kind))
 
     # only the text goes to Python; the rest of the row stays in the JVM
     made = ["held_out", "score", "predicted", "lines"]

@@ -27,12 +27,11 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, texts
+from sieveline.llm.common import hash_order, held_out, keep_table, ship_package, slices, texts
 
 BLOCK = 64
 DENSE = 0.1  # share of the examples from which on a term is a row of a matrix
@@ -207,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, k: int) -> dict:
     sample = keep_table(sample, "toxicity-examples")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(texts(batch), batch.column("label").to_pylist()):
                 found = sorted(set(split_words(text)))
                 yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.binary()), "label": pa.array([label] * len(found), pa.int32())})
@@ -240,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, k: int) -> dict:
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {t: i for i, t in enumerate(shared.value)}
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted(counts_of(t, index).items()) for t in texts(batch)]
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column("id"), "label": batch.column("label"),
@@ -265,6 +264,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, k: int) -> dict:
 
 
 EVIDENCE = "array<struct<id: long, cosine: double, label: int>>"
+SCORED = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
+
+
+def scored(m: dict, parts: Iterator[pa.Array], with_evidence: bool) -> Iterator[pa.Array]:
+    """Score and evidence of every text by the model ``m``, an array for each of ``parts``, worked out a slice at a time."""
+    terms, scale = {t: i for i, t in enumerate(m.get("terms", []))}, np.array(m.get("scale", []))
+    for part in parts:
+        made = [pa.array([], SCORED)]
+        for piece in slices([part]):
+            scores, near = [], []
+            queries = [unit_vector(counts_of(text or "", terms), scale) for text in piece.to_pylist()] if terms else []
+            for found in m["index"].nearest_of(queries, m["k"]) if terms else [[]] * len(piece):
+                scores.append(1 / (1 + math.exp(-(m["slope"] * (vote(found, m["labels"], m["prior"]) - 0.5) + m["offset"]))) if terms else m["share"])
+                near.append([{"id": m["ids"][n], "cosine": -s, "label": m["labels"][n]} for s, n in found] if with_evidence else [])
+            made.append(pa.StructArray.from_arrays([pa.array(scores, SCORED[0].type), pa.array(near, SCORED[1].type)], fields=list(SCORED)))
+        yield pa.concat_arrays(made)
 
 
 def toxicity_scores(
@@ -282,17 +297,9 @@ def toxicity_scores(
     model = fit(docs, known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")), max_examples, k)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(f"struct<score: double, evidence: {EVIDENCE}>")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        terms, scale = {t: i for i, t in enumerate(m.get("terms", []))}, np.array(m.get("scale", []))
-        for part in parts:
-            scores, near = [], []
-            queries = [unit_vector(counts_of(text or "", terms), scale) for text in part] if terms else []
-            for found in m["index"].nearest_of(queries, m["k"]) if terms else [[]] * len(part):
-                scores.append(1 / (1 + math.exp(-(m["slope"] * (vote(found, m["labels"], m["prior"]) - 0.5) + m["offset"]))) if terms else m["share"])
-                near.append([{"id": m["ids"][n], "cosine": -s, "label": m["labels"][n]} for s, n in found] if with_evidence else [])
-            yield pd.DataFrame({"score": scores, "evidence": near})
+    @F.arrow_udf(f"struct<score: double, evidence: {EVIDENCE}>")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scored(shared.value, parts, with_evidence)
 
     made = ["held_out", "score", "predicted", "evidence"]
     kept = [id_col] + [c for c in df.columns if carry and c != id_col and c not in made]
